@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 from watchtrail.functions import constants as K
 from watchtrail.functions import scoring as S
+from watchtrail.operators.features import build_features, numeric_matrix
+from watchtrail.operators.validate import (
+    parse_envelopes,
+    require_columns,
+    require_features,
+    split_errors,
+)
 
 SCORE_COLUMNS = (
     "model_prediction",
@@ -61,3 +68,51 @@ def score(
             "reasons": S.all_reasons(flagged, S.rule_reasons(read)),
         }
     ).drop("_decision", "_anomaly", "_rules", "_flagged")
+
+
+def score_dataset(df: DataFrame, model) -> DataFrame:
+    """Score a feature table: known metadata columns plus the prediction.
+
+    The model sees missing inputs as 0; the rules see them as missing.
+    """
+    require_columns(df, model.features)
+    filled = {name: F.coalesce(F.nanvl(F.col(name).cast("double"), F.lit(0.0)), F.lit(0.0)) for name in model.features}
+    decided = df.withColumn("_value", model.decision(df.sparkSession, lambda n: filled[n]))
+    kept = [name for name in METADATA_COLUMNS if name in df.columns]
+    return score(decided, F.col("_value"), model.threshold).select(*kept, *SCORE_COLUMNS)
+
+
+def score_raw_events(df: DataFrame, model, risk_table: DataFrame, home_region: str = K.HOME_REGION) -> DataFrame:
+    """Raw events to predictions, with the rolling counters actually computed."""
+    featured = numeric_matrix(build_features(df, risk_table, home_region))
+    decided = featured.withColumn("_value", model.decision(df.sparkSession))
+    return score(decided, F.col("_value"), model.threshold).select(
+        "event_id",
+        "anomaly_score",
+        F.col("final_risk_score").alias("risk_score"),
+        "risk_level",
+        "reasons",
+        F.lit(model.manifest["model_version"]).alias("model_version"),
+    )
+
+
+def score_envelopes(df: DataFrame, model, body: str = "body") -> tuple[DataFrame, DataFrame]:
+    """(scored messages, rejected messages with ``error``) from raw message text."""
+    checked = require_features(parse_envelopes(df, body), model.features)
+    missing = F.concat(
+        F.lit("Event is missing required features: "), F.array_join("missing_features", ", ")
+    )
+    judged = checked.withColumn(
+        "error", F.coalesce("error", F.when(F.size("missing_features") > 0, missing))
+    ).drop("missing_features")
+    accepted, rejected = split_errors(judged)
+    read = lambda name: F.col("features")[name]
+    decided = accepted.withColumn("_value", model.decision(df.sparkSession, read))
+    scored = score(decided, F.col("_value"), model.threshold, read).drop("_value")
+    named = scored.withColumns(
+        {
+            "model_name": F.lit(model.manifest["model_name"]),
+            "model_version": F.lit(model.manifest["model_version"]),
+        }
+    )
+    return named, rejected
