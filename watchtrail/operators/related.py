@@ -123,19 +123,24 @@ def related_lists(
         F.col("incident_id").alias("candidate_id"),
         F.col("timestamp").alias("candidate_time"),
         profile().alias("profile"),
+    ).withColumn("profile_key", profile_key())
+    members = top_per_key(rows, ["profile_key"], _newest_first(), keep)
+    profiles = rows.groupBy("profile_key").agg(
+        F.any_value("profile").alias("profile"), F.count("*").alias("size")
     )
-    members = top_per_key(rows, ["profile"], _newest_first(), keep)
-    profiles = rows.groupBy("profile").agg(F.count("*").alias("size"))
 
     options = _combinations(min_score)
     lists = top_per_key(
-        _with_keys(members, options).drop("weight"), ["mask", "key"], _newest_first(), keep
-    )
+        _with_keys(members, options).drop("weight", "profile_key"), ["key"], _newest_first(), keep
+    ).drop("mask")
     keyed = _with_keys(profiles, options)
-    sizes = keyed.groupBy("mask", "key").agg(F.sum("size").alias("group_size"))
+    # A group of one holds nobody else.
+    sizes = (
+        keyed.groupBy("key").agg(F.sum("size").alias("group_size")).filter("group_size > 1")
+    )
 
-    consulted = _useful_lists(keyed.join(sizes, ["mask", "key"]), keep)
-    candidates = consulted.withColumnRenamed("profile", "owner").join(lists, ["mask", "key"])
+    consulted = _useful_lists(keyed.join(sizes, "key"), keep)
+    candidates = consulted.withColumnRenamed("profile", "owner").join(lists, "key")
     # A candidate is taken from the list of exactly what it agrees on, so never twice.
     agreed = _bits(
         lambda i: F.coalesce(F.col("owner")[i] == F.col("profile")[i], F.lit(False))
@@ -144,18 +149,22 @@ def related_lists(
         "weight", "correlation_score"
     )
     best = top_per_key(
-        exact, ["owner"], [F.col("correlation_score").desc(), *_newest_first()], keep
+        exact, ["profile_key"], [F.col("correlation_score").desc(), *_newest_first()], keep
     )
     # At most limit + 1 entries are collected per profile.
     entry = F.struct(
         *_sort_fields(), "candidate_id", "candidate_time", "mask", "correlation_score"
     )
-    return best.groupBy("owner").agg(F.collect_list(entry).alias("related"))
+    return best.groupBy("profile_key").agg(F.collect_list(entry).alias("related"))
 
 
-def profile() -> Column:
-    """The six compared values of a normalised incident, case-folded, blanks as NULL."""
-    return F.array(*[F.lower(text_or_null(F.col(name))) for name in DIMENSIONS])
+def profile_key(chosen=lambda place: "true") -> Column:
+    """The chosen values of ``profile`` as one text. Lengths keep different values apart."""
+    parts = [
+        f"IF({chosen(i)}, coalesce(length(profile[{i}]) || ':' || profile[{i}], '-'), '-')"
+        for i in range(len(DIMENSIONS))
+    ]
+    return F.expr(f"concat({', '.join(parts)})")
 
 
 def _bits(condition) -> Column:
@@ -169,17 +178,14 @@ def _bits(condition) -> Column:
 def _with_keys(df: DataFrame, options: list[tuple[int, int]]) -> DataFrame:
     """One row per set of dimensions whose values are all present.
 
-    The key holds the values of the set, with NULL in the places outside it.
+    The key holds the values of the set and leaves the places outside it out.
     """
-    choices = F.array(
-        *[F.struct(F.lit(m).alias("mask"), F.lit(w).alias("weight")) for m, w in options]
-    )
-    chosen = lambda i: F.col("mask").bitwiseAND(F.lit(1 << i)) > 0
-    key = F.array(*[F.when(chosen(i), F.col("profile")[i]) for i in range(len(DIMENSIONS))])
+    choices = ", ".join(f"struct({mask} AS mask, {weight} AS weight)" for mask, weight in options)
     opened = df.withColumn(
         "_present", _bits(lambda i: F.col("profile")[i].isNotNull())
-    ).select("*", F.inline(choices))
+    ).select("*", F.expr(f"inline(array({choices}))"))
     usable = F.col("mask").bitwiseAND(F.col("_present")) == F.col("mask")
+    key = profile_key(lambda i: f"mask & {1 << i} > 0")
     return opened.filter(usable).drop("_present").withColumn("key", key)
 
 
@@ -187,7 +193,9 @@ def _useful_lists(keyed: DataFrame, keep: int) -> DataFrame:
     """Per profile, the lists that can still add a candidate."""
     option = F.struct("mask", "weight", "key", "group_size")
     # At most one entry per combination of dimensions.
-    gathered = keyed.groupBy("profile").agg(F.collect_list(option).alias("options"))
+    gathered = keyed.groupBy("profile_key").agg(
+        F.any_value("profile").alias("profile"), F.collect_list(option).alias("options")
+    )
     full = F.array_max(
         F.transform(
             F.filter("options", lambda o: o["group_size"] >= keep), lambda o: o["weight"]
@@ -201,10 +209,10 @@ def _useful_lists(keyed: DataFrame, keep: int) -> DataFrame:
             & (p["mask"].bitwiseAND(o["mask"]) == o["mask"])
             & (p["group_size"] == o["group_size"]),
         )
-        return (o["group_size"] > 1) & (o["weight"] >= F.coalesce(full, F.lit(0))) & ~shadowed
+        return (o["weight"] >= F.coalesce(full, F.lit(0))) & ~shadowed
 
     useful = gathered.withColumn("options", F.filter("options", contributes))
-    return useful.select("profile", F.inline("options"))
+    return useful.select("profile_key", "profile", F.inline("options")).drop("group_size")
 
 
 def attach_related(
@@ -213,9 +221,10 @@ def attach_related(
     """Add ``related``: each incident's best matches, strongest then newest first."""
     lists = related_lists(view, min_score, limit)
     joined = (
-        view.withColumn("_profile", profile())
-        .join(lists, F.col("_profile") == F.col("owner"), "left")
-        .drop("_profile", "owner")
+        view.withColumn("profile", profile())
+        .withColumn("profile_key", profile_key())
+        .join(lists, "profile_key", "left")
+        .drop("profile", "profile_key")
     )
 
     def reasons(mask: Column) -> Column:
