@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Decimal text only: Spark's own cast would also take Java suffixes such as "5d".
@@ -57,3 +57,43 @@ def text_array(values) -> Column:
 def compact_texts(*values: Column) -> Column:
     """The non-null texts, in the order given."""
     return F.array_compact(F.array(*values))
+
+
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed exactly once per row.
+
+    The optimizer copies an ordinary column's expression into every later filter on it.
+    A one-row generator keeps a costly one, such as opened JSON, from being repeated.
+    """
+    added = F.struct(*[column.alias(name) for name, column in columns.items()])
+    kept = [name for name in df.columns if name not in columns]
+    return df.select(*kept, F.inline(F.array(added)))
+
+
+def is_single_json(text: Column) -> Column:
+    """Strict check: wrapped in brackets, one JSON value makes a one-element array."""
+    wrapped = F.concat(F.lit("["), text, F.lit("]"))
+    return F.coalesce(F.json_array_length(wrapped) == 1, F.lit(False))
+
+
+def fixed_text(value: Column, digits: int) -> Column:
+    """Fixed-point text, rounding the stored binary value with ties to even.
+
+    ``format_string`` rounds the shortest decimal form instead, so it shows 0.73 for a
+    0.725 that is stored just below. The fraction is scaled by 2^60, which is exact, and
+    multiplied in two halves that cannot overflow. Values outside [0, 8) are formatted
+    as they are.
+    """
+    half, scale = 1 << 30, 10**digits
+    whole = (value * float(1 << 60)).cast("long")
+    low = whole.bitwiseAND(F.lit(half - 1)) * scale
+    high = F.shiftright(whole, 30) * scale + F.shiftright(low, 30)
+    rest = F.shiftleft(high.bitwiseAND(F.lit(half - 1)), 30) + low.bitwiseAND(F.lit(half - 1))
+    quotient = F.shiftright(high, 30)
+    up = (rest > (1 << 59)) | ((rest == (1 << 59)) & (quotient % 2 == 1))
+    rounded = quotient + F.when(up, 1).otherwise(0)
+    exact = F.format_string(
+        f"%d.%0{digits}d", F.floor(rounded / scale).cast("long"), rounded % scale
+    )
+    inside = (value >= 0) & (value < 8)
+    return F.when(inside, exact).otherwise(F.format_string(f"%.{digits}f", value))

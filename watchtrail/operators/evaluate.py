@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from watchtrail.functions import constants as K
-from watchtrail.functions.values import any_of
+from watchtrail.functions.values import any_of, fixed_text
 from watchtrail.operators.ranking import quantile_buckets, running_totals
 
 MAX_CLASSES = 1_000
@@ -250,10 +250,10 @@ def evaluate_gates(metrics: DataFrame, gates: dict[str, float] | None = None) ->
     rows = F.array(*[entry(i, *gate) for i, gate in enumerate(gates.items(), start=1)])
     verdict = metrics.select(F.inline(rows)).withColumn("passed", F.col("value") >= F.col("required"))
     line = F.format_string(
-        "%-10s %.4f (required >= %.2f) %s",
+        "%-10s %s (required >= %s) %s",
         F.col("metric"),
-        F.col("value"),
-        F.col("required"),
+        fixed_text(F.col("value"), 4),
+        fixed_text(F.col("required"), 2),
         F.when(F.col("passed"), "PASS").otherwise("FAIL"),
     )
     # Three gates per report: the window below never holds more rows than there are gates.

@@ -12,6 +12,9 @@ from watchtrail.functions.values import (
     as_number,
     compact_texts,
     fires,
+    fixed_text,
+    is_single_json,
+    once,
     text_array,
     text_or_null,
     unit_score,
@@ -125,10 +128,11 @@ def normalize_incidents(df: DataFrame) -> DataFrame:
     ``payload``, given as a map or as JSON text; unreadable JSON counts as empty.
     """
     types = dict(df.dtypes)
-    staged = df.withColumns({"_payload": _payload_map(types), "_numbers": _numeric_map(types)})
     open_payload = any(n in types for n in ("original_payload", "payload")) or not _is_numeric_map(
         types.get("features", "map<string,double>")
     )
+    staged = once(df, {"_payload": _payload_map(types)}) if open_payload else df
+    staged = staged.withColumn("_numbers", _numeric_map(types, open_payload))
 
     def candidates(names, kind="string"):
         stored = [F.col(n) for n in names if n in types]
@@ -184,7 +188,8 @@ def _payload_map(types: dict[str, str]) -> Column:
             continue
         if kind == "string":
             blank = F.trim(F.col(name)) == ""
-            opened = F.coalesce(F.from_json(name, "map<string,string>"), F.create_map().cast("map<string,string>"))
+            parsed = F.when(is_single_json(F.col(name)), F.from_json(name, "map<string,string>"))
+            opened = F.coalesce(parsed, F.create_map().cast("map<string,string>"))
             found.append(F.when(F.col(name).isNotNull() & ~blank, opened))
         else:
             found.append(F.when(F.size(name) > 0, F.col(name).cast("map<string,string>")))
@@ -192,15 +197,20 @@ def _payload_map(types: dict[str, str]) -> Column:
     return F.coalesce(*found)
 
 
-def _numeric_map(types: dict[str, str]) -> Column:
+def _numeric_map(types: dict[str, str], open_payload: bool) -> Column:
     """The payload's numbers; a value that is not one is NULL."""
-    from_text = F.transform_values(
-        _payload_map(types), lambda _, v: F.when(v == "true", 1.0).otherwise(v.try_cast("double"))
-    )
+    found = []
     if _is_numeric_map(types.get("features", "")):
         stored = F.col("features").cast("map<string,double>")
-        return F.when(F.size(stored) > 0, stored).otherwise(from_text)
-    return from_text
+        found.append(F.when(F.size(stored) > 0, stored))
+    if open_payload:
+        found.append(
+            F.transform_values(
+                "_payload",
+                lambda _, v: F.when(v == "true", 1.0).otherwise(v.try_cast("double")),
+            )
+        )
+    return F.coalesce(*found, F.create_map().cast("map<string,double>"))
 
 
 def _identity_map(types: dict[str, str], open_payload: bool) -> Column | None:
@@ -310,7 +320,7 @@ def _explanation(home_region: str) -> tuple[Column, Column]:
         reason(
             (F.col("anomaly_score") >= K.HIGH_ANOMALY) | recorded("anomaly"),
             "High anomaly score",
-            F.format_string(" (%.2f)", F.col("anomaly_score")),
+            bracketed(fixed_text(F.col("anomaly_score"), 2)),
         ),
         reason(
             flag("sensitive_operation")
@@ -395,7 +405,9 @@ def report_summary(severity: Column, score: Column, reasons: Column) -> Column:
     return F.concat(
         F.lit("This incident was classified as "),
         severity,
-        F.format_string(" with a final risk score of %.2f. ", score),
+        F.lit(" with a final risk score of "),
+        fixed_text(score, 2),
+        F.lit(". "),
         because,
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from watchtrail.functions import constants as K
 from watchtrail.functions import scoring as S
+from watchtrail.functions.values import once
 from watchtrail.operators.features import build_features, numeric_matrix
 from watchtrail.operators.validate import (
     parse_envelopes,
@@ -46,13 +47,15 @@ def score(
     read: S.FeatureReader = F.col,
 ) -> DataFrame:
     """Add the eight prediction columns. Levels are decided before rounding."""
-    raw = df.withColumns(
+    decided = df.withColumn("_decision", decision)
+    value = F.col("_decision")
+    raw = once(
+        decided,
         {
-            "_decision": decision,
-            "_anomaly": S.anomaly_score(decision, threshold),
+            "_anomaly": S.anomaly_score(value, threshold),
             "_rules": S.rule_score(read),
-            "_flagged": S.is_anomalous(decision, threshold),
-        }
+            "_flagged": S.is_anomalous(value, threshold),
+        },
     )
     final = S.final_risk(F.col("_anomaly"), F.col("_rules"))
     flagged = F.col("_flagged")
@@ -102,8 +105,8 @@ def score_envelopes(df: DataFrame, model, body: str = "body") -> tuple[DataFrame
     missing = F.concat(
         F.lit("Event is missing required features: "), F.array_join("missing_features", ", ")
     )
-    judged = checked.withColumn(
-        "error", F.coalesce("error", F.when(F.size("missing_features") > 0, missing))
+    judged = once(
+        checked, {"error": F.coalesce("error", F.when(F.size("missing_features") > 0, missing))}
     ).drop("missing_features")
     accepted, rejected = split_errors(judged)
     read = lambda name: F.col("features")[name]

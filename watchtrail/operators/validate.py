@@ -14,6 +14,8 @@ from watchtrail.functions.values import (
     any_of,
     compact_texts,
     is_finite,
+    is_single_json,
+    once,
     text_array,
     text_or_null,
     text_to_number,
@@ -51,11 +53,6 @@ def _json_object(body: Column) -> Column:
     return F.from_json(body, "map<string,variant>")
 
 
-def _single_json(body: Column) -> Column:
-    """Strict check: wrapped in brackets, one JSON value makes a one-element array."""
-    return F.coalesce(F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1, F.lit(False))
-
-
 def _listed(names: Column) -> Column:
     return F.array_join(F.array_sort(names), ", ")
 
@@ -133,7 +130,7 @@ def feature_errors(numbers: Column) -> Column:
 def validate_features(df: DataFrame, features: str = "features") -> DataFrame:
     """Turn a text map into numbers and add ``feature_errors``."""
     numbers = numeric_features(F.col(features))
-    return df.withColumn(features, numbers).withColumn(
+    return once(df, {features: numbers}).withColumn(
         "feature_errors", feature_errors(F.col(features))
     )
 
@@ -160,11 +157,12 @@ def require_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def parse_envelopes(df: DataFrame, body: str = "body") -> DataFrame:
     """Open scoring messages into columns; ``error`` is the first thing wrong, else NULL."""
     text = F.col(body)
-    opened = df.withColumn("_top", _json_object(text)).withColumns(
+    opened = once(
+        once(df, {"_top": _json_object(text)}),
         {
             "_event": F.try_variant_get(F.col("_top")["event"], "$", "map<string,variant>"),
             "_features": F.try_variant_get(F.col("_top")["features"], "$", "map<string,variant>"),
-        }
+        },
     )
 
     def event_text(name: str) -> Column:
@@ -176,7 +174,8 @@ def parse_envelopes(df: DataFrame, body: str = "body") -> DataFrame:
         "_features", lambda _, v: F.when(readable(v), F.try_variant_get(v, "$", "string"))
     )
     extras = F.map_filter("_event", lambda k, _: ~k.isin(*EVENT_KEYS))
-    parsed = opened.withColumns(
+    parsed = once(
+        opened,
         {
             "schema_version": F.coalesce(
                 F.try_variant_get(F.col("_top")["schema_version"], "$", "string"),
@@ -191,7 +190,7 @@ def parse_envelopes(df: DataFrame, body: str = "body") -> DataFrame:
                     F.to_json(v)
                 ),
             ),
-        }
+        },
     )
     unexpected = F.array_except(F.map_keys("_top"), text_array(ENVELOPE_KEYS))
     wrong_text = F.filter(
@@ -220,17 +219,14 @@ def parse_envelopes(df: DataFrame, body: str = "body") -> DataFrame:
         F.map_keys("_top"), "features"
     )
     error = (
-        F.when(text.isNull() | ~_single_json(text), NOT_JSON)
+        F.when(text.isNull() | ~is_single_json(text), NOT_JSON)
         .when(F.col("_top").isNull() & F.ltrim(text).startswith("{"), INVALID + "repeated field")
         .when(F.col("_top").isNull(), NOT_OBJECT)
         .when(bare, NOT_ENVELOPE)
         .when(F.size("_problems") > 0, F.concat(F.lit(INVALID), F.array_join("_problems", "; ")))
     )
-    return (
-        parsed.withColumn("_problems", problems)
-        .withColumn("error", error)
-        .drop("_top", "_event", "_features", "_problems")
-    )
+    judged = once(once(parsed, {"_problems": problems}), {"error": error})
+    return judged.drop("_top", "_event", "_features", "_problems")
 
 
 def build_envelopes(df: DataFrame, features: Sequence[str] = K.FEATURES) -> DataFrame:
@@ -296,7 +292,7 @@ def validate_security_events(df: DataFrame) -> DataFrame:
 def parse_security_events(df: DataFrame, body: str = "body") -> DataFrame:
     """Open raw event JSON under the closed schema; unknown keys are violations."""
     top = F.col("_top")
-    opened = df.withColumn("_top", _json_object(F.col(body)))
+    opened = once(df, {"_top": _json_object(F.col(body))})
 
     def read(name: str) -> Column:
         return F.try_variant_get(top[name], "$", "string")
@@ -310,11 +306,8 @@ def parse_security_events(df: DataFrame, body: str = "body") -> DataFrame:
         _violation(top.isNull(), NOT_OBJECT),
         _violation(F.size(unknown) > 0, F.concat(F.lit("unexpected field: "), _listed(unknown))),
     )
-    return (
-        opened.withColumns(columns)
-        .withColumn("violations", F.concat(shape, security_event_errors()))
-        .drop("_top")
-    )
+    read_once = once(opened, columns)
+    return once(read_once, {"violations": F.concat(shape, security_event_errors())}).drop("_top")
 
 
 # --- predictions -------------------------------------------------------------------

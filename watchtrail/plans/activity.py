@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchtrail.operators.features import build_features
+from watchtrail.operators.features import build_features, numeric_matrix
+from watchtrail.operators.incidents import build_incidents
 from watchtrail.operators.score import score
+from watchtrail.operators.validate import build_envelopes
+from watchtrail.session import checkpoint_dir
 
 THRESHOLD = 0.08245799398764486
 
@@ -21,7 +24,8 @@ API_RISK = (
 
 
 def risk_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(API_RISK), "event_name string, api_risk_score double")
+    rows = ", ".join(f"('{name}', double({risk}))" for name, risk in API_RISK)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(event_name, api_risk_score)")
 
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,3 +75,30 @@ def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored activity with the stand-in decision value, so any engine can repeat it."""
     return score(featured(spark, sf_dir), F.col("decision_value"), THRESHOLD)
+
+
+def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored incidents: one per scored event, timed by the event so that runs agree."""
+    return build_incidents(scored(spark, sf_dir), scored_at=F.col("timestamp"))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table of their own, for operators that read it more than once."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queue records over the activity; some are damaged in a way their number tells."""
+    built = build_envelopes(numeric_matrix(featured(spark, sf_dir)))
+    seq, body = F.col("seq"), F.col("body")
+    extra_key = F.concat(F.lit('{"featurez":1,'), F.substring(body, F.lit(2), F.length(body)))
+    bad_ip = F.regexp_replace(body, '"source_ip":"[^"]*"', '"source_ip":"not-an-ip"')
+    damaged = (
+        F.when(seq % 17 == 0, F.substring(body, F.lit(1), F.length(body) - 20))
+        .when(seq % 19 == 0, F.concat(F.lit('{"hour_of_day":'), seq % 24, F.lit("}")))
+        .when(seq % 23 == 0, extra_key)
+        .when(seq % 29 == 0, bad_ip)
+        .otherwise(body)
+    )
+    return built.select(F.concat(F.lit("msg-"), seq).alias("message_id"), damaged.alias("body"))
