@@ -11,7 +11,7 @@ from watchtrail.operators.features import rolling_counters
 from watchtrail.operators.report import scoring_metrics
 from watchtrail.plans.catalog import fixed_forest
 from watchtrail.sources.tables import stream_envelopes
-from watchtrail.streaming.counters import COUNTERS, stream_features
+from watchtrail.streaming.counters import COUNTERS, read_counters, stream_features
 from watchtrail.streaming.metrics import stream_metrics
 from watchtrail.streaming.score_stream import (
     dedupe_stream,
@@ -87,14 +87,28 @@ def run(spark, df, tmp_path):
     return spark.read.parquet(out)
 
 
-def test_stream_counters_equal_batch_counters(spark, tmp_path):
-    rows = some_events()
-    drop_files(tmp_path / "in", lines(rows), lines([END]))
+def counted(spark, tmp_path, *batches):
+    drop_files(tmp_path / "in", *[lines(batch) for batch in batches])
     stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    got = run(spark, stream_features(stream), tmp_path).filter("event_id <> 'end'")
-    want = rolling_counters(spark.createDataFrame(rows, EVENTS))
+    out = str(tmp_path / "out")
+    stream_features(stream, out, str(tmp_path / "ck"), trigger={"availableNow": True}).awaitTermination()
     columns = ["event_id", *COUNTERS]
-    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    return sorted(map(tuple, read_counters(spark, out).filter("event_id <> 'end'").select(columns).collect()))
+
+
+def test_stream_counters_equal_batch_counters(spark, tmp_path):
+    rows = sorted(some_events(), key=lambda r: r[2])
+    got = counted(spark, tmp_path, rows[:150], rows[150:], [END])
+    want = rolling_counters(spark.createDataFrame(rows, EVENTS)).select("event_id", *COUNTERS)
+    assert got == sorted(map(tuple, want.collect()))
+
+
+def test_late_events_are_still_counted(spark, tmp_path):
+    rows = [("a", "x", START, False, "iam"), ("a", "y", START + timedelta(hours=3), True, "s3")]
+    late = ("a", "late", START + timedelta(minutes=2), False, "ec2")
+    assert counted(spark, tmp_path, rows, [late], [END]) == [
+        ("late", 2, 2, 2, 1), ("x", 1, 1, 1, 1), ("y", 1, 0, 1, 0),
+    ]
 
 
 def test_stream_metrics_equal_batch_metrics_and_skip_late_rows(spark, tmp_path):

@@ -1,111 +1,122 @@
 """Rolling per-principal counters over a stream.
 
-Events wait in keyed state until the watermark passes them, then leave in time order with
-the same counts a batch job would give. State is split by (principal, shard of time), so
-that one very busy principal is spread over many state groups: an event is sent to the
-shard of its own time slice, and as context to the next slices its frames reach into.
+Keyed state would hold a whole hour of a busy principal in one task. Here the stream only
+appends slim rows to a history table; each micro-batch then counts the stretch of time that
+has just closed with the batch operator, which spreads one principal over many tasks. Stream
+and batch therefore cannot disagree.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StreamingQuery
 
-MICROS = 1_000_000
-SHORT, LONG = 300, 3600
-OUTPUT = (
-    "principal_id string, event_id string, timestamp timestamp, calls_last_5m long, "
-    "failed_calls_last_5m long, unique_services_last_1h long, iam_calls_last_1h long"
+from watchtrail.operators.features import (
+    MICROS,
+    RollingCounter,
+    default_counters,
+    rolling_counters,
 )
-PENDING = "event_id string, at long, own boolean, failed long, service string"
+
+COLUMNS = ("principal_id", "event_id", "timestamp", "success", "service")
 COUNTERS = (
     "calls_last_5m", "failed_calls_last_5m", "unique_services_last_1h", "iam_calls_last_1h",
 )
+HISTORY = (
+    "principal_id string, event_id string, timestamp timestamp, success boolean, "
+    "service string, batch_id long, hour long"
+)
+HOUR = 3600 * MICROS
+
+
+def stream_features(
+    events: DataFrame,
+    folder: str,
+    checkpoint: str,
+    lateness_seconds: int = 600,
+    counters: Sequence[RollingCounter] | None = None,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Start counting. Results land in ``folder``/counters, read by ``read_counters``.
+
+    A row is counted once event time has moved ``lateness_seconds`` past it. A row that
+    comes later still is counted on arrival, over the rows known by then.
+    """
+    chosen = list(counters or default_counters())
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        count_batch(batch, batch_id, folder, lateness_seconds, chosen)
+
+    return (
+        events.select(*COLUMNS)
+        .writeStream.foreachBatch(handle)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": "1 minute"}))
+        .start()
+    )
 
 
-def count_slice(rows: pd.DataFrame) -> pd.DataFrame:
-    """Counters for the ``own`` rows of one slice, its context rows included in the frames."""
-    rows = rows.sort_values("at", kind="stable", ignore_index=True)
-    at = rows["at"].to_numpy()
-    through = np.searchsorted(at, at, side="right")
-    short = np.searchsorted(at, at - SHORT * MICROS, side="left")
-    long = np.searchsorted(at, at - LONG * MICROS, side="left")
-
-    def within(values: np.ndarray, start: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(values)])
-        return total[through] - total[start]
-
-    services = rows["service"].to_numpy()
-    distinct = np.zeros(len(rows), dtype=np.int64)
-    for name in pd.unique(rows["service"].dropna()):
-        distinct += within((services == name).astype(np.int64), long) > 0
-    counted = pd.DataFrame(
-        {
-            "event_id": rows["event_id"],
-            "timestamp": pd.to_datetime(at, unit="us"),
-            "calls_last_5m": through - short,
-            "failed_calls_last_5m": within(rows["failed"].to_numpy(dtype=np.int64), short),
-            "unique_services_last_1h": distinct,
-            "iam_calls_last_1h": within((services == "iam").astype(np.int64), long),
-        }
-    )
-    return counted[rows["own"].to_numpy(dtype=bool)]
-
-
-class SliceCounter(StatefulProcessor):
-    """Collects one (principal, time slice) and releases it when its time has passed."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.pending = handle.getListState("pending", PENDING)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = not self.pending.exists()
-        for part in rows:
-            self.pending.appendList(
-                list(part[["event_id", "at", "own", "failed", "service"]].itertuples(index=False, name=None))
-            )
-        if first:
-            ends = (int(key[1]) + 1) * LONG * 1000
-            self.handle.registerTimer(max(ends, timerValues.getCurrentWatermarkInMs() + 1))
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame(list(self.pending.get()), columns=["event_id", "at", "own", "failed", "service"])
-        self.pending.clear()
-        counted = count_slice(held)
-        counted.insert(0, "principal_id", key[0])
-        yield counted
-
-    def close(self) -> None:
-        pass
-
-
-def stream_features(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """Counters for a stream with ``principal_id, event_id, timestamp, success, service``."""
-    slice_of = F.floor(F.unix_micros("timestamp") / (LONG * MICROS))
-    narrow = events.withWatermark("timestamp", lateness).select(
-        "principal_id",
-        "event_id",
-        "timestamp",
-        F.unix_micros("timestamp").alias("at"),
-        F.when(F.col("success"), 0).otherwise(1).cast("long").alias("failed"),
-        "service",
-        # An hour-long frame reaches back into the previous hour-long slice at most.
-        F.explode(F.array(F.lit(0), F.lit(1))).alias("ahead"),
-        slice_of.alias("_slice"),
-    )
-    sliced = narrow.withColumns(
-        {"slice": F.col("_slice") + F.col("ahead"), "own": F.col("ahead") == 0}
-    )
-    return sliced.groupBy("principal_id", "slice").transformWithStateInPandas(
-        statefulProcessor=SliceCounter(),
-        outputStructType=OUTPUT,
-        outputMode="Append",
-        timeMode="EventTime",
+def count_batch(
+    batch: DataFrame,
+    batch_id: int,
+    folder: str,
+    lateness_seconds: int,
+    counters: Sequence[RollingCounter],
+) -> None:
+    """Handle one micro-batch; a retry rewrites the same directories with the same rows."""
+    spark = batch.sparkSession
+    at = F.unix_micros("timestamp")
+    own = f"batch_id={batch_id}"
+    hourly = batch.withColumn("hour", F.floor(at / HOUR))
+    hourly.write.mode("overwrite").partitionBy("hour").parquet(f"{folder}/history/{own}")
+    history = (
+        spark.read.schema(HISTORY)
+        .option("basePath", f"{folder}/history")
+        .parquet(f"{folder}/history")
+        .filter(F.col("batch_id") <= batch_id)
     )
+
+    # One row per batch: how far event time has come.
+    reached = history.filter(F.col("batch_id") == batch_id).agg(F.max(at).alias("reached"))
+    reached.write.mode("overwrite").parquet(f"{folder}/progress/{own}")
+    progress = spark.read.schema("reached long, batch_id long").parquet(f"{folder}/progress")
+    earlier = F.max(F.when(F.col("batch_id") < batch_id, F.col("reached")))
+    row = progress.filter(F.col("batch_id") <= batch_id).agg(
+        earlier.alias("earlier"), F.max("reached").alias("latest")
+    ).first()
+    if row.latest is None:
+        return
+    closed = row.latest - lateness_seconds * MICROS
+    opened = None if row.earlier is None else row.earlier - lateness_seconds * MICROS
+
+    span = max(counter.seconds for counter in counters) * MICROS
+    due = (at <= closed) if opened is None else (at <= closed) & (at > opened)
+    counted = _counted(history, opened, closed, span, counters).filter(due)
+    if opened is not None:
+        late = history.filter((F.col("batch_id") == batch_id) & (at <= opened))
+        first = late.agg(F.min(at).alias("first")).first().first
+        if first is not None:
+            # Only the principals concerned are read over the longer stretch.
+            theirs = history.join(late.select("principal_id").distinct(), "principal_id", "left_semi")
+            again = _counted(theirs, first - 1, opened, span, counters)
+            counted = counted.unionByName(again.filter((F.col("batch_id") == batch_id) & (at <= opened)))
+    names = [counter.name for counter in counters]
+    kept = counted.select("principal_id", "event_id", "timestamp", *names)
+    kept.write.mode("overwrite").parquet(f"{folder}/counters/{own}")
+
+
+def _counted(history, after, until, span, counters) -> DataFrame:
+    """Counters over (after, until], with one frame of earlier rows as context."""
+    at = F.unix_micros("timestamp")
+    rows = history.filter(at <= until)
+    if after is not None:
+        start = after - span
+        rows = rows.filter((F.col("hour") >= start // HOUR) & (at > start))
+    return rolling_counters(rows, counters)
+
+
+def read_counters(spark, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/counters").drop("batch_id")
