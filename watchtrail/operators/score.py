@@ -99,23 +99,31 @@ def score_raw_events(df: DataFrame, model, risk_table: DataFrame, home_region: s
     )
 
 
-def score_envelopes(df: DataFrame, model, body: str = "body") -> tuple[DataFrame, DataFrame]:
-    """(scored messages, rejected messages with ``error``) from raw message text."""
+def judge_envelopes(df: DataFrame, model, body: str = "body") -> DataFrame:
+    """Open messages and add ``error``: the contract first, then the model's inputs."""
     checked = require_features(parse_envelopes(df, body), model.features)
     missing = F.concat(
         F.lit("Event is missing required features: "), F.array_join("missing_features", ", ")
     )
-    judged = once(
+    return once(
         checked, {"error": F.coalesce("error", F.when(F.size("missing_features") > 0, missing))}
     ).drop("missing_features")
-    accepted, rejected = split_errors(judged)
+
+
+def score_accepted(accepted: DataFrame, model) -> DataFrame:
+    """Score opened messages and name the model that did it."""
     read = lambda name: F.col("features")[name]
-    decided = accepted.withColumn("_value", model.decision(df.sparkSession, read))
+    decided = accepted.withColumn("_value", model.decision(accepted.sparkSession, read))
     scored = score(decided, F.col("_value"), model.threshold, read).drop("_value")
-    named = scored.withColumns(
+    return scored.withColumns(
         {
             "model_name": F.lit(model.manifest["model_name"]),
             "model_version": F.lit(model.manifest["model_version"]),
         }
     )
-    return named, rejected
+
+
+def score_envelopes(df: DataFrame, model, body: str = "body") -> tuple[DataFrame, DataFrame]:
+    """(scored messages, rejected messages with ``error``) from raw message text."""
+    accepted, rejected = split_errors(judge_envelopes(df, model, body))
+    return score_accepted(accepted, model), rejected

@@ -24,10 +24,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster, or a scratch one when it names none."""
+    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    folder = named or tempfile.mkdtemp(prefix="watchtrail-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    folder = named or context.getCheckpointDir() or tempfile.mkdtemp(prefix="watchtrail-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder
 
 

@@ -8,7 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from watchtrail.operators.forest import ForestModel
 from watchtrail.operators.incidents import build_incidents
-from watchtrail.operators.score import score_envelopes
+from watchtrail.operators.score import judge_envelopes, score_accepted
+from watchtrail.operators.validate import split_errors
 from watchtrail.sources.sinks import insert_incidents, quarantine, write_alerts
 
 
@@ -17,12 +18,17 @@ def score_batch(batch: DataFrame, batch_id: int, model: ForestModel, folder: str
 
     Every output of a batch goes to a directory named after it, so a batch that is
     retried after a failure replaces what it wrote before. A failed write fails the batch.
+    Messages are opened once for all outputs.
     """
-    scored, rejected = score_envelopes(batch, model)
-    incidents = build_incidents(scored, features=None)
-    fresh = insert_incidents(incidents, f"{folder}/incidents", batch_id)
-    write_alerts(fresh, f"{folder}/alerts", batch_id)
-    quarantine(rejected, f"{folder}/quarantine", batch_id)
+    judged = judge_envelopes(batch, model).persist()
+    try:
+        accepted, rejected = split_errors(judged)
+        incidents = build_incidents(score_accepted(accepted, model), features=None)
+        fresh = insert_incidents(incidents, f"{folder}/incidents", batch_id)
+        write_alerts(fresh, f"{folder}/alerts", batch_id)
+        quarantine(rejected, f"{folder}/quarantine", batch_id)
+    finally:
+        judged.unpersist()
 
 
 def stream_score(
