@@ -66,3 +66,19 @@ def test_unreadable_lines_are_kept(spark, tmp_path):
     (tmp_path / "e.jsonl").write_text('{"event_id":"a","success":true}\n{oops\n')
     rows = read_events(spark, str(tmp_path / "e.jsonl")).cache().collect()
     assert sorted(r._corrupt_record or r.event_id for r in rows) == ["a", "{oops"]
+
+
+def test_small_reads_and_reports(spark, tmp_path):
+    from watchtrail.operators.incidents import scan_incidents
+    from watchtrail.operators.validate import check_predictions
+    from watchtrail.sources.models import write_evaluation
+    from watchtrail.streaming.metrics import late_rows
+
+    table = predictions(spark)
+    assert scan_incidents(table).count() == 3 and scan_incidents(table, 2).count() == 2
+    assert check_predictions(table).count() == 0
+    assert late_rows(table, 1_700_000_001_000_000).count() == 1
+    metrics = spark.sql("SELECT 0.1 anomaly_threshold, 0.8 precision, 0.9 recall, 0.85 f1_score, 0.97 roc_auc, 0.8 pr_auc")
+    write_evaluation(metrics, str(tmp_path / "report"))
+    report = json.loads(spark.read.text(str(tmp_path / "report")).first().value)
+    assert report["metrics"]["pr_auc"]["value"] == report["classification_metrics"]["pr_auc"] == 0.8

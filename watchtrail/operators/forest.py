@@ -154,9 +154,10 @@ def fit_forest(
 
     picks = _draws(spark, n_estimators, sample_size, pool_size, seed)
     grow = _grower(list(features), sample_size, seed)
-    nodes = (
-        picks.join(pool, "_row").groupBy("tree_id").applyInPandas(grow, TREE_SCHEMA).toPandas()
-    )
+    # The samples are small, so left alone they would be merged into a task or two.
+    tasks = min(n_estimators, spark.sparkContext.defaultParallelism)
+    samples = picks.join(pool, "_row").repartition(tasks, "tree_id")
+    nodes = samples.groupBy("tree_id").applyInPandas(grow, TREE_SCHEMA).toPandas()
     manifest = {
         "model_name": model_name,
         "model_version": model_version,
