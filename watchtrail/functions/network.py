@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from watchtrail.functions.constants import INTERNAL_PREFIXES
 from watchtrail.functions.values import any_of

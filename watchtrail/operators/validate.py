@@ -11,7 +11,6 @@ from watchtrail.functions import constants as K
 from watchtrail.functions.network import is_ip_address
 from watchtrail.functions.values import (
     all_of,
-    any_of,
     compact_texts,
     is_finite,
     is_single_json,
@@ -326,7 +325,3 @@ def check_predictions(df: DataFrame) -> DataFrame:
 def split_errors(df: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) rows by whether a reason was recorded."""
     return df.filter(F.col(error).isNull()).drop(error), df.filter(F.col(error).isNotNull())
-
-
-def has_error(errors: Sequence[str]) -> Column:
-    return any_of([F.size(name) > 0 for name in errors])
