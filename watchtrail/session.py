@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,10 +24,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster, or a scratch one when it names none."""
+    """The shared folder named by ``spark.checkpoint.dir``; a scratch one in local mode only.
+
+    Executors of a cluster cannot read the driver's disk, so there the folder must be named.
+    """
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    folder = named or context.getCheckpointDir() or tempfile.mkdtemp(prefix="watchtrail-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        folder = tempfile.mkdtemp(prefix="watchtrail-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
