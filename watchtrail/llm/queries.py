@@ -4,18 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchtrail.llm import mixing, secret_scan
+from watchtrail.llm import language, mixing, packing, quality, secret_scan, token_count
 from watchtrail.llm.shared import table
 from watchtrail.session import prepare
 
 
+VOCABULARY = "word_bpe_49k.json"
+
+
 def _joined(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    fold = quality.fold("doc_id", 5)
+    scored = quality.score(docs, table(spark, sf_dir, "labels"), fold != 0)
+    return scored.select(
+        "doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    packed = packing.pack(docs, public_tokenizers.path(VOCABULARY), sequence=2048, end=1)
+    return packed.withColumn("length", F.col("length").cast("long"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     mixed = mixing.mix(docs, weights=(5, 2, 1), share=1.5, most=2.0)
@@ -23,6 +42,19 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    held_out = quality.fold("doc_id", 4) == 2
+    model = language.learn(docs.filter(~held_out).select("text", "lang"))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return token_count.count_tokens(docs, public_tokenizers.path(VOCABULARY))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.scan(docs)
@@ -35,5 +67,5 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_mix_sources, op9_secret_scan)
+    f.__name__: f for f in (op2_quality, op3_pack, op5_mix_sources, op7_language, op8_token_counts, op9_secret_scan)
 }
