@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchtrail.llm import language, mixing, packing, quality, secret_scan, token_count
+from watchtrail.llm import language, mixing, near_dedup, packing, quality, secret_scan, token_count
 from watchtrail.llm.shared import table
 from watchtrail.session import prepare
 
@@ -20,6 +20,10 @@ def _joined(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(prepare(spark), sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
     fold = quality.fold("doc_id", 5)
@@ -67,5 +71,5 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality, op3_pack, op5_mix_sources, op7_language, op8_token_counts, op9_secret_scan)
+    f.__name__: f for f in (op1_near_dedup, op2_quality, op3_pack, op5_mix_sources, op7_language, op8_token_counts, op9_secret_scan)
 }
