@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchtrail.llm import language, mixing, near_dedup, packing, quality, secret_scan, token_count
+from watchtrail.llm import language, mixing, near_dedup, packing, quality, secret_scan, token_count, top_scores, vector_dedup
 from watchtrail.llm.shared import table
 from watchtrail.session import prepare
 
@@ -46,6 +46,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def op6_top_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(prepare(spark), sf_dir, "embeddings")
+    return top_scores.top_scores(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     held_out = quality.fold("doc_id", 4) == 2
@@ -70,6 +75,21 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined("base_spans"), 256).alias("base_sha256"), _joined("secret_spans").alias("spans"))
 
 
+def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(prepare(spark), sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op2_quality, op3_pack, op5_mix_sources, op7_language, op8_token_counts, op9_secret_scan)
+    f.__name__: f
+    for f in (
+        op1_near_dedup,
+        op2_quality,
+        op3_pack,
+        op5_mix_sources,
+        op6_top_scores,
+        op7_language,
+        op8_token_counts,
+        op9_secret_scan,
+        op10_vector_dedup,
+    )
 }
