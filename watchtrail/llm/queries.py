@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchtrail.llm import language, mixing, near_dedup, packing, quality, secret_scan, token_count, top_scores, vector_dedup
+from watchtrail.llm import interpolation, language, mixing, near_dedup, packing, quality, secret_scan, token_count, top_scores, vector_dedup
 from watchtrail.llm.shared import table
 from watchtrail.session import prepare
 
@@ -39,6 +39,15 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumn("length", F.col("length").cast("long"))
 
 
+def op4_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    # Remainder 0 is never learnt from, remainder 1 teaches the weights.
+    use = F.least(quality.fold("doc_id", 10), F.lit(interpolation.KEPT))
+    found = interpolation.model_scores(docs.select("doc_id", "text", use.alias("use")))
+    held_out = (F.col("use") == interpolation.EVALUATED).alias("held_out")
+    return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     mixed = mixing.mix(docs, weights=(5, 2, 1), share=1.5, most=2.0)
@@ -85,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_near_dedup,
         op2_quality,
         op3_pack,
+        op4_model_scores,
         op5_mix_sources,
         op6_top_scores,
         op7_language,
