@@ -48,21 +48,22 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret in the text replaced by a mark."""
-    clean = secret_scan.redact(secret_scan.scan(docs))
+    wrapped = docs.select("text", F.struct(*docs.columns).alias("row"))
+    clean = secret_scan.redact(secret_scan.scan(wrapped))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        changed = F.size("secret_spans") > 0
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        clean = clean.withColumn("n_chars", F.when(changed, length).otherwise(F.col("n_chars")))
-    return clean.select(docs.columns)
+        new["n_chars"] = F.when(F.size("secret_spans") > 0, length).otherwise(F.col("row.n_chars"))
+    return clean.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it; rows of one id are taken alike."""
     mixed = mixing.mix(docs, weights=(5, 2, 1), share=1.5, most=2.0)
     copies = mixed.groupBy(F.col("doc_id").alias("of")).agg(F.max("copies").alias("copies")).filter("copies > 0")
-    same = F.col("doc_id").eqNullSafe(F.col("of"))
-    taken = docs.join(copies.hint("shuffle_hash"), same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return taken.select(*[docs[c] for c in docs.columns])
+    wrapped = docs.select("doc_id", F.struct(*docs.columns).alias("row"))
+    taken = wrapped.join(copies.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("of")))
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -297,5 +297,7 @@ def model_scores(docs: DataFrame) -> DataFrame:
     deleted = docs.filter(F.col("use") == DELETED)
     counts = held_out_counts(deleted, answers.filter("held_out"), sums).toPandas()
     weights = learn_weights(counts, 1 / (sums.kept_types + 1))
+    if not sums.types:
+        weights = np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
     result = scored(docs, answers.filter("not held_out"), sums, weights, 1 / (sums.types + 1))
     return result.withColumn("train_tokens", F.lit(sums.kept + sums.deleted).cast("long"))
