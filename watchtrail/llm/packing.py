@@ -1,6 +1,7 @@
 """Packing documents into sequences: shortest-pack-first over the histogram of lengths.
 
-Documents are tokenised once and cut into full sequences and one rest. The counts of the
+Documents are tokenised once and cut into full sequences and one rest. White space parts
+words before the vocabulary applies, so a worker looks up the ids of words it has met. The counts of the
 piece lengths (at most one per length, so small at any corpus size) go to the driver, which
 places lengths longest first, each into the emptiest packs that still have room, and keeps
 counts of equal packs instead of the packs. Pieces then find their pack by their rank among
@@ -18,11 +19,11 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,43 +32,70 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from watchtrail.llm.shared import written
+from watchtrail.llm.token_count import byte_symbols
 
 SEQUENCE = 2048
 END = 1
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 #: Words whose ids a worker remembers; the memory is emptied when full.
-MEMORY = 400_000
+MEMORY = 500_000
 CHARACTERS = 1 << 21
 CELL_ROWS = 100_000
 LEAST_CELLS = 256
 # str.split() also splits at these, the tokenizer does not.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
+#: Words of these characters have no normal form, contraction or special token to heed:
+#: runs of letters, single digits and runs of other marks are tokenised one by one.
+PLAIN = re.compile("[!-&(-;=-~\xa1-\xa9\xab-\xb1\xb4-\xb8\xbb\xbf-\xff]+")
+PARTS = re.compile(r"[^\W\d_]+|\d|[\W_]+")
+
+
+class WordIds:
+    """The ids of words, as little-endian 32-bit numbers, remembered by the worker."""
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.symbols = {b: c for c, b in byte_symbols().items()}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def part(self, part: str) -> bytes:
+        body = self.parts.get(part)
+        if body is None:
+            symbols = part.encode().decode("latin-1").translate(self.symbols)
+            body = array("I", [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
+            self.parts[part] = body
+        return body
+
+    def word(self, word: str) -> bytes:
+        if (body := self.words.get(word)) is None:
+            plain = PLAIN.fullmatch(word)
+            body = b"".join(map(self.part, PARTS.findall(word.lower()))) if plain else self.encode(word)
+            self.words[word] = body
+        return body
+
+    def text(self, text: str) -> bytes:
+        if NOT_SPACE.search(text):
+            return self.encode(text)
+        for known in (self.words, self.parts):
+            if len(known) > MEMORY:
+                known.clear()
+        words = text.split()
+        found = list(map(self.words.get, words))
+        if None in found:
+            found = [self.word(w) if b is None else b for w, b in zip(words, found, strict=True)]
+        return b"".join(found)
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path), {}
-
-
-def token_bytes(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each text, as little-endian 32-bit numbers.
-
-    White space separates words before the vocabulary applies, so each word's ids are
-    looked up once per worker and joined.
-    """
-    tokenizer, known = _tokenizer(path)
-    encode = lambda many: tokenizer.encode_batch_fast(many, add_special_tokens=False)
-    split = [[text] if NOT_SPACE.search(text) else text.split() for text in texts]
-    if len(known) > MEMORY:
-        known.clear()
-    new = list(set(chain.from_iterable(split)) - known.keys())
-    for at in range(0, len(new), 10_000):
-        part = new[at : at + 10_000]
-        known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, encode(part), strict=True))
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
 
 def text_groups(texts: list[str], limit: int = CHARACTERS) -> Iterator[list[int]]:
@@ -91,12 +119,13 @@ def cut(docs: DataFrame, path: str, *, sequence: int = SEQUENCE, end: int = END,
     width = 4 * sequence
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = word_ids(path)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for group in text_groups(texts):
                 rows: list[tuple] = []
-                for i, body in zip(group, token_bytes([texts[i] for i in group], path), strict=True):
-                    body += last
+                for i in group:
+                    body = known.text(texts[i]) + last
                     for at in range(0, len(body), width):
                         part = body[at : at + width]
                         row = (ids[i], at // 4, len(part) // 4, zlib.crc32(part), len(body) // 4)
