@@ -52,7 +52,7 @@ def test_trees_stay_within_their_limits(model):
 
 
 def test_no_normal_rows_is_an_error(table):
-    with pytest.raises(ValueError, match="No normal"):
+    with pytest.raises(ValueError, match="no normal"):
         fit_forest(table.filter("label_binary = 1"))
 
 

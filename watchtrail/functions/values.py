@@ -70,10 +70,38 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*kept, F.inline(F.array(added)))
 
 
+STRICT_JSON = {"allowSingleQuotes": "false"}
+
+
 def is_single_json(text: Column) -> Column:
-    """Strict check: wrapped in brackets, one JSON value makes a one-element array."""
-    wrapped = F.concat(F.lit("["), text, F.lit("]"))
-    return F.coalesce(F.json_array_length(wrapped) == 1, F.lit(False))
+    """Strict check: the whole text is one JSON value, with nothing after it.
+
+    A parser stops at a closing mark, so the text is read inside brackets and inside
+    braces: what would end the one early is an error in the other. Repeated names pass here.
+    """
+    in_brackets = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    in_braces = F.from_json(_as_field(text), "x string", STRICT_JSON)["x"].isNotNull()
+    return F.coalesce(in_brackets & (in_braces | text.rlike(r"^\s*null\s*$")), F.lit(False))
+
+
+def json_fields(text: Column, strict: Column | None = None) -> Column:
+    """The fields of a JSON object as map<string,variant>; NULL for anything else.
+
+    A name that is repeated in any object of the text makes it NULL. ``strict`` is the
+    text's ``is_single_json`` where that is known already.
+    """
+    value = F.from_json(_as_field(text), "x variant", STRICT_JSON)["x"]
+    fields = F.try_variant_get(value, "$", "map<string,variant>")
+    return F.when(is_single_json(text) if strict is None else strict, fields)
+
+
+def _as_field(text: Column) -> Column:
+    return F.concat(F.lit('{"x":'), text, F.lit("}"))
+
+
+def at_least(value: Column, limit: float) -> Column:
+    """``value >= limit``, where NULL and NaN are never at least anything."""
+    return F.coalesce(~F.isnan(value) & (value >= limit), F.lit(False))
 
 
 def fixed_text(value: Column, digits: int) -> Column:
@@ -81,19 +109,26 @@ def fixed_text(value: Column, digits: int) -> Column:
 
     ``format_string`` rounds the shortest decimal form instead, so it shows 0.73 for a
     0.725 that is stored just below. The fraction is scaled by 2^60, which is exact, and
-    multiplied in two halves that cannot overflow. Values outside [0, 8) are formatted
-    as they are.
+    multiplied in two halves that cannot overflow. The whole part is carried beside it, so
+    one rule holds for all numbers; those beyond 2^62 have no fraction left to round.
     """
     half, scale = 1 << 30, 10**digits
-    whole = (value * float(1 << 60)).cast("long")
+    size = F.abs(value)
+    integer = F.floor(size)
+    whole = ((size - F.floor(size)) * float(1 << 60)).cast("long")
     low = whole.bitwiseAND(F.lit(half - 1)) * scale
     high = F.shiftright(whole, 30) * scale + F.shiftright(low, 30)
     rest = F.shiftleft(high.bitwiseAND(F.lit(half - 1)), 30) + low.bitwiseAND(F.lit(half - 1))
     quotient = F.shiftright(high, 30)
-    up = (rest > (1 << 59)) | ((rest == (1 << 59)) & (quotient % 2 == 1))
+    odd = quotient % 2 == 1
+    up = (rest > (1 << 59)) | ((rest == (1 << 59)) & odd)
     rounded = quotient + F.when(up, 1).otherwise(0)
-    exact = F.format_string(
-        f"%d.%0{digits}d", F.floor(rounded / scale).cast("long"), rounded % scale
+    carried = integer + F.when(rounded >= scale, 1).otherwise(0)
+    sign = F.when(value < 0, "-").otherwise("")
+    exact = F.format_string(f"%s%d.%0{digits}d", sign, carried.cast("long"), rounded % scale)
+    return (
+        F.when(F.isnan(value), "nan")
+        .when(size == float("inf"), F.concat(sign, F.lit("inf")))
+        .when(size < float(1 << 62), exact)
+        .otherwise(F.format_string(f"%.{digits}f", value))
     )
-    inside = (value >= 0) & (value < 8)
-    return F.when(inside, exact).otherwise(F.format_string(f"%.{digits}f", value))

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from watchtrail.functions import constants as K
-from watchtrail.functions.values import any_of, fixed_text
-from watchtrail.operators.ranking import quantile_buckets, running_totals
+from watchtrail.functions.values import fixed_text
+from watchtrail.operators.ranking import join_same_keys, quantile_buckets, running_totals
+from watchtrail.session import checkpoint_dir
 
-MAX_CLASSES = 1_000
-HASH_BUCKET_BITS = 16
+HASH_BITS = 16
+HASH_LEVELS = 2
 
 
 # --- hold-out split ----------------------------------------------------------------
@@ -21,68 +22,51 @@ def stratified_split(
 ) -> tuple[DataFrame, DataFrame]:
     """(fitting rows, held-out rows); the held-out count per label is exact.
 
-    Rows are ordered by a hash of their key. Only the hash at which each label reaches
-    its share has to be found, so the split itself is a filter without a shuffle.
-    """
-    held = is_held_out(df, share, seed, label, key)
-    return df.filter(~held), df.filter(held)
-
+    Each label holds out its own share, rounded half up, so with several labels the total
+    can differ by a row per label from a share of the whole table. With one label, or a
+    label of one row, the whole table is one stratum.
 
-def is_held_out(df, share=0.20, seed=42, label=K.TARGET, key="event_id") -> Column:
-    """Predicate that marks the held-out rows of ``df``."""
+    Rows are ordered by a hash of their key. Only the row at which each label reaches its
+    share has to be found; every row is then compared with its label's last held-out row.
+    """
     order = F.xxhash64(F.lit(seed), F.col(key))
-    bucket = F.shiftright(order, 64 - HASH_BUCKET_BITS)
-    sizes = df.groupBy(F.col(label).alias("_label")).count().limit(MAX_CLASSES + 1).collect()
-    if len(sizes) > MAX_CLASSES:
-        raise ValueError(f"'{label}' has more than {MAX_CLASSES} values.")
-    stratified = len(sizes) > 1 and min(row["count"] for row in sizes) >= 2
-    if stratified:
-        stratum = F.col(label)
-        wanted = {row["_label"]: _share_of(row["count"], share) for row in sizes}
-    else:
-        stratum = F.lit(0)
-        wanted = {0: _share_of(sum(row["count"] for row in sizes), share)}
-
-    hashed = df.select(
-        stratum.alias("_label"), bucket.alias("_bucket"), order.alias("_hash"), F.col(key).alias("_key")
-    )
-    # One row per label and bucket, however many rows the table has.
-    counts = hashed.groupBy("_label", "_bucket").count()
-    along = Window.partitionBy("_label").orderBy("_bucket")
-    reached = counts.withColumn("_through", F.sum("count").over(along))
-    target = _lookup(wanted, F.col("_label"))
-    edges = (
-        reached.filter((F.col("_through") >= target) & (F.col("_through") - F.col("count") < target))
-        .select("_label", "_bucket", (target - F.col("_through") + F.col("count")).alias("_rank"))
-        .collect()
-    )
-    if not edges:
-        return F.lit(False)
-    edge = {e["_label"]: e["_bucket"] for e in edges}
-    near = hashed.filter(F.col("_bucket") == _lookup(edge, F.col("_label")))
-    number = F.row_number().over(Window.partitionBy("_label").orderBy("_hash", "_key"))
-    ranks = {e["_label"]: e["_rank"] for e in edges}
-    last = (
-        near.withColumn("_n", number).filter(F.col("_n") == _lookup(ranks, F.col("_label"))).collect()
-    )
-    return any_of(
-        [
-            stratum.eqNullSafe(F.lit(row["_label"]))
-            & ((order < row["_hash"]) | ((order == row["_hash"]) & (F.col(key) <= row["_key"])))
-            for row in last
-        ]
-    )
-
-
-def _share_of(count: int, share: float) -> int:
-    return int(count * share + 0.5)
-
-
-def _lookup(values: dict, column: Column) -> Column:
-    result = F.lit(None).cast("long")
-    for name, value in values.items():
-        result = F.when(column.eqNullSafe(F.lit(name)), F.lit(value)).otherwise(result)
-    return result
+    sizes = df.groupBy(label).count().agg(F.count("*").alias("labels"), F.min("count").alias("least")).first()
+    stratified = sizes["labels"] > 1 and sizes["least"] >= 2
+    placed = df.withColumns({"_stratum": F.col(label) if stratified else F.lit(0), "_order": order})
+    last = _last_held_out(placed.select("_stratum", "_order", F.col(key).alias("_key")), share)
+    joined = join_same_keys(placed, last, ["_stratum"])
+    before = F.col("_order") < F.col("_last")
+    held = before | ((F.col("_order") == F.col("_last")) & (F.col(key) <= F.col("_last_key")))
+    marked = joined.withColumn("_held", F.coalesce(held, F.lit(False)))
+    added = ("_stratum", "_order", "_last", "_last_key", "_held")
+    return marked.filter(~F.col("_held")).drop(*added), marked.filter("_held").drop(*added)
+
+
+def _last_held_out(rows: DataFrame, share: float) -> DataFrame:
+    """(_stratum, _last, _last_key): the row of each stratum that completes its share.
+
+    The hash is narrowed down by ``HASH_BITS`` at a time, so that no task ever orders more
+    than the rows of one narrow range of hashes, or the ranges of one stratum.
+    """
+    checkpoint_dir(rows.sparkSession)
+    wanted = rows.groupBy("_stratum").agg(F.floor(F.count("*") * share + 0.5).alias("_left"))
+    near, edge = rows, wanted.filter("_left > 0")
+    along = Window.partitionBy("_stratum").orderBy("_range")
+    for level in range(1, HASH_LEVELS + 1):
+        ranges = near.withColumn("_range", F.shiftright("_order", 64 - HASH_BITS * level))
+        counts = ranges.groupBy("_stratum", "_range").count()
+        through = counts.withColumn("_through", F.sum("count").over(along))
+        reached = join_same_keys(through, edge.select("_stratum", "_left"), ["_stratum"])
+        crossed = (F.col("_through") >= F.col("_left")) & (F.col("_through") - F.col("count") < F.col("_left"))
+        left = F.col("_left") - F.col("_through") + F.col("count")
+        # One row per stratum.
+        edge = reached.filter(crossed).select("_stratum", "_range", left.alias("_left")).checkpoint()
+        near = join_same_keys(ranges, edge, ["_stratum", "_range"]).filter(F.col("_left").isNotNull())
+        near = near.select("_stratum", "_order", "_key")
+    number = F.row_number().over(Window.partitionBy("_stratum").orderBy("_order", "_key"))
+    numbered = join_same_keys(near.withColumn("_n", number), edge.select("_stratum", "_left"), ["_stratum"])
+    last = numbered.filter(F.col("_n") == F.col("_left"))
+    return last.select("_stratum", F.col("_order").alias("_last"), F.col("_key").alias("_last_key"))
 
 
 # --- curve statistics --------------------------------------------------------------
@@ -98,20 +82,15 @@ def score_curve(df: DataFrame, score: str, label: str = K.TARGET, keep: bool = F
     )
     if keep:
         counted = counted.persist()
-    totals = counted.agg(F.sum("rows").alias("all_rows"), F.sum("hits").alias("all_hits"))
     ranked = running_totals(
         quantile_buckets(counted, "score", "_bucket"),
         F.col("score"),
         "_bucket",
         ["rows", "hits"],
         descending=True,
+        grand=True,
     )
-    return ranked.drop("_bucket").withColumns(
-        {
-            "all_rows": totals.select("all_rows").scalar(),
-            "all_hits": totals.select("all_hits").scalar(),
-        }
-    )
+    return ranked.drop("_bucket").withColumnsRenamed({"all_running_rows": "all_rows", "all_running_hits": "all_hits"})
 
 
 def calibrate_threshold(
@@ -122,7 +101,7 @@ def calibrate_threshold(
     precision = F.col("running_hits") / F.col("running_rows")
     recall = F.col("running_hits") / F.col("all_hits")
     one_class = (F.col("all_hits") == 0) | (F.col("all_hits") == F.col("all_rows"))
-    message = "The calibration slice contains only one class, so no cutoff can be chosen."
+    message = "cannot choose a cutoff: the rows hold only one class"
     f1 = F.when(one_class, F.raise_error(F.lit(message)).cast("double")).otherwise(
         2.0 * precision * recall / F.greatest(precision + recall, F.lit(1e-12))
     )

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from watchtrail.functions import constants as K
 from watchtrail.functions.network import is_internal_ip
-from watchtrail.operators.ranking import percentile_by_group, running_totals
-from watchtrail.session import broadcast_if_small
+from watchtrail.operators.ranking import percentile_by_group
 
 MICROS = 1_000_000
 BUCKET_SECONDS = 60
@@ -90,103 +89,115 @@ def rolling_counters(
     principal. Instead every event adds to a balance when it happens and takes the same
     amount off once it has left the frame; the counter is the running balance. Events are
     first summed per key and instant, and balances run over (key, minute) buckets, so a
-    key that holds a third of the data is still spread over the cluster.
+    key that holds a third of the data is still spread over the cluster. Events without a
+    key are counted together, as one principal.
+
+    The events are read once for all counters. Balances are dealt out by key and minute
+    once; the minutes' totals and the balances within a minute read the same shuffle.
     """
     counters = list(counters or default_counters())
-    summed = [c for c in counters if c.distinct is None]
-    distinct = [c for c in counters if c.distinct is not None]
-
-    # An event without a time has no frame and takes no part in anyone else's.
-    narrow = df.filter(F.col(time).isNotNull()).select(
-        F.col(key).alias("_key"),
-        F.unix_micros(time).alias("_at"),
-        *[c.adds.cast("long").alias(f"_a_{c.name}") for c in summed],
-        *[F.col(name) for name in sorted({c.distinct for c in distinct})],
-    )
-    instants = narrow.groupBy("_key", "_at").agg(
-        F.count("*").alias("_events"), *[F.sum(f"_a_{c.name}").alias(f"_a_{c.name}") for c in summed]
-    )
-    changes = _balance_changes(instants, summed, distinct)
-    for counter in distinct:
-        changes = changes.unionByName(_distinct_changes(narrow, counter, counters))
-
-    changes = changes.withColumn("_minute", F.floor(F.col("_at") / (BUCKET_SECONDS * MICROS)))
     names = [c.name for c in counters]
+    changes = _changes(df, counters, key, time)
+    minute = F.coalesce(F.floor(F.col("_at") / (BUCKET_SECONDS * MICROS)), F.lit(0))
+    dealt = changes.withColumn("_minute", minute).repartition("_key", "_keyless", "_minute")
+
+    place = ["_key", "_keyless", "_minute"]
+    totals = dealt.groupBy(*place).agg(
+        *[F.sum(n).alias(f"total_{n}") for n in names],
+        # Both also keep the columns of the shared shuffle the same on either side.
+        F.max("_is_event").alias("_has_event"),
+        F.max("_at").alias("_until"),
+    )
+    # One row per key and minute, however many events.
+    before = Window.partitionBy("_key", "_keyless").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    opening = totals.select(
+        *place, "_has_event", "_until", *[F.coalesce(F.sum(f"total_{n}").over(before), F.lit(0)).alias(f"opening_{n}") for n in names]
+    ).filter("_has_event")
+    inside = Window.partitionBy(*place).orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    running = dealt.withColumns({n: F.sum(n).over(inside) for n in names})
     balances = (
-        running_totals(changes, F.col("_at"), "_minute", names, ["_key"])
-        .filter("_is_event")
-        .select("_key", "_at", *[F.col(f"running_{n}").alias(n) for n in names])
+        running.filter("_is_event")
+        .join(opening, place)
+        .filter(F.col("_at") <= F.col("_until"))
+        .select("_key", "_keyless", "_at", *[(F.col(n) + F.col(f"opening_{n}")).alias(n) for n in names])
     )
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.unix_micros(time) == F.col("_at"))
-    return df.join(balances, same, "left").drop("_key", "_at")
+    own = {"_own_key": _text_key(key), "_own_keyless": F.col(key).isNull(), "_own_at": F.unix_micros(time)}
+    same = [F.col(f"_own{n}") == F.col(n) for n in ("_key", "_keyless", "_at")]
+    return df.withColumns(own).join(balances, same, "left").drop(*own, "_key", "_keyless", "_at")
 
 
-def _balance_changes(instants, summed, distinct) -> DataFrame:
-    """One row that adds at the instant, one per window length that takes off again."""
-    zero = F.lit(0).cast("long")
+def _text_key(key: str) -> Column:
+    return F.coalesce(F.col(key).cast("string"), F.lit(""))
 
-    def change(at: Column, is_event: bool, amount) -> Column:
-        return F.struct(
-            at.alias("_at"),
-            F.lit(is_event).alias("_is_event"),
-            *[amount(c).alias(c.name) for c in summed],
-            *[zero.alias(c.name) for c in distinct],
-        )
 
-    rows = [change(F.col("_at"), True, lambda c: F.col(f"_a_{c.name}"))]
-    for seconds in sorted({c.seconds for c in summed}):
-        rows.append(
-            change(
-                F.col("_at") + F.lit(seconds * MICROS + 1),
-                False,
-                lambda c, s=seconds: -F.col(f"_a_{c.name}") if c.seconds == s else zero,
-            )
-        )
-    return instants.select("_key", F.inline(F.array(*rows)))
+def _changes(df: DataFrame, counters: list[RollingCounter], key: str, time: str) -> DataFrame:
+    """(_key, _keyless, _at, _is_event, one amount per counter): what each balance gains or loses, and when.
 
+    A summed counter gains at the instant of its events and loses as much once they have
+    left the frame. A counter of distinct values gains 1 when a value enters the frame and
+    loses 1 once its last event has left it; buckets no wider than the frame cannot contain
+    a gap, so only the first and last instant of each (key, value, bucket) matter.
+    """
+    summed = [c for c in counters if c.distinct is None]
+    columns = sorted({c.distinct for c in counters if c.distinct is not None})
+    at = F.unix_micros(time)
 
-def _distinct_changes(narrow, counter, counters) -> DataFrame:
-    """+1 when a value enters the frame, -1 once its last event has left it.
+    def row(place: int, value: Column, slot: Column) -> Column:
+        amounts = [(c.adds if place == 0 else F.lit(0)).cast("long").alias(f"_a_{c.name}") for c in summed]
+        return F.struct(F.lit(place).alias("_place"), value.cast("string").alias("_value"), slot.cast("long").alias("_slot"), *amounts)
 
-    Buckets no wider than the frame cannot contain a gap, so only the first and last
-    instant of each (key, value, bucket) matter.
-    """
-    span = counter.seconds * MICROS
-    width = min(counter.seconds, BUCKET_SECONDS) * MICROS
-    edges = (
-        narrow.filter(F.col(counter.distinct).isNotNull())
-        .groupBy("_key", F.col(counter.distinct).alias("_value"), F.floor(F.col("_at") / width).alias("_b"))
-        .agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    rows = [row(0, F.lit(None), at)]
+    for place, column in enumerate(columns, 1):
+        width = min(BUCKET_SECONDS, *[c.seconds for c in counters if c.distinct == column]) * MICROS
+        rows.append(row(place, F.col(column), F.floor(at / width)))
+    # An event without a time has no frame and takes no part in anyone else's.
+    narrow = df.filter(F.col(time).isNotNull()).select(
+        _text_key(key).alias("_key"), F.col(key).isNull().alias("_keyless"), at.alias("_at"), F.inline(F.array(*rows))
     )
-    along = Window.partitionBy("_key", "_value").orderBy("_b")
-    gaps = edges.select(
-        "_key",
-        "_first",
-        "_last",
-        (F.col("_first") - F.lag("_last").over(along) <= span).alias("_continues"),
-        (F.lead("_first").over(along) - F.col("_last") <= span).alias("_continued"),
+    groups = narrow.filter("_place = 0 OR _value IS NOT NULL").groupBy("_key", "_keyless", "_place", "_value", "_slot")
+    edges = groups.agg(
+        F.min("_at").alias("_first"), F.max("_at").alias("_last"), *[F.sum(f"_a_{c.name}").alias(f"_a_{c.name}") for c in summed]
     )
+    # Instants stand alone; the buckets of one value follow each other, one row per bucket.
+    alone = F.when(F.col("_place") == 0, F.col("_slot"))
+    along = Window.partitionBy("_key", "_keyless", "_place", "_value", alone).orderBy("_slot")
+    edges = edges.withColumns({"_before": F.lag("_last").over(along), "_after": F.lead("_first").over(along)})
 
-    def change(at: Column, applies: Column, step: int) -> Column:
-        amount = F.when(F.coalesce(applies, F.lit(False)), 0).otherwise(step).cast("long")
-        zero = F.lit(0).cast("long")
-        return F.struct(
-            at.alias("_at"),
-            F.lit(False).alias("_is_event"),
-            *[(amount if c.name == counter.name else zero).alias(c.name) for c in counters],
-        )
+    def change(when: Column, is_event: bool, amount) -> Column:
+        amounts = [amount(c).cast("long").alias(c.name) for c in counters]
+        return F.struct(when.alias("_at"), F.lit(is_event).alias("_is_event"), *amounts)
 
-    opened = change(F.col("_first"), F.col("_continues"), 1)
-    closed = change(F.col("_last") + F.lit(span + 1), F.col("_continued"), -1)
-    return (
-        gaps.select("_key", F.inline(F.array(opened, closed)))
-        .filter(F.col(counter.name) != 0)
-    )
+    def step(by: int, gap: Column, chosen: RollingCounter):
+        apart = ~F.coalesce(gap <= chosen.seconds * MICROS, F.lit(False))
+        return lambda c: F.when(apart, by).otherwise(0) if c is chosen else F.lit(0)
+
+    found = F.array(change(F.col("_first"), True, lambda c: F.col(f"_a_{c.name}") if c in summed else F.lit(0)))
+    leaving = []
+    for seconds in sorted({c.seconds for c in summed}):
+        gone = F.col("_first") + F.lit(seconds * MICROS + 1)
+        leaving.append(
+            change(gone, False, lambda c, s=seconds: -F.col(f"_a_{c.name}") if c in summed and c.seconds == s else F.lit(0))
+        )
+    found = F.concat(found, F.array(*leaving)) if leaving else found
+    for place, column in enumerate(columns, 1):
+        own = []
+        for c in counters:
+            if c.distinct == column:
+                own.append(change(F.col("_first"), False, step(1, F.col("_first") - F.col("_before"), c)))
+                gone = F.col("_last") + F.lit(c.seconds * MICROS + 1)
+                own.append(change(gone, False, step(-1, F.col("_after") - F.col("_last"), c)))
+        found = F.when(F.col("_place") == place, F.array(*own)).otherwise(found)
+    opened = edges.select("_key", "_keyless", F.inline(found))
+    nothing = " AND ".join(f"{c.name} = 0" for c in counters)
+    return opened.filter(f"_is_event OR NOT ({nothing})")
 
 
 def api_risk(df: DataFrame, risk_table: DataFrame, default: float = K.DEFAULT_API_RISK) -> DataFrame:
-    """Look up the risk of each API action; ``risk_table`` is (event_name, api_risk_score)."""
-    table = broadcast_if_small(risk_table.select("event_name", "api_risk_score"))
+    """Look up the risk of each API action; ``risk_table`` is (event_name, api_risk_score).
+
+    The optimizer broadcasts the table by its size in bytes, or else shuffles both sides.
+    """
+    table = risk_table.select("event_name", "api_risk_score")
     return df.join(table, "event_name", "left").withColumn(
         "api_risk_score", F.coalesce("api_risk_score", F.lit(default))
     )

@@ -139,15 +139,19 @@ def fit_forest(
 
     ``key`` identifies a row, which makes the result independent of how rows are
     partitioned. Each tree draws its own sample from a uniform pool large enough for
-    every tree to have had rows of its own.
+    every tree to have had rows of its own, so at most ``n_estimators * max_samples`` rows
+    are fitted, whatever the size of the table. Scoring broadcasts the nodes; parameters
+    that could grow more than ``MAX_MODEL_NODES`` of them are refused.
     """
     spark = df.sparkSession
+    if n_estimators * (2 * max_samples - 1) > MAX_MODEL_NODES:
+        raise ValueError(f"n_estimators and max_samples allow more than {MAX_MODEL_NODES} nodes")
     normal = numeric_matrix(df.filter(F.col(label) == 0), features).select(
         F.xxhash64(F.lit(seed), F.col(key)).alias("_hash"), F.col(key).alias("_key"), *features
     )
     total = normal.count()
     if total == 0:
-        raise ValueError("No normal training records were found.")
+        raise ValueError("there are no normal rows to train on")
     sample_size = min(max_samples, total)
     pool_size = min(total, n_estimators * sample_size)
     pool = _uniform_pool(normal, total, pool_size)

@@ -10,9 +10,11 @@ from watchtrail.functions.network import is_internal_ip
 from watchtrail.functions.values import (
     any_of,
     as_number,
+    at_least,
     compact_texts,
     fires,
     fixed_text,
+    is_finite,
     is_single_json,
     once,
     text_array,
@@ -82,7 +84,7 @@ def new_incidents(incoming: DataFrame, store: DataFrame, order: str = "timestamp
 
 def get_incident(incidents: DataFrame, incident_id: str) -> DataFrame:
     if not incident_id or not str(incident_id).strip():
-        raise ValueError("incident_id must be a non-empty string.")
+        raise ValueError("give a non-empty incident_id")
     return incidents.filter(F.col("incident_id") == str(incident_id))
 
 
@@ -288,7 +290,8 @@ def _recorded_rules() -> Column:
 def _hour() -> Column:
     features = F.col("features")
     return F.when(
-        F.map_contains_key(features, "hour_of_day"), F.coalesce(features["hour_of_day"], F.lit(-1.0))
+        F.map_contains_key(features, "hour_of_day"),
+        F.when(is_finite(features["hour_of_day"]), features["hour_of_day"]).otherwise(-1.0),
     ).otherwise(F.hour("timestamp").cast("double"))
 
 
@@ -318,7 +321,7 @@ def _explanation(home_region: str) -> tuple[Column, Column]:
 
     found = compact_texts(
         reason(
-            (F.col("anomaly_score") >= K.HIGH_ANOMALY) | recorded("anomaly"),
+            at_least(F.col("anomaly_score"), K.HIGH_ANOMALY) | recorded("anomaly"),
             "High anomaly score",
             bracketed(fixed_text(F.col("anomaly_score"), 2)),
         ),
@@ -350,11 +353,11 @@ def _explanation(home_region: str) -> tuple[Column, Column]:
             bracketed(region),
         ),
         reason(
-            (failures >= K.REPEATED_FAILURES) | recorded("error_rate_risk"),
+            at_least(failures, K.REPEATED_FAILURES) | recorded("error_rate_risk"),
             "Multiple recent failed calls",
             F.when(
-                failures != 0,
-                F.format_string(" (%d in the last 5 minutes)", failures.cast("long")),
+                (failures != 0) & is_finite(failures),
+                F.format_string(" (%d in the last 5 minutes)", failures.try_cast("long")),
             ),
         ),
     )
@@ -386,8 +389,8 @@ def recommend_actions(view: DataFrame) -> DataFrame:
     advice = text_array(K.DEFAULT_ACTIONS)
     for category, actions in K.PLAYBOOKS.items():
         advice = F.when(F.col("_category") == category, text_array(actions)).otherwise(advice)
-    high = (F.upper(F.coalesce("risk_level", F.lit(""))) == "HIGH") | (
-        F.col("final_risk_score") >= K.HIGH_ANOMALY
+    high = (F.upper(F.coalesce("risk_level", F.lit(""))) == "HIGH") | at_least(
+        F.col("final_risk_score"), K.HIGH_ANOMALY
     )
     escalated = F.when(high, F.concat(advice, F.array(F.lit(K.ESCALATION)))).otherwise(advice)
     return (

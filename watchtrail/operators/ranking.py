@@ -15,18 +15,19 @@ from pyspark.sql import functions as F
 
 from watchtrail.functions.values import all_of
 
-MAX_BUCKETS = 1024
+#: Rows of a bucket that one window task sorts.
+BUCKET_ROWS = 1_000_000
 
 
 def quantile_buckets(df: DataFrame, column: str, out: str, buckets: int | None = None) -> DataFrame:
-    """Number rows by equal-count ranges of ``column``.
+    """Number rows by equal-count ranges of ``column``, about ``BUCKET_ROWS`` rows to a range.
 
     The cut points are literals in the plan, so the numbering never depends on how the
     data happens to be partitioned or on a task being retried.
     """
     if buckets is None:
         shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-        buckets = max(2, min(MAX_BUCKETS, shuffle))
+        buckets = max(2, shuffle, -(-df.count() // BUCKET_ROWS))
     shares = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(df.approxQuantile(column, shares, 1.0 / (buckets * 4))))
     if not cuts:
@@ -43,10 +44,12 @@ def running_totals(
     sums: Sequence[str],
     keys: Sequence[str] = (),
     descending: bool = False,
+    grand: bool = False,
 ) -> DataFrame:
     """Add ``running_<name>``: the inclusive cumulative sum in the given order.
 
-    ``bucket`` must rise with ``order``. Rows tied on ``order`` share one total.
+    ``bucket`` must rise with ``order``. Rows tied on ``order`` share one total. ``grand``
+    also adds ``all_running_<name>``, the group's total, read off the bucket totals.
     """
     direction = (lambda c: c.desc()) if descending else (lambda c: c.asc())
     opening = _opening_balances(df, bucket, sums, keys, direction)
@@ -59,7 +62,8 @@ def running_totals(
     running = {
         f"running_{name}": F.col(f"opening_{name}") + F.sum(name).over(inside) for name in sums
     }
-    return joined.withColumns(running).drop(*[f"opening_{name}" for name in sums])
+    unwanted = [] if grand else [f"all_running_{name}" for name in sums]
+    return joined.withColumns(running).drop(*[f"opening_{name}" for name in sums], *unwanted)
 
 
 def _opening_balances(df, bucket, sums, keys, direction) -> DataFrame:
@@ -74,6 +78,9 @@ def _opening_balances(df, bucket, sums, keys, direction) -> DataFrame:
         F.coalesce(F.sum(f"total_{name}").over(before), F.lit(0)).alias(f"opening_{name}")
         for name in sums
     ]
+    opening += [
+        F.sum(f"total_{name}").over(Window.partitionBy(*keys)).alias(f"all_running_{name}") for name in sums
+    ]
     result = totals.select(*keys, bucket, *opening)
     return result if keys else F.broadcast(result)
 
@@ -106,13 +113,9 @@ def percentile_by_group(
     if keep:
         counted = counted.persist()
     ranked = running_totals(
-        quantile_buckets(counted, "_v", "_bucket"), F.col("_v"), "_bucket", ["_n"], keys
+        quantile_buckets(counted, "_v", "_bucket"), F.col("_v"), "_bucket", ["_n"], keys, grand=True
     )
-    sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    if keys:
-        spread = join_same_keys(ranked, sizes, keys)
-    else:
-        spread = ranked.withColumn("_size", sizes.scalar())
+    spread = ranked.withColumnRenamed("all_running__n", "_size")
     position = (F.col("_size") - 1) * F.lit(share)
     low, high = F.floor(position), F.ceil(position)
     first, last = F.col("running__n") - F.col("_n"), F.col("running__n") - 1

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from watchtrail.functions import constants as K
 from watchtrail.functions.values import compact_texts, text_or_null
-from watchtrail.operators.incidents import get_incident, normalize_incidents, report_columns
+from watchtrail.operators.incidents import VIEW_COLUMNS, get_incident, normalize_incidents, report_columns
 from watchtrail.operators.ranking import top_per_key
 
 DIMENSIONS = tuple(K.CORRELATION_WEIGHTS)
+#: What a related incident carries besides its id and time.
+STORED = tuple(n for n in VIEW_COLUMNS if n not in ("incident_id", "timestamp"))
 
 
 def _score(matched: dict[str, Column]) -> Column:
@@ -64,17 +66,19 @@ def find_related(
 ) -> DataFrame:
     """The incidents most strongly tied to one, newest first among equals.
 
-    The one incident's values become literals, so the table is read once with nothing
-    joined or shuffled but the top rows.
+    The one incident is read by its key, which reaches the scan; its values become
+    literals, so the table is read once with nothing joined or shuffled but the top rows.
+    Results carry the normalised incident beside its score and reasons.
     """
     view = normalize_incidents(incidents)
-    source = view.filter(F.col("incident_id") == incident_id).select(*DIMENSIONS).first()
+    source = normalize_incidents(get_incident(incidents, incident_id)).select(*DIMENSIONS).first()
     values = {name: source[name] for name in DIMENSIONS} if source else {}
     named = view.select(
         F.col("incident_id").alias("candidate_id"),
         F.col("timestamp").alias("candidate_time"),
         *[F.lit(values.get(name)).cast("string").alias(f"left_{name}") for name in DIMENSIONS],
         *[F.col(name).alias(f"right_{name}") for name in DIMENSIONS],
+        *[F.col(name) for name in STORED],
     )
     if not any(values.values()):
         named = named.filter(F.lit(False))
@@ -83,7 +87,7 @@ def find_related(
         scored.filter(F.col("correlation_score") >= min_score)
         .orderBy(F.col("correlation_score").desc(), *_newest_first())
         .limit(limit)
-        .select("candidate_id", "candidate_time", "correlation_score", "match_reasons")
+        .select("candidate_id", "candidate_time", "correlation_score", "match_reasons", *STORED)
     )
 
 
@@ -257,6 +261,21 @@ def attach_related(
     return joined.withColumn("related", shaped)
 
 
+def _with_stored(attached: DataFrame, view: DataFrame) -> DataFrame:
+    """The related incidents with their stored columns; at most ``limit`` per incident are joined."""
+    entries = attached.select(F.col("incident_id").alias("_of"), F.posexplode("related").alias("_place", "_entry"))
+    stored = view.select(F.col("incident_id").alias("_id"), *STORED)
+    full = entries.join(stored, F.col("_entry.incident_id") == F.col("_id"))
+    entry = F.struct("_place", "_entry.*", *STORED)
+    by_place = lambda x, y: x["_place"] - y["_place"]
+    lists = full.groupBy("_of").agg(F.array_sort(F.collect_list(entry), by_place).alias("_full"))
+    shaped = F.transform("_full", lambda r: r.dropFields("_place"))
+    lists = lists.select("_of", shaped.alias("_full"))
+    none = F.array().cast(lists.schema["_full"].dataType)
+    joined = attached.drop("related").join(lists, F.col("incident_id") == F.col("_of"), "left")
+    return joined.withColumn("related", F.coalesce("_full", none)).drop("_of", "_full")
+
+
 def find_related_all(
     incidents: DataFrame, min_score: int = K.MIN_CORRELATION, limit: int = K.RELATED_LIMIT
 ) -> DataFrame:
@@ -286,13 +305,16 @@ def investigate(incidents: DataFrame, incident_id: str, home_region: str = K.HOM
         raise ValueError(f"Incident not found: {incident_id}")
     related = find_related(incidents, incident_id)
     entry = F.struct(
-        *_sort_fields(),
+        F.struct(*_sort_fields(), "candidate_id").alias("order"),
         F.col("candidate_id").alias("incident_id"),
         F.col("candidate_time").alias("timestamp"),
         "correlation_score",
         "match_reasons",
+        *STORED,
     )
-    listed = related.agg(F.array_sort(F.collect_list(entry)).alias("related")).scalar()
+    # At most ``limit`` entries. Maps have no order, so the entries are compared by their first field.
+    best_first = lambda x, y: F.when(x["order"] < y["order"], -1).when(x["order"] > y["order"], 1).otherwise(0)
+    listed = related.agg(F.array_sort(F.collect_list(entry), best_first).alias("related")).scalar()
     report = report_columns(normalize_incidents(found), home_region)
     shaped = F.transform(
         "_related",
@@ -301,6 +323,7 @@ def investigate(incidents: DataFrame, incident_id: str, home_region: str = K.HOM
             r["timestamp"].alias("timestamp"),
             r["correlation_score"].alias("correlation_score"),
             r["match_reasons"].alias("match_reasons"),
+            *[r[n].alias(n) for n in STORED],
         ),
     )
     return (
@@ -311,8 +334,9 @@ def investigate(incidents: DataFrame, incident_id: str, home_region: str = K.HOM
 
 
 def investigate_all(incidents: DataFrame, home_region: str = K.HOME_REGION) -> DataFrame:
-    """The report of every incident."""
-    attached = attach_related(normalize_incidents(incidents))
+    """The report of every incident; ids are unique, as in a store of incidents."""
+    view = normalize_incidents(incidents)
+    attached = _with_stored(attach_related(view), view)
     return (
         report_columns(attached, home_region)
         .withColumnRenamed("related", "related_incidents")

@@ -14,12 +14,14 @@ from watchtrail.functions.values import (
     compact_texts,
     is_finite,
     is_single_json,
+    json_fields,
     once,
     text_array,
     text_or_null,
     text_to_number,
 )
 
+# --- fixed values: texts and names of the message contract ---
 NOT_JSON = "Message body is not valid JSON"
 NOT_OBJECT = "Message body must be a JSON object"
 NOT_ENVELOPE = "Message is not a scoring message: send identity under 'event'"
@@ -47,11 +49,6 @@ def _kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def _json_object(body: Column) -> Column:
-    """Top-level fields of a JSON object, or NULL for anything else."""
-    return F.from_json(body, "map<string,variant>")
-
-
 def _listed(names: Column) -> Column:
     return F.array_join(F.array_sort(names), ", ")
 
@@ -154,10 +151,14 @@ def require_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def parse_envelopes(df: DataFrame, body: str = "body") -> DataFrame:
-    """Open scoring messages into columns; ``error`` is the first thing wrong, else NULL."""
+    """Open scoring messages into columns; ``error`` is the first thing wrong, else NULL.
+
+    A message that repeats a name is refused, whichever of its objects repeats it.
+    """
     text = F.col(body)
+    strict = once(df, {"_strict": is_single_json(text)})
     opened = once(
-        once(df, {"_top": _json_object(text)}),
+        once(strict, {"_top": json_fields(text, F.col("_strict"))}),
         {
             "_event": F.try_variant_get(F.col("_top")["event"], "$", "map<string,variant>"),
             "_features": F.try_variant_get(F.col("_top")["features"], "$", "map<string,variant>"),
@@ -218,14 +219,14 @@ def parse_envelopes(df: DataFrame, body: str = "body") -> DataFrame:
         F.map_keys("_top"), "features"
     )
     error = (
-        F.when(text.isNull() | ~is_single_json(text), NOT_JSON)
-        .when(F.col("_top").isNull() & F.ltrim(text).startswith("{"), INVALID + "repeated field")
+        F.when(text.isNull() | ~F.col("_strict"), NOT_JSON)
+        .when(F.col("_top").isNull() & text.rlike(r"^\s*\{"), INVALID + "repeated field")
         .when(F.col("_top").isNull(), NOT_OBJECT)
         .when(bare, NOT_ENVELOPE)
         .when(F.size("_problems") > 0, F.concat(F.lit(INVALID), F.array_join("_problems", "; ")))
     )
     judged = once(once(parsed, {"_problems": problems}), {"error": error})
-    return judged.drop("_top", "_event", "_features", "_problems")
+    return judged.drop("_strict", "_top", "_event", "_features", "_problems")
 
 
 def build_envelopes(df: DataFrame, features: Sequence[str] = K.FEATURES) -> DataFrame:
@@ -291,7 +292,7 @@ def validate_security_events(df: DataFrame) -> DataFrame:
 def parse_security_events(df: DataFrame, body: str = "body") -> DataFrame:
     """Open raw event JSON under the closed schema; unknown keys are violations."""
     top = F.col("_top")
-    opened = once(df, {"_top": _json_object(F.col(body))})
+    opened = once(df, {"_top": json_fields(F.col(body))})
 
     def read(name: str) -> Column:
         return F.try_variant_get(top[name], "$", "string")

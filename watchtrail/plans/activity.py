@@ -99,6 +99,16 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(seq % 19 == 0, F.concat(F.lit('{"hour_of_day":'), seq % 24, F.lit("}")))
         .when(seq % 23 == 0, extra_key)
         .when(seq % 29 == 0, bad_ip)
+        .when(seq % 31 == 0, F.concat(body, F.lit("]")))
+        .when(seq % 37 == 0, F.concat(body, F.lit("] junk")))
+        .when(seq % 41 == 0, F.concat(body, F.lit("}")))
+        .when(seq % 43 == 0, F.concat(body, F.lit(","), body))
+        .when(seq % 47 == 0, F.concat(body, F.lit(" junk")))
+        .when(seq % 53 == 0, F.translate(body, '"', "'"))
+        .when(seq % 59 == 0, F.concat(body, F.lit(" // note")))
+        .when(seq % 61 == 0, F.replace(body, F.lit('"hour_of_day":'), F.lit('"hour_of_day":0')))
+        .when(seq % 67 == 0, F.replace(body, F.lit('{"schema_version"'), F.lit('{"features":{},"schema_version"')))
+        .when(seq % 71 == 0, F.replace(body, F.lit('"features":{'), F.lit('"features":{"is_weekend":0,')))
         .otherwise(body)
     )
     return built.select(F.concat(F.lit("msg-"), seq).alias("message_id"), damaged.alias("body"))

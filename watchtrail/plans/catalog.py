@@ -720,10 +720,42 @@ def _odd_incidents(spark, sf_dir):
             .when(seq % 7 == 2, "Query")
             .otherwise(F.col("event_name")),
             "service": F.when(seq % 3 == 0, "CloudTrail").otherwise(F.col("service")),
+            "final_risk_score": F.when(seq % 13 == 0, float("nan"))
+            .when(seq % 13 == 1, float("inf"))
+            .when(seq % 13 == 2, float("-inf"))
+            .otherwise(F.col("final_risk_score")),
         }
     )
 
 
+def _odd_numbers(view):
+    """Normalised incidents with stored numbers that are not finite, some with their rule recorded."""
+    seq = F.substring(F.col("incident_id"), 5, 20).cast("long")
+    odd = F.map_from_arrays(
+        F.array(F.lit("failed_calls_last_5m"), F.lit("hour_of_day")),
+        F.array(
+            F.when(seq % 11 == 0, float("nan")).when(seq % 11 == 1, float("inf")).otherwise(F.col("features")["failed_calls_last_5m"]),
+            F.when(seq % 11 == 2, float("nan")).when(seq % 11 == 3, float("-inf")).otherwise(F.col("features")["hour_of_day"]),
+        ),
+    )
+    rest = F.map_filter("features", lambda k, _: ~k.isin("failed_calls_last_5m", "hour_of_day"))
+    return view.withColumns(
+        {
+            "features": F.map_concat(rest, odd),
+            "anomaly_score": F.when(seq % 11 == 4, float("nan")).when(seq % 11 == 5, float("inf")).otherwise(F.col("anomaly_score")),
+            "score_metadata": F.when(
+                seq % 22 == 4, F.create_map(F.lit("rules"), F.lit('["anomaly"]'))
+            ).when(seq % 22 == 11, F.create_map(F.lit("rules"), F.lit('["error_rate_risk"]'))).otherwise(F.col("score_metadata")),
+        }
+    )
+
+
+@query
+def explain_odd_numbers(spark, sf_dir):
+    view = I.explain(_odd_numbers(I.normalize_incidents(incidents(spark, sf_dir))))
+    return view.select("incident_id", _joined("explanation"))
+
+
 @query
 def classify(spark, sf_dir):
     return _odd_incidents(spark, sf_dir).select("incident_id", I.classify().alias("category"))
@@ -752,9 +784,10 @@ def get_incident(spark, sf_dir):
 
 @query
 def find_related(spark, sf_dir):
-    df = R.find_related(stored(incidents(spark, sf_dir)), INCIDENT)
+    df = R.find_related(incidents(spark, sf_dir), INCIDENT)
     return df.select(
-        "candidate_id", _micros("candidate_time", "at_us"), "correlation_score", _joined("match_reasons")
+        "candidate_id", _micros("candidate_time", "at_us"), "correlation_score", _joined("match_reasons"),
+        "principal_id", "source_ip", "event_name", "risk_level", F.round("final_risk_score", 6).alias("final_risk_score"),
     )
 
 

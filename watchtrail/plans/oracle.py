@@ -187,8 +187,13 @@ NOT_JSON = "Message body is not valid JSON"
 NOT_ENVELOPE = "Message is not a scoring message: send identity under ''event''"
 ERROR = f"""CASE WHEN seq % 17 = 0 THEN '{NOT_JSON}' WHEN seq % 19 = 0 THEN '{NOT_ENVELOPE}'
   WHEN seq % 23 = 0 THEN 'Invalid scoring message: unexpected field: featurez'
-  WHEN seq % 29 = 0 THEN 'Invalid scoring message: source_ip must be a valid IP address' END"""
-GOOD = "(seq % 17 <> 0 AND seq % 19 <> 0 AND seq % 23 <> 0 AND seq % 29 <> 0)"
+  WHEN seq % 29 = 0 THEN 'Invalid scoring message: source_ip must be a valid IP address'
+  WHEN seq % 31 = 0 OR seq % 37 = 0 OR seq % 41 = 0 OR seq % 43 = 0 OR seq % 47 = 0 OR seq % 53 = 0
+    OR seq % 59 = 0 OR seq % 61 = 0 THEN '{NOT_JSON}'
+  WHEN seq % 67 = 0 OR seq % 71 = 0 THEN 'Invalid scoring message: repeated field' END"""
+GOOD = "(" + " AND ".join(
+    f"seq % {n} <> 0" for n in (17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59, 61, 67, 71)
+) + ")"
 ORACLE["score_envelopes"] = WITH_FOREST + f"""SELECT 'msg-' || seq AS message_id,
   CASE WHEN {GOOD} THEN round(fa, 4) END AS anomaly_score, CASE WHEN {GOOD} THEN round(fr, 4) END AS rule_score,
   CASE WHEN {GOOD} THEN round(ff, 4) END AS final_risk_score, CASE WHEN {GOOD} THEN {LEVEL_FF} END AS risk_level,
@@ -350,7 +355,9 @@ ORACLE["as_number"] = WITH_A + """, t AS (SELECT event_id, seq % 5 AS m, value F
   m NOT IN (0, 1) AS usable FROM t"""
 ORACLE["attack_category"] = f"WITH {ACTIVITY}, {CATEGORIES} " + """SELECT event_id, category AS attack_category
   FROM activity LEFT JOIN categories ON lower(event_name) = call"""
-ODD = """odd AS (SELECT incident_id, risk_level, final_risk_score,
+ODD = """odd AS (SELECT incident_id, risk_level,
+  CASE seq % 13 WHEN 0 THEN 'NaN'::DOUBLE WHEN 1 THEN 'Infinity'::DOUBLE WHEN 2 THEN '-Infinity'::DOUBLE
+    ELSE final_risk_score END AS final_risk_score,
   CASE seq % 5 WHEN 0 THEN ' Defense_Evasion ' WHEN 1 THEN 'unheard-of' WHEN 2 THEN attack_category END AS stored,
   CASE seq % 7 WHEN 0 THEN 'DescribeThings' WHEN 1 THEN 'FooBar' WHEN 2 THEN 'Query' ELSE event_name END AS name,
   CASE WHEN seq % 3 = 0 THEN 'CloudTrail' ELSE service END AS svc FROM incidents),
@@ -368,7 +375,7 @@ ORACLE["classify"] = WITH_ODD + "SELECT incident_id, category FROM classified"
 PLAYBOOKS = "playbooks AS (SELECT * FROM (VALUES " + _values(
     [(cat, " | ".join(actions)) for cat, actions in K.PLAYBOOKS.items()]
 ) + ") t(category, actions))"
-ESCALATE = f"CASE WHEN risk_level = 'HIGH' OR final_risk_score >= 0.70 THEN ' | ' || {_quoted(K.ESCALATION)} ELSE '' END"
+ESCALATE = f"CASE WHEN risk_level = 'HIGH' OR (final_risk_score >= 0.70 AND NOT isnan(final_risk_score::DOUBLE)) THEN ' | ' || {_quoted(K.ESCALATION)} ELSE '' END"
 ORACLE["recommend_actions"] = WITH_ODD.rstrip() + f""", {PLAYBOOKS} SELECT incident_id,
   coalesce(actions, {_quoted(' | '.join(K.DEFAULT_ACTIONS))}) || {ESCALATE} AS recommended_actions
   FROM classified LEFT JOIN playbooks USING (category)"""
@@ -397,7 +404,8 @@ RELATED = f"""related AS (SELECT r.incident_id AS candidate_id, epoch_us(r."time
     CAST({_weight('l', 'r')} AS INT) AS correlation_score, {_why('l', 'r')} AS match_reasons
   FROM incidents l, incidents r WHERE l.incident_id = 'evt-5' AND r.incident_id <> 'evt-5'
     AND {_weight('l', 'r')} >= 2 ORDER BY 3 DESC, 2 DESC, 1 LIMIT 25)"""
-ORACLE["find_related"] = WITH_I.rstrip() + f", {RELATED} SELECT * FROM related"
+ORACLE["find_related"] = WITH_I.rstrip() + f""", {RELATED} SELECT related.*, principal_id, source_ip, event_name, risk_level,
+  round(final_risk_score, 6) AS final_risk_score FROM related JOIN incidents ON incident_id = candidate_id"""
 EXPLAINED = f"""explained AS (SELECT *, concat_ws(' | ',
     CASE WHEN anomaly_score >= 0.70 THEN format('High anomaly score ({{:.2f}})', anomaly_score) END,
     CASE WHEN sensitive THEN 'Sensitive IAM operation (' || event_name || ')' END,
@@ -408,6 +416,22 @@ EXPLAINED = f"""explained AS (SELECT *, concat_ws(' | ',
   ) AS found FROM incidents),
 explained2 AS (SELECT *, CASE WHEN found = '' THEN reasons ELSE found END AS explanation FROM explained)"""
 ORACLE["explain"] = WITH_I.rstrip() + f", {EXPLAINED} SELECT incident_id, explanation FROM explained2"
+# NaN is never at least anything and shows no detail; an unusable hour is no hour.
+ODD_EXPLAINED = f"""explained AS (SELECT *, concat_ws(' | ',
+    CASE WHEN seq % 11 = 5 THEN 'High anomaly score (inf)'
+      WHEN seq % 11 = 4 THEN CASE WHEN seq % 22 = 4 THEN 'High anomaly score (nan)' END
+      WHEN anomaly_score >= 0.70 THEN format('High anomaly score ({{:.2f}})', anomaly_score) END,
+    CASE WHEN sensitive THEN 'Sensitive IAM operation (' || event_name || ')' END,
+    CASE WHEN k % 4 = 0 THEN 'External source IP (' || source_ip || ')' END,
+    CASE WHEN seq % 11 IN (2, 3) THEN CASE WHEN unusual_hour = 1 THEN 'Unusual execution hour' END
+      WHEN hour_of_day NOT BETWEEN 8 AND 19 THEN format('Unusual execution hour ({{:02d}}:00 UTC)', hour_of_day) END,
+    CASE WHEN region <> 'us-east-1' THEN 'Activity outside the normal AWS Region (' || region || ')' END,
+    CASE WHEN seq % 11 = 1 THEN 'Multiple recent failed calls'
+      WHEN seq % 11 = 0 THEN CASE WHEN seq % 22 = 11 THEN 'Multiple recent failed calls' END
+      WHEN failed_calls_last_5m >= 2 THEN format('Multiple recent failed calls ({{}} in the last 5 minutes)', failed_calls_last_5m) END
+  ) AS found FROM incidents),
+explained2 AS (SELECT *, CASE WHEN found = '' THEN reasons ELSE found END AS explanation FROM explained)"""
+ORACLE["explain_odd_numbers"] = WITH_I.rstrip() + f", {ODD_EXPLAINED} SELECT incident_id, explanation FROM explained2"
 REPORTS = f"""reports AS (SELECT e.incident_id, risk_level AS severity, final_risk_score AS risk_score,
     'This incident was classified as ' || risk_level || format(' with a final risk score of {{:.2f}}. ', final_risk_score)
       || 'The main detection reasons were: ' || replace(explanation, ' | ', ', ') || '.' AS summary,
