@@ -11,6 +11,9 @@ from watchtrail.operators.incidents import VIEW_COLUMNS, get_incident, normalize
 from watchtrail.operators.ranking import top_per_key
 
 DIMENSIONS = tuple(K.CORRELATION_WEIGHTS)
+#: Places of the dimensions with many values, and of the others.
+STRONG = [DIMENSIONS.index(n) for n in ("principal_id", "source_ip")]
+WEAK = [i for i in range(len(DIMENSIONS)) if i not in STRONG]
 #: What a related incident carries besides its id and time.
 STORED = tuple(n for n in VIEW_COLUMNS if n not in ("incident_id", "timestamp"))
 
@@ -94,14 +97,12 @@ def find_related(
 # --- all against all ---------------------------------------------------------------
 
 
-def _combinations(min_score: int) -> list[tuple[int, int]]:
-    """(bit mask, weight) of every set of dimensions that reaches ``min_score``."""
+def _sets(places: list[int]) -> list[tuple[int, int]]:
+    """(bit mask, weight) of every subset of the given dimensions, the empty one first."""
     weights = list(K.CORRELATION_WEIGHTS.values())
-    found = []
-    for mask in range(1, 1 << len(DIMENSIONS)):
-        weight = sum(w for place, w in enumerate(weights) if mask >> place & 1)
-        if weight >= min_score:
-            found.append((mask, weight))
+    found = [(0, 0)]
+    for place in places:
+        found += [(mask | 1 << place, weight + weights[place]) for mask, weight in found]
     return found
 
 
@@ -110,15 +111,17 @@ def related_lists(
 ) -> DataFrame:
     """For each distinct combination of values, its ``limit + 1`` best related incidents.
 
-    A match is fully described by the set of dimensions on which two incidents agree. For
-    every such set and its values only the newest ``limit + 1`` incidents can matter:
-    any further one is outranked by ``limit`` others that agree on at least as much. So
-    each set gets a short list and an incident consults the lists of its own values. No
-    pair of incidents is formed inside a group, and the result is exact.
-
-    Incidents with equal values share one profile, and a profile consults only lists that
-    can still contribute: not those that hold the same members as a list for more
-    dimensions, nor those outranked by a list that is already full.
+    Dimensions are split in strong ones (who and from where, with many values) and weak
+    ones. Two incidents agree on one of four sets of strong dimensions; for each set,
+    incidents with equal strong values form a group (all incidents, for the empty set), and
+    incidents of a group with equal weak values rank their group alike. So a list per group
+    and weak values is enough: its ``limit + 1`` best by weak agreement, then newest. Any
+    further member is outranked by ``limit`` others that agree on at least as much.
+
+    A group of at most ``limit + 1`` is its own list. Only in larger groups is the list put
+    together from shorter ones, the newest for each set of weak values. Incidents with equal
+    values share one profile, and a profile consults at most four lists. No pair of
+    incidents is formed inside a group, and the result is exact.
     """
     if min_score < 1:
         raise ValueError("min_score must be at least 1: unrelated incidents never match.")
@@ -132,26 +135,28 @@ def related_lists(
     profiles = rows.groupBy("profile_key").agg(
         F.any_value("profile").alias("profile"), F.count("*").alias("size")
     )
-
-    options = _combinations(min_score)
-    lists = top_per_key(
-        _with_keys(members, options).drop("weight", "profile_key"), ["key"], _newest_first(), keep
-    ).drop("mask")
-    keyed = _with_keys(profiles, options)
-    # A group of one holds nobody else.
-    sizes = (
-        keyed.groupBy("key").agg(F.sum("size").alias("group_size")).filter("group_size > 1")
+    owners = _grouped_profiles(profiles, keep)
+    # At most ``keep`` members per profile, and four groups.
+    placed = members.drop("profile").join(owners, "profile_key").withColumnRenamed("profile", "values")
+    placed = placed.select("group", "weak", "large", "strong", "candidate_id", "candidate_time", "values")
+    small = placed.filter("NOT large").select("group", "candidate_id", "candidate_time", "values")
+    merged = _merged_lists(placed.filter("large"), min_score, keep)
+    owner = ["profile_key", "profile", "strong", "group"]
+    candidate = ["candidate_id", "candidate_time", "values"]
+    consulted = (
+        owners.filter("NOT large").select(*owner).join(small, "group").select(*owner, *candidate)
+    ).unionByName(
+        owners.filter("large").select(*owner, "weak").join(merged, ["group", "weak"]).select(*owner, *candidate)
     )
-
-    consulted = _useful_lists(keyed.join(sizes, "key"), keep)
-    candidates = consulted.withColumnRenamed("profile", "owner").join(lists, "key")
-    # A candidate is taken from the list of exactly what it agrees on, so never twice.
-    agreed = _bits(
-        lambda i: F.coalesce(F.col("owner")[i] == F.col("profile")[i], F.lit(False))
-    )
-    exact = candidates.filter(F.col("mask") == agreed).withColumnRenamed(
-        "weight", "correlation_score"
+    agreed = consulted.withColumn("mask", _agreement(range(len(DIMENSIONS))))
+    strong_bits = sum(1 << place for place in STRONG)
+    score = sum(
+        (F.when(F.col("mask").bitwiseAND(F.lit(1 << place)) > 0, w).otherwise(0) for place, w in enumerate(K.CORRELATION_WEIGHTS.values())),
+        F.lit(0),
     )
+    # A candidate is taken from the group of exactly the strong values it shares, so never twice.
+    exact = agreed.filter(F.col("mask").bitwiseAND(F.lit(strong_bits)) == F.col("strong"))
+    exact = exact.withColumn("correlation_score", score).filter(F.col("correlation_score") >= min_score)
     best = top_per_key(
         exact, ["profile_key"], [F.col("correlation_score").desc(), *_newest_first()], keep
     )
@@ -162,15 +167,67 @@ def related_lists(
     return best.groupBy("profile_key").agg(F.collect_list(entry).alias("related"))
 
 
+def _grouped_profiles(profiles: DataFrame, keep: int) -> DataFrame:
+    """A row per profile and set of strong dimensions it has: its group, and whether that is large."""
+    choices = ", ".join(f"struct({mask} AS strong)" for mask, _ in _sets(STRONG))
+    opened = profiles.withColumn("_present", _bits(lambda i: F.col("profile")[i].isNotNull())).select(
+        "*", F.expr(f"inline(array({choices}))")
+    )
+    usable = F.col("strong").bitwiseAND(F.col("_present")) == F.col("strong")
+    group = F.concat(F.col("strong"), F.lit("|"), profile_key(lambda i: f"strong & {1 << i} > 0"))
+    weak = profile_key(lambda i: "false" if i in STRONG else "true")
+    grouped = opened.filter(usable).drop("_present").withColumns({"group": group, "weak": weak})
+    sized = grouped.filter("strong <> 0").groupBy("group").agg(F.sum("size").alias("group_size"))
+    # A group of one holds nobody else; everybody is in the group that shares no strong value.
+    named = grouped.filter("strong <> 0").join(sized.filter("group_size > 1"), "group")
+    named = named.withColumn("large", F.col("group_size") > keep).drop("group_size", "size")
+    whole = grouped.filter("strong = 0").withColumn("large", F.lit(True)).drop("size")
+    return named.unionByName(whole)
+
+
+def _merged_lists(placed: DataFrame, min_score: int, keep: int) -> DataFrame:
+    """(group, weak, candidate, ...): the best of each large group for each of its weak values."""
+    weights = list(K.CORRELATION_WEIGHTS.values())
+    strong_weight = sum((F.when(F.col("strong").bitwiseAND(F.lit(1 << p)) > 0, weights[p]).otherwise(0) for p in STRONG), F.lit(0))
+    choices = ", ".join(f"struct({mask} AS mask, {weight} AS weight)" for mask, weight in _sets(WEAK))
+
+    def keyed(df: DataFrame, values: str) -> DataFrame:
+        present = _bits(lambda i: F.col(values)[i].isNotNull())
+        opened = df.withColumn("_present", present).select("*", F.expr(f"inline(array({choices}))"))
+        usable = F.col("mask").bitwiseAND(F.col("_present")) == F.col("mask")
+        reached = strong_weight + F.col("weight") >= min_score
+        chosen = profile_key(lambda i: f"mask & {1 << i} > 0", values)
+        key = F.concat(F.col("group"), F.lit("|"), F.col("mask"), F.lit("|"), chosen)
+        return opened.filter(usable & reached).drop("_present").withColumn("key", key)
+
+    newest = top_per_key(placed, ["group", "weak"], _newest_first(), keep)
+    lists = top_per_key(keyed(newest, "values").select("key", "candidate_id", "candidate_time", "values"), ["key"], _newest_first(), keep)
+    asking = placed.groupBy("group", "weak", "strong").agg(F.any_value("values").alias("profile"))
+    candidates = keyed(asking, "profile").join(lists, "key").filter(F.col("mask") == _agreement(WEAK))
+    ranked = top_per_key(candidates, ["group", "weak"], [F.col("weight").desc(), *_newest_first()], keep)
+    return ranked.select("group", "weak", "candidate_id", "candidate_time", "values")
+
+
+def _agreement(places) -> Column:
+    """Bit mask of the given dimensions on which ``profile`` and ``values`` agree."""
+    return sum(
+        (
+            F.when(F.coalesce(F.col("profile")[i] == F.col("values")[i], F.lit(False)), 1 << i).otherwise(0)
+            for i in places
+        ),
+        F.lit(0),
+    )
+
+
 def profile() -> Column:
     """The six compared values of a normalised incident, case-folded, blanks as NULL."""
     return F.array(*[F.lower(text_or_null(F.col(name))) for name in DIMENSIONS])
 
 
-def profile_key(chosen=lambda place: "true") -> Column:
-    """The chosen values of ``profile`` as one text. Lengths keep different values apart."""
+def profile_key(chosen=lambda place: "true", values: str = "profile") -> Column:
+    """The chosen values of a profile as one text. Lengths keep different values apart."""
     parts = [
-        f"IF({chosen(i)}, coalesce(length(profile[{i}]) || ':' || profile[{i}], '-'), '-')"
+        f"IF({chosen(i)}, coalesce(length({values}[{i}]) || ':' || {values}[{i}], '-'), '-')"
         for i in range(len(DIMENSIONS))
     ]
     return F.expr(f"concat({', '.join(parts)})")
@@ -184,46 +241,6 @@ def _bits(condition) -> Column:
     return total
 
 
-def _with_keys(df: DataFrame, options: list[tuple[int, int]]) -> DataFrame:
-    """One row per set of dimensions whose values are all present.
-
-    The key holds the values of the set and leaves the places outside it out.
-    """
-    choices = ", ".join(f"struct({mask} AS mask, {weight} AS weight)" for mask, weight in options)
-    opened = df.withColumn(
-        "_present", _bits(lambda i: F.col("profile")[i].isNotNull())
-    ).select("*", F.expr(f"inline(array({choices}))"))
-    usable = F.col("mask").bitwiseAND(F.col("_present")) == F.col("mask")
-    key = profile_key(lambda i: f"mask & {1 << i} > 0")
-    return opened.filter(usable).drop("_present").withColumn("key", key)
-
-
-def _useful_lists(keyed: DataFrame, keep: int) -> DataFrame:
-    """Per profile, the lists that can still add a candidate."""
-    option = F.struct("mask", "weight", "key", "group_size")
-    # At most one entry per combination of dimensions.
-    gathered = keyed.groupBy("profile_key").agg(
-        F.any_value("profile").alias("profile"), F.collect_list(option).alias("options")
-    )
-    full = F.array_max(
-        F.transform(
-            F.filter("options", lambda o: o["group_size"] >= keep), lambda o: o["weight"]
-        )
-    )
-
-    def contributes(o: Column) -> Column:
-        shadowed = F.exists(
-            "options",
-            lambda p: (p["mask"] != o["mask"])
-            & (p["mask"].bitwiseAND(o["mask"]) == o["mask"])
-            & (p["group_size"] == o["group_size"]),
-        )
-        return (o["weight"] >= F.coalesce(full, F.lit(0))) & ~shadowed
-
-    useful = gathered.withColumn("options", F.filter("options", contributes))
-    return useful.select("profile_key", "profile", F.inline("options")).drop("group_size")
-
-
 def attach_related(
     view: DataFrame, min_score: int = K.MIN_CORRELATION, limit: int = K.RELATED_LIMIT
 ) -> DataFrame:
