@@ -17,7 +17,7 @@ from watchtrail.operators import related as R
 from watchtrail.operators import report as P
 from watchtrail.operators import score as C
 from watchtrail.operators import validate as V
-from watchtrail.operators.forest import ForestModel
+from watchtrail.operators.forest import ForestModel, read_threshold, validate_model
 from watchtrail.plans.activity import (
     THRESHOLD,
     activity,
@@ -29,7 +29,8 @@ from watchtrail.plans.activity import (
     stored,
 )
 from watchtrail.session import checkpoint_dir, prepare
-from watchtrail.sources.models import evaluation_document, latest_model
+from watchtrail.sources.models import evaluation_document, latest_model, load_model, save_model
+from watchtrail.sources.sinks import write_predictions as write_prediction_files
 from watchtrail.sources.tables import read_events, read_features
 
 INCIDENT = "evt-5"
@@ -234,24 +235,73 @@ def forest_decision(spark, sf_dir):
 
 @query
 def score_dataset(spark, sf_dir):
-    table = stored(featured(spark, sf_dir))
-    model = E.train(table)
-    return C.score_dataset(table, model)
+    """A feature table with absent and NaN inputs under the fixed forest."""
+    seq = F.col("seq")
+    table = featured(spark, sf_dir).withColumns(
+        {
+            "sensitive_operation": F.when(seq % 7 != 0, F.col("sensitive_operation")),
+            "failed_call": F.when(seq % 11 == 0, float("nan")).otherwise(F.col("failed_call")),
+            "hour_of_day": F.when(seq % 3 != 0, F.col("hour_of_day")),
+            "api_risk_score": F.when(seq % 13 != 0, F.col("api_risk_score")),
+        }
+    )
+    df = C.score_dataset(table, fixed_forest())
+    return df.select("event_id", *[c for c in C.SCORE_COLUMNS if c != "reasons"], _joined("reasons"))
 
 
 @query
-def fit_forest(spark, sf_dir):
+def train_and_score(spark, sf_dir):
+    """A trained model over its own table: every event scored once, within bounds, levels in line."""
+    table = stored(featured(spark, sf_dir))
+    df = C.score_dataset(table, E.train(table))
+    level = S.risk_level(F.col("final_risk_score"))
+    near = F.least(*[F.abs(F.col("final_risk_score") - cut) for cut in (K.MEDIUM_RISK, K.HIGH_RISK)]) < 1e-4
+    bad = V.check_predictions(df).select("event_id").unionByName(
+        df.filter((level != F.col("risk_level")) & ~near).select("event_id")
+    )
+    return df.agg(F.countDistinct("event_id").alias("events")).withColumn("bad", bad.agg(F.count("*")).scalar())
+
+
+def _tree_facts(nodes, sample_size: int):
+    """Per tree: rows at the root, and whether counts, shape and depth are those of a grown tree."""
+    limit = (sample_size - 1).bit_length()
+    facts = []
+    for tree, own in nodes.groupby("tree_id"):
+        rows = own.set_index("node_id")
+        inner = rows[rows["feature"] >= 0]
+        left, right = rows.loc[inner["left"]], rows.loc[inner["right"]]
+        depth, level = {0: 0}, [0]
+        while level:
+            level = [c for n in level if rows.at[n, "feature"] >= 0 for c in (rows.at[n, "left"], rows.at[n, "right"]) if not depth.update({c: depth[n] + 1})]
+        sums = (left["n_samples"].to_numpy() + right["n_samples"].to_numpy() == inner["n_samples"].to_numpy()).all()
+        facts.append(
+            (int(tree), int(rows.at[0, "n_samples"]), bool(sums), len(rows) == 2 * len(inner) + 1, max(depth.values()) <= limit, len(depth) == len(rows))
+        )
+    return facts
+
+
+def _forest_facts(spark, table, **options):
+    """Facts of every tree of a forest, and whether other partitions of the table give the same tree."""
     from watchtrail.operators.forest import fit_forest as fit
 
+    model, other = fit(table, **options), fit(table.repartition(5), **options)
+    order = ["tree_id", "node_id"]
+    one, two = (m.nodes.sort_values(order).reset_index(drop=True) for m in (model, other))
+    same = one.equals(two)
+    facts = [(*f, same) for f in _tree_facts(model.nodes, model.manifest["sample_size"])]
+    names = "tree_id int, root_rows int, sums_match boolean, is_binary boolean, within_depth boolean, is_whole boolean, is_stable boolean"
+    return spark.createDataFrame(facts, names)
+
+
+@query
+def fit_forest(spark, sf_dir):
     table = stored(featured(spark, sf_dir).select("event_id", K.TARGET, *K.FEATURES))
-    return fit(table).trees(spark)
+    return _forest_facts(spark, table)
 
 
 @query
 def fit_forest_wide(spark, sf_dir):
     """A second width: 64 inputs, the rows of one label as normal."""
-    from watchtrail.operators.forest import fit_forest as fit
-
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     names = [f"e{i}" for i in range(64)]
     wide = vectors.select(
@@ -259,8 +309,36 @@ def fit_forest_wide(spark, sf_dir):
         (F.col("label") != 0).cast("int").alias(K.TARGET),
         *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)],
     )
-    model = fit(wide, features=names, n_estimators=50)
-    return wide.select("event_id", model.decision(spark).alias("decision"))
+    return _forest_facts(spark, wide, features=names, n_estimators=50)
+
+
+@query
+def model_round_trip(spark, sf_dir):
+    """Decisions of a model that was saved, loaded and validated, with its threshold."""
+    path = _folder(spark, "model")
+    save_model(spark, fixed_forest(), path)
+    model = load_model(spark, path)
+    validate_model(model)
+    value = F.round(model.decision(spark), 6).alias("decision")
+    return _flagged(spark, sf_dir).select("event_id", value, F.lit(read_threshold(model.manifest)).alias("threshold"))
+
+
+@query
+def write_predictions(spark, sf_dir):
+    """Rows per output, read back from the files."""
+    path = _folder(spark, "predictions")
+    write_prediction_files(scored(spark, sf_dir), path)
+    parts = [
+        spark.read.csv(f"{path}/predictions", header=True, escape='"').select(F.lit("predictions").alias("output"), "event_id"),
+        spark.read.csv(f"{path}/high_risk_incidents", header=True, escape='"').select(F.lit("high"), "event_id"),
+        spark.read.json(f"{path}/incidents").select(F.lit("incidents"), "event_id"),
+    ]
+    return parts[0].union(parts[1]).union(parts[2]).groupBy("output").agg(F.count("*").alias("rows"), F.countDistinct("event_id").alias("events"))
+
+
+@query
+def scan_incidents(spark, sf_dir):
+    return I.scan_incidents(incidents(spark, sf_dir)).select("incident_id", "risk_level", "status")
 
 
 @query

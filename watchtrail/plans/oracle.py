@@ -183,6 +183,28 @@ WITH_FOREST = f"WITH {ACTIVITY}, {RISK}, {FEATURED}, {FOREST}, {FOREST_SCORED} "
 ORACLE["score_raw_events"] = WITH_FOREST + f"""SELECT event_id, round(fa, 4) AS anomaly_score,
   round(ff, 4) AS risk_score, {LEVEL_FF} AS risk_level, why AS reasons, 'fixed' AS model_version FROM forest_final"""
 
+# The model sees a missing input as 0; a missing API risk scores as the highest.
+ODD_FEATURED = f"WITH {ACTIVITY}, {RISK}, {FEATURED.replace('featured AS', 'whole AS', 1)}" + """, featured AS (SELECT * REPLACE (
+    CASE WHEN seq % 7 = 0 THEN 0 ELSE sensitive_operation END AS sensitive_operation,
+    CASE WHEN seq % 11 = 0 THEN 0 ELSE failed_call END AS failed_call,
+    CASE WHEN seq % 3 = 0 THEN 0 ELSE hour_of_day END AS hour_of_day,
+    CASE WHEN seq % 13 = 0 THEN 1.0 ELSE api_risk_score END AS api_risk_score) FROM whole)""" + f", {FOREST}, {FOREST_SCORED} "
+ORACLE["score_dataset"] = ODD_FEATURED + f"""SELECT event_id, CASE WHEN fflag THEN 'suspicious' ELSE 'normal' END AS model_prediction,
+  fflag AS model_flagged_anomaly, round(d, 6) AS model_decision_value, round(fa, 4) AS anomaly_score,
+  round(fr, 4) AS rule_score, round(ff, 4) AS final_risk_score, {LEVEL_FF} AS risk_level, why AS reasons FROM forest_final"""
+ORACLE["train_and_score"] = "SELECT count(DISTINCT event_id) AS events, 0::BIGINT AS bad FROM events"
+FACTS = """true AS sums_match, true AS is_binary, true AS within_depth, true AS is_whole, true AS is_stable"""
+ORACLE["fit_forest"] = WITH_A + f"""SELECT t::INT AS tree_id,
+  (SELECT least(256, count(*)) FROM activity WHERE label_binary = 0)::INT AS root_rows, {FACTS} FROM range(300) r(t)"""
+ORACLE["fit_forest_wide"] = f"""SELECT t::INT AS tree_id,
+  (SELECT least(256, count(*)) FROM embeddings WHERE label = 0)::INT AS root_rows, {FACTS} FROM range(50) r(t)"""
+ORACLE["model_round_trip"] = f"""WITH {ACTIVITY}, {RISK}, {FEATURED}, {FOREST}
+  SELECT event_id, round(d, 6) AS decision, 0.05::DOUBLE AS threshold FROM forest"""
+ORACLE["write_predictions"] = WITH_S + """SELECT 'predictions' AS output, count(*) AS "rows", count(DISTINCT event_id) AS events FROM scored
+  UNION ALL SELECT 'high', count(*), count(DISTINCT event_id) FROM scored WHERE risk_level = 'HIGH'
+  UNION ALL SELECT 'incidents', count(*), count(DISTINCT event_id) FROM scored WHERE risk_level <> 'LOW'"""
+ORACLE["scan_incidents"] = WITH_I + "SELECT incident_id, risk_level, 'OPEN' AS status FROM incidents"
+
 NOT_JSON = "Message body is not valid JSON"
 NOT_ENVELOPE = "Message is not a scoring message: send identity under ''event''"
 ERROR = f"""CASE WHEN seq % 17 = 0 THEN '{NOT_JSON}' WHEN seq % 19 = 0 THEN '{NOT_ENVELOPE}'
@@ -406,6 +428,24 @@ RELATED = f"""related AS (SELECT r.incident_id AS candidate_id, epoch_us(r."time
     AND {_weight('l', 'r')} >= 2 ORDER BY 3 DESC, 2 DESC, 1 LIMIT 25)"""
 ORACLE["find_related"] = WITH_I.rstrip() + f""", {RELATED} SELECT related.*, principal_id, source_ip, event_name, risk_level,
   round(final_risk_score, 6) AS final_risk_score FROM related JOIN incidents ON incident_id = candidate_id"""
+# Every pair is compared, on the distinct combinations of values; ranking is per incident.
+_SAME = {n: f"l.{n} = r.{n}" for n in K.CORRELATION_WEIGHTS}
+ALL_RELATED = f"""folded AS MATERIALIZED (SELECT incident_id, "timestamp" AS moment, {", ".join(f"lower({n}) AS {n}" for n in K.CORRELATION_WEIGHTS)}
+  FROM incidents),
+profiles AS MATERIALIZED (SELECT row_number() OVER () AS p, * FROM (SELECT DISTINCT {", ".join(K.CORRELATION_WEIGHTS)} FROM folded)),
+placed AS MATERIALIZED (SELECT f.incident_id, f.moment, p.p FROM folded f JOIN profiles p ON
+  {" AND ".join(f"f.{n} IS NOT DISTINCT FROM p.{n}" for n in K.CORRELATION_WEIGHTS)}),
+newest AS MATERIALIZED (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY p ORDER BY moment DESC NULLS LAST, incident_id) <= 26),
+pairs AS (SELECT l.p AS p, r.p AS q, {" + ".join(f"CASE WHEN {_SAME[n]} THEN {w} ELSE 0 END" for n, w in K.CORRELATION_WEIGHTS.items())} AS score
+  FROM profiles l, profiles r WHERE score >= 2),
+best AS MATERIALIZED (SELECT pairs.p, n.incident_id AS related_id, n.moment, score FROM pairs JOIN newest n ON n.p = pairs.q
+  QUALIFY row_number() OVER (PARTITION BY pairs.p ORDER BY score DESC, n.moment DESC NULLS LAST, n.incident_id) <= 26),
+all_related AS (SELECT a.incident_id, b.related_id, b.score,
+    row_number() OVER (PARTITION BY a.incident_id ORDER BY b.score DESC, b.moment DESC NULLS LAST, b.related_id) AS place
+  FROM placed a JOIN best b ON a.p = b.p WHERE a.incident_id <> b.related_id QUALIFY place <= 25)"""
+ORACLE["find_related_all"] = WITH_I.rstrip() + f""", {ALL_RELATED} SELECT x.incident_id, CAST(place AS INT) AS "rank", related_id,
+  CAST(score AS INT) AS correlation_score, {_why('l', 'r')} AS match_reasons
+  FROM all_related x JOIN incidents l ON l.incident_id = x.incident_id JOIN incidents r ON r.incident_id = x.related_id"""
 EXPLAINED = f"""explained AS (SELECT *, concat_ws(' | ',
     CASE WHEN anomaly_score >= 0.70 THEN format('High anomaly score ({{:.2f}})', anomaly_score) END,
     CASE WHEN sensitive THEN 'Sensitive IAM operation (' || event_name || ')' END,
@@ -445,6 +485,9 @@ ORACLE["incident_reports"] = WITH_REPORTS + "SELECT * FROM reports"
 ORACLE["investigate"] = WITH_REPORTS.rstrip() + f""", {RELATED} SELECT *,
   (SELECT string_agg(candidate_id, ',' ORDER BY correlation_score DESC, at_us DESC, candidate_id) FROM related) AS related_ids
   FROM reports WHERE incident_id = 'evt-5'"""
+ORACLE["investigate_all"] = WITH_REPORTS.rstrip() + f""", {ALL_RELATED} SELECT reports.*,
+  coalesce((SELECT string_agg(related_id, ',' ORDER BY place) FROM all_related x WHERE x.incident_id = reports.incident_id), '') AS related_ids
+  FROM reports"""
 ORACLE["alert_payload"] = WITH_I + """SELECT incident_id, 'HIGH AWS threat detected: ' || incident_id AS subject,
   risk_level, model_prediction, principal_id, source_ip, event_name, service,
   CASE WHEN service = 'iam' THEN 'unknown' ELSE region END AS region,
