@@ -86,7 +86,6 @@ def test_near_duplicates(spark, documents, no_documents):
 def test_near_duplicates_in_large_groups(spark, monkeypatch):
     """Lists of many blocks, chains of near copies at the threshold, and a passage most documents hold."""
     monkeypatch.setattr(near_dedup, "LIST_BLOCK", 16)
-    monkeypatch.setattr(near_dedup, "FIRST", 2)
     draw, texts, base, passage = random.Random(8), [], prose(1, 150), prose(2, 100)
     for i in range(120):
         text = base

@@ -15,7 +15,7 @@ How groups of copies stay linear: equal sets are one class from the start. Every
 first compared with one other, the smallest id it meets; the links join most of a group of
 near copies. After that only members of different components are compared (skip merging):
 those outside the component of a list's first member, with the members of the list, in
-blocks. Eight candidates each come first, the rest only where components still differ.
+blocks; and where a link has joined two components, their other pairs are skipped too.
 Every candidate is confirmed on full sets, so links are exact and no list is capped.
 
 A null or empty text, or one without words, has an empty set and links with nothing. Rows
@@ -36,11 +36,10 @@ from watchtrail.llm.text import blocks, scramble, word_hashes
 
 WORDS = 5
 SIMILAR = 85  # percent
-COORDINATES = 40
-MATCHES = 23
+COORDINATES = 24
+MATCHES = 12
 BITS = 0xA0761D6478BD642F
 LIST_BLOCK = 256
-FIRST = 8
 MULTIPLIERS = np.random.default_rng(11).integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SIGNATURE = "doc_id long, n long, h1 long, h2 long, pairs array<long>, marks binary"
 
@@ -133,16 +132,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (left, right))
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                if 100 * len(small) < SIMILAR * len(large):
-                    keep.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                keep.append(100 * both >= SIMILAR * (len(x) + len(y) - both))
+            pairs = zip(batch.column("left"), batch.column("right"), strict=True)
+            keep = [similar(*(np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in pair)) for pair in pairs]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("right"))
@@ -150,11 +141,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(checked, "a long, b long")
 
 
-def candidates(posted: DataFrame, labels: DataFrame, first: int, last: int | None) -> DataFrame:
-    """(a, b) of different components that meet in a list with enough collisions.
+def links_across(posted: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between different components, enough of them to join all that are linked.
 
-    Of the candidates of a class in a block of a list, ordered by collisions, those from
-    place ``first`` up to ``last`` are returned.
+    Only lists that hold several components are looked at. A list is held in blocks; the
+    members outside the component of the list's first member ask in every block.
     """
     own = labels.withColumnRenamed("component_id", "part")
     placed = posted.join(own, "node", "left").withColumn("part", F.coalesce("part", "node"))
@@ -171,11 +162,12 @@ def candidates(posted: DataFrame, labels: DataFrame, first: int, last: int | Non
     held = held.withColumn("asks", F.col("asks") & (F.col("count") == 1))
     every = held.unionByName(asking.withColumn("held", F.lit(False)))
     keys = ["token", "block"]
-    every = every.select(*keys, "node", "part", "n", "marks", "main", "asks", "held").repartition(*keys).sortWithinPartitions(*keys)
+    every = every.select(*keys, "node", "part", "n", "marks", "asks", "held").join(sets, "node")
+    every = every.repartition(*keys).sortWithinPartitions(*keys)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches):
-            pairs = collisions(group, first, last)
+            pairs = spanning_links(group)
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -204,34 +196,53 @@ def _bounds(rows: pa.Table) -> np.ndarray:
 def _runs(rows: pa.Table, bounds: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
     if not rows.num_rows:
         return
-    columns = {k: rows.column(k).to_numpy() for k in ("node", "part", "n", "main", "asks", "held")}
+    columns = {k: rows.column(k).to_numpy() for k in ("node", "part", "n", "asks", "held", "set")}
     marks = np.frombuffer(b"".join(rows.column("marks").to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES)
     for at, end in zip(bounds[:-1], bounds[1:], strict=True):
         if end - at > 1:
             yield {k: v[at:end] for k, v in columns.items()} | {"marks": marks[at:end]}
 
 
-def collisions(group: dict[str, np.ndarray], first: int, last: int | None) -> np.ndarray:
+def spanning_links(group: dict[str, np.ndarray]) -> np.ndarray:
+    """Links between those that ask and those held, each of which joins two components of the group."""
     held, asks = np.flatnonzero(group["held"]), np.flatnonzero(group["asks"])
-    found = [np.empty((0, 2), dtype=np.int64)]
-    node, part, size, main = (group[k] for k in ("node", "part", "n", "main"))
-    outside = part[held] != main[held]
-    for at in range(0, len(asks), LIST_BLOCK):
-        own = asks[at : at + LIST_BLOCK]
-        same = (group["marks"][own][:, None] == group["marks"][held][None]).sum(axis=2, dtype=np.int16)
-        close = 100 * np.minimum(size[own][:, None], size[held][None]) >= SIMILAR * np.maximum(size[own][:, None], size[held][None])
-        able = (same >= MATCHES) & close & (node[own][:, None] != node[held][None])
-        order = np.argsort(-np.where(able, same, 0), axis=1, kind="stable")[:, first:last]
-        chosen = np.zeros_like(able)
-        np.put_along_axis(chosen, order, True, axis=1)
-        # Two rows that both ask meet twice; once is enough when all places are returned.
-        chosen &= able & (part[own][:, None] != part[held][None])
-        if last is None and first == 0:
-            chosen &= ~outside[None] | (node[own][:, None] < node[held][None])
-        i, j = np.nonzero(chosen)
-        a, b = node[own[i]], node[held[j]]
-        found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-    return np.concatenate(found)
+    node, part, size = group["node"], group["part"], group["n"]
+    known: dict[int, np.ndarray] = {}
+
+    def shingles(i: int) -> np.ndarray:
+        if i not in known:
+            known[i] = np.frombuffer(group["set"][i], dtype=np.uint64)
+        return known[i]
+
+    root = {int(p): int(p) for p in np.unique(part)}
+
+    def find(p: int) -> int:
+        while root[p] != p:
+            root[p] = root[root[p]]
+            p = root[p]
+        return p
+
+    found = []
+    for i in asks:
+        same = (group["marks"][held] == group["marks"][i]).sum(axis=1)
+        close = 100 * np.minimum(size[i], size[held]) >= SIMILAR * np.maximum(size[i], size[held])
+        able = held[(same >= MATCHES) & close & (part[held] != part[i])]
+        # The likeliest first: once two components are joined, their other pairs need no look.
+        for j in able[np.argsort(-same[np.searchsorted(held, able)], kind="stable")]:
+            if find(int(part[i])) != find(int(part[j])) and similar(shingles(i), shingles(j)):
+                root[find(int(part[i]))] = find(int(part[j]))
+                found.append((min(node[i], node[j]), max(node[i], node[j])))
+    return np.array(found, dtype=np.int64).reshape(-1, 2)
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets share enough of their union."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    if 100 * len(small) < SIMILAR * len(large):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return 100 * both >= SIMILAR * (len(x) + len(y) - both)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -250,12 +261,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     star = posted.join(leaders, "token").groupBy("node").agg(F.min("leader").alias("a")).filter("a < node")
     links = written(confirmed(star.select("a", F.col("node").alias("b")), sets), "links0")
     labels = components(links)
-    for at, (first, last) in enumerate(((0, FIRST), (FIRST, None)), 1):
-        found = written(candidates(posted, labels, first, last), f"candidates{at}")
-        more = written(confirmed(found, sets), f"links{at}")
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = components(links)
+    more = written(links_across(posted, labels, sets), "links1")
+    if not more.isEmpty():
+        labels = components(links.union(more))
 
     part = classes.select(*key, "node").join(labels, "node", "left")
     part = written(part.select(*key, F.coalesce("component_id", "node").alias("component_id")), "parts")

@@ -9,19 +9,32 @@ from pyspark.sql import functions as F
 
 from watchtrail.session import checkpoint_dir
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of an Arrow batch, so that a batch of very long texts fits a worker's memory.
+BATCH_BYTES = {"spark.sql.execution.arrow.maxBytesPerBatch": "33554432"}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table, in a session whose Arrow batches are limited in bytes."""
+    for key, value in BATCH_BYTES.items():
+        spark.conf.set(key, value)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts lineage and is computed once.
 
-    The table survives the loss of executors. It stays until the folder is cleaned.
+    The table survives the loss of executors. It stays until the folder is cleaned. The
+    shuffle files behind it are of no more use and go as soon as it is written.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
