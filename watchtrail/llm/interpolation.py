@@ -25,12 +25,10 @@ uniform probability; without held-out counts the weights are fixed ones.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,35 +101,26 @@ def dealt(docs: DataFrame, blocks: int) -> DataFrame:
 
 
 def requests(docs: DataFrame, range_bits: int) -> DataFrame:
-    """(n, range, block, n-grams, kept and deleted counts) of ``docs`` (text, use, block)."""
+    """(n, range, block, n-grams, kept and deleted counts) of ``docs`` (text, use, block).
+
+    A block is read as a whole, so it sends one row to each range of hashes.
+    """
     shift = np.uint64(HASH_BITS - range_bits)
 
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            block = batch.column("block").to_numpy()
-            order = np.argsort(block, kind="stable")
-            use = batch.column("use").to_numpy()
-            rows: list[tuple] = []
-            for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-                if not len(part):
-                    continue
-                tokens = tokenized(batch.column("text").take(pa.array(part)).to_pylist())
-                of = np.repeat(use[part], np.diff(tokens.bounds))
-                for n, grams in ((1, tokens.words), (2, bigrams(tokens))):
-                    distinct, _, kept, deleted = own_counts(grams, of)
-                    ranges = (distinct >> shift).astype(np.int64)
-                    cuts = np.flatnonzero(np.diff(ranges)) + 1
-                    for piece in np.split(np.arange(len(distinct)), cuts):
-                        parts = (distinct[piece], kept[piece], deleted[piece])
-                        planes = [to_planes(x, w) for x, w in zip(parts, WIDTHS, strict=True)]
-                        rows.append((n, int(ranges[piece[0]]), int(block[part[0]]), *planes))
-            if rows:
-                kinds = [pa.int32()] * 3 + [pa.binary()] * 3
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["n", "range", "block", "grams", "kept", "deleted"])
-
-    rows = docs.select("text", "use", "block")
-    return rows.mapInArrow(sent, "n int, range int, block int, grams binary, kept binary, deleted binary")
+    def sent(rows: pd.DataFrame) -> pd.DataFrame:
+        block, found = int(rows["block"].iloc[0]), []
+        tokens = tokenized(rows["text"].tolist())
+        use = np.repeat(rows["use"].to_numpy(), np.diff(tokens.bounds))
+        for n, grams in ((1, tokens.words), (2, bigrams(tokens))):
+            distinct, _, kept, deleted = own_counts(grams, use)
+            ranges = (distinct >> shift).astype(np.int64)
+            for at in np.split(np.arange(len(distinct)), np.flatnonzero(np.diff(ranges)) + 1):
+                planes = [to_planes(x[at], w) for x, w in zip((distinct, kept, deleted), WIDTHS, strict=True)]
+                found.append((n, int(ranges[at[0]]), block, *planes))
+        return pd.DataFrame(found, columns=["n", "range", "block", "grams", "kept", "deleted"])
+
+    rows = docs.select("text", "use", "block").groupBy("block")
+    return rows.applyInPandas(sent, "n int, range int, block int, grams binary, kept binary, deleted binary")
 
 
 def answered(rows: pd.DataFrame) -> pd.DataFrame:
