@@ -31,6 +31,9 @@ HEADLINE = (
     "insert_incidents",
     "find_related",
     "find_related_all",
+    "investigate_all",
+    "score_dataset",
+    "fit_forest",
 )
 
 

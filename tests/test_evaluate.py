@@ -58,6 +58,18 @@ def test_split_is_exact_and_stable(spark):
     assert ids(held) == ids(E.stratified_split(df.repartition(16))[1])
 
 
+def test_split_of_many_labels_is_exact(spark):
+    rows = spark.range(30_000).select(
+        F.col("id").alias("event_id"), (F.col("id") % 5000).alias("label_binary")
+    )
+    rows = rows.unionByName(spark.range(30_000, 40_000).select(F.col("id").alias("event_id"), F.lit(None).cast("long").alias("label_binary")))
+    kept, held = E.stratified_split(rows)
+    sizes = {r[0]: r[1] for r in rows.groupBy("label_binary").count().collect()}
+    found = {r[0]: r[1] for r in held.groupBy("label_binary").count().collect()}
+    assert found == {k: int(n * 0.2 + 0.5) for k, n in sizes.items()}
+    assert held.intersect(kept).isEmpty() and held.count() + kept.count() == 40_000
+
+
 def test_split_without_enough_of_a_class_is_not_stratified(spark):
     df = spark.range(10).select(F.col("id").alias("event_id"), (F.col("id") == 0).cast("int").alias("label_binary"))
     assert E.stratified_split(df)[1].count() == 2

@@ -39,6 +39,32 @@ def test_correlation_of_the_seed_rows(spark):
     assert R.find_related(table, "inc-scorer-shape").count() == 0
 
 
+def test_keyed_read_reaches_the_scan(spark, tmp_path, capsys):
+    seed(spark).write.parquet(f"{tmp_path}/store")
+    table = spark.read.parquet(f"{tmp_path}/store")
+    I.normalize_incidents(I.get_incident(table, "inc-high-001")).explain()
+    assert "EqualTo(incident_id,inc-high-001)" in capsys.readouterr().out
+    found = R.find_related(table, "inc-high-001").first()
+    assert (found.event_name, found.risk_level, found.final_risk_score) == ("StopLogging", "HIGH", 0.91)
+    renamed = table.withColumnRenamed("incident_id", "incidentId")
+    assert R.find_related(renamed, "inc-high-001").first().candidate_id == "inc-high-002"
+
+
+def test_numbers_that_are_not_finite(spark):
+    odd = json.dumps({"failed_calls_last_5m": "NaN", "hour_of_day": "NaN"})
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        ("a", NOON, "LOW", nan, nan, "p", "10.0.0.1", "GetMetricData", "cloudwatch", "us-east-1", None, odd, None),
+        ("b", NOON, "LOW", inf, inf, "q", "10.0.0.2", "GetMetricData", "cloudwatch", "us-east-1", None, odd.replace("NaN", "Infinity"), None),
+        ("c", NOON, "LOW", 0.1, 0.1, "r", "10.0.0.3", "GetMetricData", "cloudwatch", "us-east-1", None, '{"failed_calls_last_5m":9}]', None),
+    ]
+    reports = {r.incident_id: r for r in R.investigate_all(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert reports["a"].suspicious_reasons == [K.MODEL_REASON] and K.ESCALATION not in reports["a"].recommended_actions
+    assert reports["b"].suspicious_reasons[0] == "High anomaly score (inf)" and K.ESCALATION in reports["b"].recommended_actions
+    assert "Multiple recent failed calls" in reports["b"].suspicious_reasons
+    assert not any("failed" in r for r in reports["c"].suspicious_reasons)
+
+
 def test_explanations(spark):
     rows = {r.incident_id: r.explanation for r in I.explain(I.normalize_incidents(seed(spark))).collect()}
     assert rows["inc-high-001"] == [

@@ -37,6 +37,16 @@ def test_each_kind_of_rejection(spark):
     assert got[12] == V.NOT_JSON and "schema_version" in got[13] and "repeated" in got[14]
 
 
+def test_only_one_whole_json_value_is_a_message(spark):
+    good = body()
+    repeated = [good.replace('{"', '{"features": {}, "', 1), good.replace('"features": {', '"features": {"a": 0, ')]
+    bad = [good + tail for tail in ("]", "] junk", "}", "} junk", ",", "," + good, " junk", " // x", " /* x */")]
+    bad += [good.replace('"', "'"), good.replace("{", "{{", 1), '{"a": 01}', "[" + good, "NaN junk", "", " ", "null null"]
+    got = errors(spark, [good, f" {good}\n", *repeated, *bad, "null", '"text"', "3"])
+    assert got[:2] == [None, None] and all("repeated" in e for e in got[2:4])
+    assert got[4:-3] == [V.NOT_JSON] * len(bad) and got[-3:] == [V.NOT_OBJECT] * 3
+
+
 def test_feature_values(spark):
     bad = {"a": "text", "b": None, "c": [1], "d": {"x": 1}, "e": True, "f": "NaN", "g": "inf", "h": "5d", "ok": "0.5"}
     assert errors(spark, [body(features=bad)]) == [

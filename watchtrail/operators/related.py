@@ -74,7 +74,11 @@ def find_related(
     Results carry the normalised incident beside its score and reasons.
     """
     view = normalize_incidents(incidents)
-    source = normalize_incidents(get_incident(incidents, incident_id)).select(*DIMENSIONS).first()
+    source = None
+    if "incident_id" in incidents.columns:
+        source = normalize_incidents(get_incident(incidents, incident_id)).select(*DIMENSIONS).first()
+    # An id stored under another name, or in the payload, is found in the view only.
+    source = source or view.filter(F.col("incident_id") == incident_id).select(*DIMENSIONS).first()
     values = {name: source[name] for name in DIMENSIONS} if source else {}
     named = view.select(
         F.col("incident_id").alias("candidate_id"),
