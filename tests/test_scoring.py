@@ -76,3 +76,11 @@ def test_fixed_text_rounds_like_the_binary_value(spark):
         if 0 <= row.v < 8:
             assert row.two == f"{row.v:.2f}"
             assert row.four == f"{row.v:.4f}"
+
+
+def test_nodes_are_sent_once_per_model(spark):
+    from watchtrail.plans.catalog import fixed_forest
+
+    model = fixed_forest()
+    first = model.packed(spark)
+    assert model.packed(spark) is first and model.with_manifest(model_version="2").packed(spark) is first

@@ -75,13 +75,14 @@ def _last_held_out(rows: DataFrame, share: float) -> DataFrame:
 def score_curve(df: DataFrame, score: str, label: str = K.TARGET, keep: bool = False) -> DataFrame:
     """One row per distinct score with the rows and positives at or above it.
 
-    ``keep`` caches the per-score counts, for scores that are costly to compute.
+    ``keep`` checkpoints the per-score counts, for scores that are costly to compute.
     """
     counted = df.groupBy(F.col(score).cast("double").alias("score")).agg(
         F.count("*").alias("rows"), F.sum(F.col(label).cast("long")).alias("hits")
     )
     if keep:
-        counted = counted.persist()
+        checkpoint_dir(df.sparkSession)
+        counted = counted.checkpoint()
     ranked = running_totals(
         quantile_buckets(counted, "score", "_bucket"),
         F.col("score"),

@@ -43,6 +43,8 @@ class ForestModel:
 
     nodes: pd.DataFrame = field(repr=False)
     manifest: dict
+    #: The packed nodes as broadcast, by application; models that differ in their manifest only share it.
+    shared: dict = field(default_factory=dict, repr=False, compare=False)
 
     @property
     def features(self) -> list[str]:
@@ -56,11 +58,19 @@ class ForestModel:
         return spark.createDataFrame(self.nodes, TREE_SCHEMA)
 
     def with_manifest(self, **entries) -> ForestModel:
-        return ForestModel(self.nodes, {**self.manifest, **entries})
+        return ForestModel(self.nodes, {**self.manifest, **entries}, self.shared)
+
+    def packed(self, spark: SparkSession):
+        """The nodes, packed and sent to the executors once per application."""
+        context = spark.sparkContext
+        if context.applicationId not in self.shared:
+            self.shared.clear()
+            self.shared[context.applicationId] = context.broadcast(_pack(self.nodes))
+        return self.shared[context.applicationId]
 
     def decision(self, spark: SparkSession, read: FeatureReader = F.col) -> Column:
         """Decision value per row: below 0 is the uncalibrated boundary."""
-        packed = spark.sparkContext.broadcast(_pack(self.nodes))
+        packed = self.packed(spark)
         sample, offset = self.manifest["sample_size"], self.manifest["offset"]
         scale = float(average_path(sample)) or 1.0
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchtrail.functions.values import all_of
+from watchtrail.session import checkpoint_dir
 
 #: Rows of a bucket that one window task sorts.
 BUCKET_ROWS = 1_000_000
@@ -103,7 +104,7 @@ def percentile_by_group(
     """Exact interpolated percentile per group; one row per group.
 
     Equal values are counted before the shuffle, and no group is held in one task.
-    ``keep`` caches the counts, for a ``df`` that is costly to compute twice.
+    ``keep`` checkpoints the counts, for a ``df`` that is costly to compute twice.
     """
     counted = (
         df.filter(F.col(value).isNotNull())
@@ -111,7 +112,8 @@ def percentile_by_group(
         .agg(F.count("*").alias("_n"))
     )
     if keep:
-        counted = counted.persist()
+        checkpoint_dir(df.sparkSession)
+        counted = counted.checkpoint()
     ranked = running_totals(
         quantile_buckets(counted, "_v", "_bucket"), F.col("_v"), "_bucket", ["_n"], keys, grand=True
     )
