@@ -54,7 +54,9 @@ def test_scoring_stream_isolates_bad_rows_and_ignores_redelivery(spark, tmp_path
     high = sorted(r.incident_id for r in rows.values() if r.risk_level == "HIGH")
     alerts = spark.read.json(f"{out}/alerts").filter("incident_id IS NOT NULL")
     assert sorted(r.incident_id for r in alerts.collect()) == high == ["a", "c"]
-    errors = sorted(r.error for r in read_quarantine(spark, out).collect())
+    named = read_quarantine(spark, out).collect()
+    assert all(r.message_id and r.arrived_at for r in named)
+    errors = sorted(r.error for r in named)
     assert errors[0].startswith("Event is missing required features") and len(errors) == 2
 
 

@@ -184,6 +184,12 @@ def scoring_metrics(
     return counted.select(F.col("window.start").alias("period_start"), "*").drop("window")
 
 
+def quarantine_metrics(rejected: DataFrame, period: str = PERIOD, time: str = "arrived_at") -> DataFrame:
+    """Quarantined messages per tumbling period of their arrival."""
+    counted = rejected.groupBy(F.window(time, period)["start"].alias("period_start"))
+    return counted.agg(F.count("*").alias("quarantined"))
+
+
 def alarms(metrics: DataFrame) -> DataFrame:
     """One row per period and alarm. A missing reading is not a breach."""
 

@@ -694,8 +694,11 @@ def scoring_metrics(spark, sf_dir):
 
 @query
 def alarms(spark, sf_dir):
-    metrics = P.scoring_metrics(_processed(spark, sf_dir), processed="processed_at")
-    df = P.alarms(metrics.withColumn("quarantined", F.col("processing_failures")))
+    processed = _processed(spark, sf_dir)
+    metrics = P.scoring_metrics(processed, processed="processed_at")
+    rejected = P.quarantine_metrics(processed.filter("error IS NOT NULL"), time="timestamp")
+    joined = metrics.join(rejected, "period_start", "left")
+    df = P.alarms(joined.withColumn("quarantined", F.coalesce("quarantined", F.lit(0))))
     return df.select(_micros("period_start", "period_us"), "alarm", "reading", "breached")
 
 

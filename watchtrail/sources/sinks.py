@@ -56,9 +56,10 @@ def insert_incidents(incoming: DataFrame, path: str, batch_id: int) -> DataFrame
 
 
 def quarantine(rejected: DataFrame, path: str, batch_id: int | None = None) -> None:
-    """Keep rejected messages with their reason."""
+    """Keep rejected messages with their reason, and their name and arrival where known."""
     target = path if batch_id is None else f"{path}/batch_id={batch_id}"
-    rejected.select("body", "error").write.mode("overwrite").json(target)
+    named = [c for c in ("message_id", "arrived_at", "position") if c in rejected.columns]
+    rejected.select(*named, "body", "error").write.mode("overwrite").json(target)
 
 
 def write_alerts(incidents: DataFrame, path: str, batch_id: int | None = None) -> None:

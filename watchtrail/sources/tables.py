@@ -63,9 +63,16 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_envelopes(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Queue of scoring messages, one per line of each file dropped into a folder."""
+    """Queue of scoring messages, one per line of each file dropped into a folder.
+
+    A message arrives when its file does; ``score_batch`` names it by its file and place.
+    """
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
-    return lines.select(F.col("value").alias("body"))
+    return lines.select(
+        F.col("value").alias("body"),
+        F.col("_metadata.file_name").alias("message_file"),
+        F.col("_metadata.file_modification_time").alias("arrived_at"),
+    )
 
 
 def stream_envelopes_kafka(spark: SparkSession, servers: str, topic: str) -> DataFrame:
@@ -76,4 +83,9 @@ def stream_envelopes_kafka(spark: SparkSession, servers: str, topic: str) -> Dat
         .option("subscribe", topic)
         .load()
     )
-    return records.select(F.col("value").cast("string").alias("body"))
+    return records.select(
+        F.col("value").cast("string").alias("body"),
+        F.col("timestamp").alias("arrived_at"),
+        F.col("offset").alias("position"),
+        F.concat_ws(":", "topic", "partition", "offset").alias("message_id"),
+    )

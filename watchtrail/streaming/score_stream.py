@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from watchtrail.operators.forest import ForestModel
 from watchtrail.operators.incidents import build_incidents
+from watchtrail.operators.ranking import first_per_key
 from watchtrail.operators.score import judge_envelopes, score_accepted
 from watchtrail.operators.validate import split_errors
 from watchtrail.sources.sinks import insert_incidents, quarantine, write_alerts
@@ -20,9 +21,17 @@ def score_batch(batch: DataFrame, batch_id: int, model: ForestModel, folder: str
     retried after a failure replaces what it wrote before. A failed write fails the batch.
     Messages are opened once for all outputs.
     """
+    if "message_file" in batch.columns:
+        batch = batch.withColumn("position", F.monotonically_increasing_id()).withColumn(
+            "message_id", F.concat_ws(":", "message_file", "position")
+        )
     judged = judge_envelopes(batch, model).persist()
     try:
         accepted, rejected = split_errors(judged)
+        if {"arrived_at", "position"} <= set(accepted.columns):
+            # All rows of a batch get one scoring time, so the first arrival is picked here.
+            arrival = [F.col("arrived_at").asc_nulls_last(), F.col("position").asc_nulls_last()]
+            accepted = first_per_key(accepted, ["event_id"], arrival)
         incidents = build_incidents(score_accepted(accepted, model), features=None)
         fresh = insert_incidents(incidents, f"{folder}/incidents", batch_id)
         write_alerts(fresh, f"{folder}/alerts", batch_id)
@@ -61,5 +70,5 @@ def read_incidents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_quarantine(spark: SparkSession, folder: str) -> DataFrame:
-    schema = "body string, error string, batch_id long"
-    return spark.read.schema(schema).json(f"{folder}/quarantine").select(F.col("body"), F.col("error"))
+    schema = "message_id string, arrived_at timestamp, body string, error string, batch_id long"
+    return spark.read.schema(schema).json(f"{folder}/quarantine").drop("batch_id")
