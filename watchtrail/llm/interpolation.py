@@ -12,8 +12,9 @@ into blocks by hash. A block sends each distinct n-gram once, with its own count
 n-gram's range of hashes; the range adds up, and answers only where the total differs from
 what the block already knows. Since most n-grams occur in one block only, answers are few.
 N-grams of deleted documents are answered in any case, so that these can be read alone.
-N-grams travel as sorted 56-bit hashes, two of a corpus of 1e11 n-grams sharing one with a
-chance of about 1e-6. Frequent n-grams cost one entry per block, so none is hot.
+N-grams travel as sorted hashes of as many bytes as keep the chance that an n-gram shares
+its hash below 1e-6 at the corpus's size. Frequent n-grams cost one entry per block, so
+none is hot.
 
 Only the held-out statistics, binned, reach the driver; their size depends on the bins.
 
@@ -33,12 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchtrail.llm.shared import written
-from watchtrail.llm.text import scramble, word_hashes
+from watchtrail.llm.text import blocks, scramble, word_hashes
 
 BLOCK_BYTES = 8_000_000
 RANGE_ENTRIES = 1_000_000
 LEAST_BLOCKS = 24
-HASH_BITS = 56
+#: Bits of a hash beyond those that number the tokens of the corpus.
+SPARE_BITS = 20
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
 CONTEXT = np.uint64(0xD1342543DE82EF95)
@@ -55,22 +57,33 @@ class Tokens(NamedTuple):
     words: np.ndarray
     before: np.ndarray
     bounds: np.ndarray
+    bits: int
 
 
-def tokenized(texts: list[str | None]) -> Tokens:
+def hash_bits(tokens: float) -> int:
+    """Bits of a hash, in whole bytes, for a corpus of so many tokens."""
+    return min(64, 8 * math.ceil((math.log2(max(2.0, tokens)) + SPARE_BITS) / 8))
+
+
+def tokenized(texts: list[str | None], bits: int) -> Tokens:
     """Hashes of all tokens (words of the lower-cased texts and an end each) and of the tokens before."""
     data = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-    hashes, bounds = word_hashes(data)
-    words = np.insert(hashes, bounds[1:], END) >> np.uint64(64 - HASH_BITS)
+    parts, bounds = [np.empty(0, dtype=np.uint64)], [np.zeros(1, dtype=np.int64)]
+    for first, end in blocks(data):
+        own, at = word_hashes(data[first:end])
+        parts.append(own)
+        bounds.append(at[1:] + bounds[-1][-1])
+    hashes, bounds = np.concatenate(parts), np.concatenate(bounds)
+    words = np.insert(hashes, bounds[1:], END) >> np.uint64(64 - bits)
     bounds = bounds + np.arange(len(bounds))
     before = np.empty_like(words)
     before[1:] = words[:-1]
-    before[bounds[:-1]] = START >> np.uint64(64 - HASH_BITS)
-    return Tokens(words, before, bounds)
+    before[bounds[:-1]] = START >> np.uint64(64 - bits)
+    return Tokens(words, before, bounds, bits)
 
 
 def bigrams(tokens: Tokens) -> np.ndarray:
-    return scramble(tokens.before * CONTEXT + tokens.words) >> np.uint64(64 - HASH_BITS)
+    return scramble(tokens.before * CONTEXT + tokens.words) >> np.uint64(64 - tokens.bits)
 
 
 def own_counts(grams: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +105,8 @@ def from_planes(data: bytes, width: int) -> np.ndarray:
     return found.view("<u8").ravel().astype(np.uint64)
 
 
-WIDTHS = (HASH_BITS // 8, 5, 5)
+#: Bytes of a count.
+COUNT = 5
 
 
 def dealt(docs: DataFrame, blocks: int) -> DataFrame:
@@ -100,22 +114,22 @@ def dealt(docs: DataFrame, blocks: int) -> DataFrame:
     return docs.withColumn("block", place)
 
 
-def requests(docs: DataFrame, range_bits: int) -> DataFrame:
+def requests(docs: DataFrame, bits: int, range_bits: int) -> DataFrame:
     """(n, range, block, n-grams, kept and deleted counts) of ``docs`` (text, use, block).
 
     A block is read as a whole, so it sends one row to each range of hashes.
     """
-    shift = np.uint64(HASH_BITS - range_bits)
+    shift, widths = np.uint64(bits - range_bits), (bits // 8, COUNT, COUNT)
 
     def sent(rows: pd.DataFrame) -> pd.DataFrame:
         block, found = int(rows["block"].iloc[0]), []
-        tokens = tokenized(rows["text"].tolist())
+        tokens = tokenized(rows["text"].tolist(), bits)
         use = np.repeat(rows["use"].to_numpy(), np.diff(tokens.bounds))
         for n, grams in ((1, tokens.words), (2, bigrams(tokens))):
             distinct, _, kept, deleted = own_counts(grams, use)
             ranges = (distinct >> shift).astype(np.int64)
             for at in np.split(np.arange(len(distinct)), np.flatnonzero(np.diff(ranges)) + 1):
-                planes = [to_planes(x[at], w) for x, w in zip((distinct, kept, deleted), WIDTHS, strict=True)]
+                planes = [to_planes(x[at], w) for x, w in zip((distinct, kept, deleted), widths, strict=True)]
                 found.append((n, int(ranges[at[0]]), block, *planes))
         return pd.DataFrame(found, columns=["n", "range", "block", "grams", "kept", "deleted"])
 
@@ -123,35 +137,40 @@ def requests(docs: DataFrame, range_bits: int) -> DataFrame:
     return rows.applyInPandas(sent, "n int, range int, block int, grams binary, kept binary, deleted binary")
 
 
-def answered(rows: pd.DataFrame) -> pd.DataFrame:
-    """Totals of one range of n-grams, for the blocks whose own counts differ, and for deleted documents.
+def answers(rows: DataFrame, bits: int) -> DataFrame:
+    """Totals of the n-grams of ``requests``, by range: (n, block, n-grams, counts, held_out).
 
-    The row of block -1 has the range's sums.
+    A block is told the counts in all training documents where they differ from its own,
+    and, for n-grams of its deleted documents, the counts in kept ones (``held_out``). The
+    row of block -1 has the range's sums.
     """
-    parts = [[from_planes(d, w) for d in rows[c]] for c, w in zip(("grams", "kept", "deleted"), WIDTHS, strict=True)]
-    grams, kept, deleted = map(np.concatenate, parts)
-    block = np.repeat(rows["block"].to_numpy(), [len(g) for g in parts[0]])
-    order = np.lexsort((block, grams))
-    grams, block, kept, deleted = grams[order], block[order], kept[order], deleted[order]
-    new = np.concatenate([[True], grams[1:] != grams[:-1]])
-    first = np.flatnonzero(new | np.concatenate([[True], block[1:] != block[:-1]]))
-    kept, deleted = np.add.reduceat(kept, first), np.add.reduceat(deleted, first)
-    grams, block, new = grams[first], block[first], new[first]
-    starts = np.flatnonzero(new)
-    totals = [np.add.reduceat(x, starts) for x in (kept, deleted)]
-    every = [np.repeat(t, np.diff(np.append(starts, len(grams)))) for t in totals]
-    n = int(rows["n"].iloc[0])
-    sums = [totals[0].sum(), totals[1].sum(), (totals[0] > 0).sum(), (totals[0] + totals[1] > 0).sum()]
-    found = [(n, -1, np.array(sums, dtype="<i8").tobytes(), b"", b"", False)]
-    differs = (every[0] != kept) | (every[1] != deleted)
-    for chosen, held_out in ((differs, False), (deleted > 0, True)):
-        rest = np.flatnonzero(chosen)
-        rest = rest[np.lexsort((grams[rest], block[rest]))]
-        for at in np.split(rest, np.flatnonzero(np.diff(block[rest])) + 1):
-            if len(at):
-                planes = [to_planes(x[at], w) for x, w in zip((grams, *every), WIDTHS, strict=True)]
-                found.append((n, int(block[at[0]]), *planes, held_out))
-    return pd.DataFrame(found, columns=["n", "block", "grams", "kept", "deleted", "held_out"])
+    width = bits // 8
+
+    def answer(rows: pd.DataFrame) -> pd.DataFrame:
+        columns = (("grams", width), ("kept", COUNT), ("deleted", COUNT))
+        parts = [[from_planes(d, w) for d in rows[c]] for c, w in columns]
+        grams, kept, deleted = map(np.concatenate, parts)
+        block = np.repeat(rows["block"].to_numpy(), [len(g) for g in parts[0]])
+        order = np.lexsort((block, grams))
+        grams, block, kept, deleted = grams[order], block[order], kept[order], deleted[order]
+        new = np.concatenate([[True], grams[1:] != grams[:-1]])
+        starts = np.flatnonzero(new)
+        totals = [np.add.reduceat(x, starts) for x in (kept, deleted)]
+        all_kept, all_deleted = (np.repeat(t, np.diff(np.append(starts, len(grams)))) for t in totals)
+        n = int(rows["n"].iloc[0])
+        sums = [totals[0].sum(), totals[1].sum(), (totals[0] > 0).sum(), (totals[0] + totals[1] > 0).sum()]
+        found = [(n, -1, np.array(sums, dtype="<i8").tobytes(), b"", False)]
+        differs = (all_kept != kept) | (all_deleted != deleted)
+        for chosen, counts, held_out in ((differs, all_kept + all_deleted, False), (deleted > 0, all_kept, True)):
+            rest = np.flatnonzero(chosen)
+            rest = rest[np.lexsort((grams[rest], block[rest]))]
+            for at in np.split(rest, np.flatnonzero(np.diff(block[rest])) + 1):
+                if len(at):
+                    found.append((n, int(block[at[0]]), to_planes(grams[at], width), to_planes(counts[at], COUNT), held_out))
+        return pd.DataFrame(found, columns=["n", "block", "grams", "counts", "held_out"])
+
+    kinds = "n int, block int, grams binary, counts binary, held_out boolean"
+    return rows.groupBy("n", "range").applyInPandas(answer, kinds)
 
 
 class Totals(NamedTuple):
@@ -161,22 +180,26 @@ class Totals(NamedTuple):
     types: int
 
 
-def looked_up(grams: np.ndarray, use: np.ndarray, answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct n-grams, counts in kept and in deleted documents of the corpus), and the tokens' places."""
-    distinct, place, kept, deleted = own_counts(grams, use)
-    for hashes, *totals in answers[["grams", "kept", "deleted"]].itertuples(index=False):
-        at = np.searchsorted(distinct, from_planes(hashes, WIDTHS[0]))
-        kept[at], deleted[at] = (from_planes(t, 5).astype(np.int64) for t in totals)
-    return distinct, place, np.stack([kept, deleted])
+def looked_up(grams: np.ndarray, counts: np.ndarray | None, found: pd.DataFrame, bits: int) -> tuple[np.ndarray, ...]:
+    """(distinct n-grams, counts, places of the tokens): own counts of some tokens, or as answered."""
+    distinct, place = np.unique(grams, return_inverse=True)
+    total = np.zeros(len(distinct), dtype=np.int64)
+    if counts is not None:
+        total += np.bincount(place[counts], minlength=len(distinct))
+    for hashes, numbers in found[["grams", "counts"]].itertuples(index=False):
+        total[np.searchsorted(distinct, from_planes(hashes, bits // 8))] = from_planes(numbers, COUNT).astype(np.int64)
+    return distinct, total, place
+
 
+def estimates(tokens: Tokens, own: np.ndarray | None, found: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """Per token: counts of the bigram, the context and the word.
 
-def estimates(tokens: Tokens, use: np.ndarray, answers: pd.DataFrame, all_counts: bool) -> tuple[np.ndarray, ...]:
-    """Per token: counts of the bigram, the context and the word, in all training documents or the kept ones."""
-    words, place, one = looked_up(tokens.words, use, answers[answers["n"] == 1])
-    _, place2, two = looked_up(bigrams(tokens), use, answers[answers["n"] == 2])
-    one, two = (x.sum(axis=0) if all_counts else x[0] for x in (one, two))
+    ``own`` marks the tokens that count in this block; None if all counts are answered.
+    """
+    words, one, place = looked_up(tokens.words, own, found[found["n"] == 1], tokens.bits)
+    _, two, place2 = looked_up(bigrams(tokens), own, found[found["n"] == 2], tokens.bits)
     before = tokens.before.copy()
-    before[tokens.bounds[:-1]] = END >> np.uint64(64 - HASH_BITS)  # a start for every end
+    before[tokens.bounds[:-1]] = END >> np.uint64(64 - tokens.bits)  # a start for every end
     context = one[np.searchsorted(words, before)]
     return two[place2], context, one[place]
 
@@ -191,24 +214,23 @@ def binned(part: np.ndarray, whole: np.ndarray | int) -> np.ndarray:
         return np.where(part > 0, 1 + np.round(-BINS * np.log10(part / whole)), 0).astype(np.int64)
 
 
-def _grouped(docs: DataFrame, answers: DataFrame):
-    return docs.groupBy("block").cogroup(answers.groupBy("block"))
+def _grouped(docs: DataFrame, found: DataFrame):
+    return docs.groupBy("block").cogroup(found.groupBy("block"))
 
 
-def held_out_counts(docs: DataFrame, answers: DataFrame, sums: Totals) -> DataFrame:
+def held_out_counts(docs: DataFrame, found: DataFrame, sums: Totals, bits: int) -> DataFrame:
     """(bucket, bigram bin, word bin, tokens) over the deleted documents, seen through the kept ones."""
 
     def counted(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame({"bucket": [], "two": [], "one": [], "tokens": []})
-        tokens = tokenized(rows["text"].tolist())
-        use = np.repeat(rows["use"].to_numpy(), np.diff(tokens.bounds))
-        two, context, one = estimates(tokens, use, found, all_counts=False)
+        tokens = tokenized(rows["text"].tolist(), bits)
+        two, context, one = estimates(tokens, None, found)
         bins = pd.DataFrame({"bucket": bucket(context), "two": binned(two, context), "one": binned(one, max(1, sums.kept))})
         return bins.groupby(["bucket", "two", "one"]).size().reset_index(name="tokens")
 
     kinds = "bucket long, two long, one long, tokens long"
-    counts = _grouped(docs, answers).applyInPandas(counted, kinds)
+    counts = _grouped(docs, found).applyInPandas(counted, kinds)
     return counts.groupBy("bucket", "two", "one").agg(F.sum("tokens").alias("tokens"))
 
 
@@ -235,7 +257,7 @@ def learn_weights(counts: pd.DataFrame, uniform: float) -> np.ndarray:
     return weights
 
 
-def scored(docs: DataFrame, answers: DataFrame, sums: Totals, weights: np.ndarray, uniform: float) -> DataFrame:
+def scored(docs: DataFrame, found: DataFrame, sums: Totals, weights: np.ndarray, uniform: float, bits: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     total = sums.kept + sums.deleted
     floor = total + SMOOTH * (sums.types + 1)
@@ -243,9 +265,9 @@ def scored(docs: DataFrame, answers: DataFrame, sums: Totals, weights: np.ndarra
     def score(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame({"doc_id": [], "use": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []})
-        tokens = tokenized(rows["text"].tolist())
-        use = np.repeat(rows["use"].to_numpy(), np.diff(tokens.bounds))
-        two, context, one = estimates(tokens, use, found, all_counts=True)
+        tokens = tokenized(rows["text"].tolist(), bits)
+        taught = np.repeat(rows["use"].to_numpy() != EVALUATED, np.diff(tokens.bounds))
+        two, context, one = estimates(tokens, taught, found)
         mix = shared.value[bucket(context)]
         chance = mix[:, 0] * two / np.maximum(context, 1) + mix[:, 1] * one / max(1, total) + mix[:, 2] * uniform
         add = lambda x: np.add.reduceat(x, tokens.bounds[:-1])
@@ -261,7 +283,7 @@ def scored(docs: DataFrame, answers: DataFrame, sums: Totals, weights: np.ndarra
         )
 
     kinds = "doc_id long, use int, n_tokens long, n_known long, base_score double, score double"
-    return _grouped(docs, answers).applyInPandas(score, kinds)
+    return _grouped(docs, found).applyInPandas(score, kinds)
 
 
 def model_scores(docs: DataFrame) -> DataFrame:
@@ -273,20 +295,18 @@ def model_scores(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     total = (size[0] or 0) + size[1]
     blocks = max(LEAST_BLOCKS, math.ceil(total / BLOCK_BYTES))
+    bits = hash_bits(total / 6)
     range_bits = max(4, math.ceil(math.log2(max(1, total / 6 / RANGE_ENTRIES))))
     docs = dealt(docs.select(F.col("doc_id").cast("long"), "text", F.col("use").cast("int").alias("use")), blocks)
-    found = requests(docs, range_bits).groupBy("n", "range").applyInPandas(
-        answered, "n int, block int, grams binary, kept binary, deleted binary, held_out boolean"
-    )
-    answers = written(found, "answers")
+    found = written(answers(requests(docs, bits, range_bits), bits), "answers")
     # One row per range of hashes.
-    each = [np.frombuffer(r["grams"], dtype="<i8") for r in answers.filter("block < 0 and n = 1").select("grams").collect()]
+    each = [np.frombuffer(r["grams"], dtype="<i8") for r in found.filter("block < 0 and n = 1").select("grams").collect()]
     sums = Totals(*map(int, np.sum(each, axis=0))) if each else Totals(0, 0, 0, 0)
-    answers = answers.filter("block >= 0")
+    found = found.filter("block >= 0")
     deleted = docs.filter(F.col("use") == DELETED)
-    counts = held_out_counts(deleted, answers.filter("held_out"), sums).toPandas()
+    counts = written(held_out_counts(deleted, found.filter("held_out"), sums, bits), "held_out").toPandas()
     weights = learn_weights(counts, 1 / (sums.kept_types + 1))
     if not sums.types:
         weights = np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
-    result = scored(docs, answers.filter("not held_out"), sums, weights, 1 / (sums.types + 1))
+    result = scored(docs, found.filter("not held_out"), sums, weights, 1 / (sums.types + 1), bits)
     return result.withColumn("train_tokens", F.lit(sums.kept + sums.deleted).cast("long"))
