@@ -99,7 +99,7 @@ def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray, features: int,
 def fit_hinge(rows: list[np.ndarray], signs: np.ndarray, ratios: np.ndarray, cost: np.ndarray, passes: int) -> np.ndarray:
     """Weights (the last is the bias) of min |w|^2 / 2 + sum cost * hinge, by dual coordinate descent."""
     weights, alpha = np.zeros(len(ratios) + 1), np.zeros(len(rows))
-    values = [ratios[r] / math.sqrt(max(1, len(r))) for r in rows]
+    values = [(ratios[r] / math.sqrt(max(1, len(r)))).astype(np.float32) for r in rows]
     norms = np.array([float(v @ v) + 1.0 for v in values])
     order = np.random.default_rng(7)
     for _ in range(passes):
@@ -162,16 +162,30 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learnable: Column, size:
     return found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(size)
 
 
+def fitted(sample: DataFrame) -> tuple[np.ndarray, float, float]:
+    """``fit`` of a bounded sample (text, label), in one task; the model comes to the driver."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[bytes] = []
+        labels: list[int] = []
+        for batch in batches:
+            texts += [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+            labels += batch.column("label").to_pylist()
+        scaled, slope, shift = fit(texts, np.array(labels, dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([scaled.tobytes()]), pa.array([slope]), pa.array([shift])], ["w", "slope", "shift"])
+
+    row = sample.select("text", "label").coalesce(1).mapInArrow(learn, "w binary, slope double, shift double").first()
+    if row is None:  # an empty sample may have no partition
+        return fit([], np.array([], dtype=np.int64))
+    return np.frombuffer(row["w"]), row["slope"], row["shift"]
+
+
 def score(docs: DataFrame, labels: DataFrame, learnable: Column, *, sample: int = SAMPLE) -> DataFrame:
     """``docs`` (doc_id, text) with ``score``, the probability of label 1.
 
     ``learnable`` says of a label's ``doc_id`` whether it may be learnt from.
     """
-    spark = docs.sparkSession
-    known = labelled_sample(docs, labels, learnable, sample).toArrow()
-    texts = [(t or "").encode("utf-8", "surrogatepass") for t in known["text"].to_pylist()]
-    model = fit(texts, np.array(known["label"].to_pylist(), dtype=np.int64))
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(labelled_sample(docs, labels, learnable, sample)))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scaled, slope, shift = shared.value
