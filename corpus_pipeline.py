@@ -49,7 +49,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret in the text replaced by a mark."""
     wrapped = docs.select("text", F.struct(*docs.columns).alias("row"))
-    clean = secret_scan.redact(secret_scan.scan(wrapped))
+    clean = secret_scan.redact(secret_scan.scan(wrapped, whole=True))
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)

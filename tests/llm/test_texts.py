@@ -86,6 +86,17 @@ def test_secret_scan(spark, documents, no_documents):
     assert secret_scan.scan(no_documents).count() == 0
 
 
+def test_whole_secret_scan(spark):
+    lower, mixed, letters = "k3j9x2m7q8w4z1v6b5n0", "Zx8Kq2Lm9Pw4Rt6Yb3Nv", "QzXwKvJpYtRbNhGmLcDf"
+    hidden = [lower, f"docs/example/{mixed}", f"x_placeholder={mixed}", f"{mixed}/changeme", "ZxbKqdLmePw4RtfYbgNv", letters.swapcase()[:10] + letters[10:]]
+    left = ["thereisaverylongwordthatnobodyreads", "123e4567-e89b-12d3-a456-426614174000", "sha256-Zx8Kq2Lm9Pw4Rt6Yb3NvAAAAA", "docs/example/page", "the_quick_brown_fox_jumps"]
+    docs = spark.createDataFrame([(f"é see {v} there",) for v in hidden + left], "text string")
+    rows = [r["text"] for r in secret_scan.redact(secret_scan.scan(docs, whole=True)).collect()]
+    assert all("[secret]" in r for r in rows[: len(hidden)])
+    assert not any(key in r for r in rows[: len(hidden)] for key in (lower, mixed, "ZxbKqdLmePw4RtfYbgNv"))
+    assert rows[len(hidden) :] == [f"é see {v} there" for v in left]
+
+
 def test_token_counts_equal_greedy_matching(documents, no_documents):
     pieces = set(token_count.read_pieces(PATH))
     longest = max(map(len, pieces))

@@ -7,6 +7,11 @@ in and one out per step, and with them the sum of c * log2(c), which gives the e
 every window. The windows at or above the class's threshold make the span. A run that lies
 in a pattern's span, lacks the class's mix of characters, or is on the allow-list is left.
 
+``scan(..., whole=True)`` judges windows rather than runs (``WHOLE_CLASSES``): lower case with
+digits is a class, one character of a kind is enough, mixed case without a digit needs more
+bits, and only the allow-listed part of a run (``PUBLIC``) is left out, so what stands beside
+it is measured. The default keeps the rules that the SQL of ``op9_secret_scan`` states.
+
 A null text is empty; an empty text has no spans. Rows are independent: repeated ids and
 rows, ties and further columns do not matter. Positions are code points, end exclusive.
 """
@@ -46,6 +51,24 @@ ALLOWED = (
     r"^(sha1|sha256|sha384|sha512|md5)[-=]",
 )
 
+_LETTER = CLASSES["base64"][0]
+#: As above, by the windows' entropy. Text of long words stays below the bits of runs without a digit.
+WHOLE_CLASSES = {
+    "hexadecimal": CLASSES["hexadecimal"],
+    "upper": (CLASSES["upper"][0], (r"[0-9]", r"[A-Z]"), 3.4),
+    "lower": ("abcdefghijklmnopqrstuvwxyz0123456789", (r"[0-9]", r"[a-z]"), 3.5),
+    "base64": (_LETTER, (r"[0-9]", r"[A-Z]", r"[a-z]"), 3.8),
+    "letters": (_LETTER, (r"[A-Z]", r"[a-z]"), 4.0),
+}
+_ASIDE = r"A-Za-z0-9+/_=\-"
+#: The allow-listed parts: whole identifiers, digests with their lengths, marked words.
+PUBLIC = (
+    rf"(?<![{_ASIDE}])[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}(?![{_ASIDE}])"
+    rf"|(?<![{_ASIDE}])(?:md5[-=][A-Za-z0-9+/]{{1,32}}|sha1[-=][A-Za-z0-9+/]{{1,40}}|sha256[-=][A-Za-z0-9+/]{{1,64}}"
+    r"|sha384[-=][A-Za-z0-9+/]{1,96}|sha512[-=][A-Za-z0-9+/]{1,128})={0,2}"
+    r"|(?i:example|placeholder|changeme|0123456789|abcdefghij)"
+)
+
 
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of the leftmost non-overlapping matches."""
@@ -112,8 +135,16 @@ def hot_range(value: Column, alphabet: str, bits: float, window: int = WINDOW) -
     return F.aggregate(moves, zero, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
-def _entropy_spans(text: Column, base: Column, name: str, allowed: tuple[str, ...]) -> Column:
-    alphabet, must, bits = CLASSES[name]
+def blanked(text: Column, pattern: str) -> Column:
+    """``text`` with every match of ``pattern`` replaced by as many spaces."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    spaces = F.concat(F.transform(found, lambda v: F.repeat(F.lit(" "), F.length(v))), F.array(F.lit("")))
+    pieces = F.zip_with(F.split(text, pattern, -1), spaces, lambda piece, gap: F.concat(piece, gap))
+    return F.when(F.rlike(text, F.lit(pattern)), F.array_join(pieces, "")).otherwise(text)
+
+
+def _entropy_spans(text: Column, base: Column, kind: tuple[str, tuple[str, ...], float], allowed: tuple[str, ...]) -> Column:
+    alphabet, must, bits = kind
     letters = alphabet.replace("-", r"\-")
     found = matches(text, f"[{letters}]{{{WINDOW},}}")
 
@@ -132,7 +163,7 @@ def _entropy_spans(text: Column, base: Column, name: str, allowed: tuple[str, ..
     return F.transform(hot, lambda m: _span("entropy", m["at"] + m["hot"]["first"], m["at"] + m["hot"]["last"]))
 
 
-def scan(docs: DataFrame, *, text_col: str = "text", allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
+def scan(docs: DataFrame, *, text_col: str = "text", allowed: tuple[str, ...] = ALLOWED, whole: bool = False) -> DataFrame:
     """``docs`` with ``base_spans`` and ``secret_spans``: array<struct<start, rank, end, kind>>, in order.
 
     Both columns replace columns of these names. An added span that lies in a pattern's
@@ -150,8 +181,12 @@ def scan(docs: DataFrame, *, text_col: str = "text", allowed: tuple[str, ...] =
     base = F.col("base_spans")
     opened = docs.withColumn("secret_text", F.coalesce(F.col(text_col), F.lit("")))
     opened = opened.withColumn("base_spans", F.array_sort(F.concat(*patterns)))
-    added = F.array_distinct(F.concat(*[_entropy_spans(text, base, name, allowed) for name in CLASSES]))
-    opened = opened.withColumn("added_spans", added)
+    if whole:
+        opened = opened.withColumn("open_text", blanked(text, PUBLIC))
+        each = [_entropy_spans(F.col("open_text"), base, kind, ()) for kind in WHOLE_CLASSES.values()]
+    else:
+        each = [_entropy_spans(text, base, kind, allowed) for kind in CLASSES.values()]
+    opened = opened.withColumn("added_spans", F.array_distinct(F.concat(*each)))
 
     def alone(s: Column) -> Column:
         return ~F.exists(
@@ -160,7 +195,7 @@ def scan(docs: DataFrame, *, text_col: str = "text", allowed: tuple[str, ...] =
         )
 
     every = F.array_sort(F.concat(base, F.filter(F.col("added_spans"), alone)))
-    return opened.withColumn("secret_spans", every).drop("secret_text", "added_spans")
+    return opened.withColumn("secret_spans", every).drop("secret_text", "open_text", "added_spans")
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
