@@ -201,6 +201,28 @@ def test_mixing(spark, documents, no_documents):
     assert mixing.mix(no_documents).count() == 0
 
 
+def test_mixing_with_documents_beyond_the_room(spark):
+    """No source ends further from its target than by one document more or less."""
+    sizes = {"a": [700, 40], "b": [100] * 2 + [1], "c": [90], "d": [500, 500, 500], "e": [1000] + [10] * 30, "f": [950, 50]}
+    rows = [(100 * k + i, s, "w " * n) for k, (s, own) in enumerate(sizes.items()) for i, n in enumerate(own)]
+    docs = spark.createDataFrame([*rows, rows[6], rows[6]], "doc_id long, source string, text string")
+    for share in (0.3, 0.7, 0.9, 1.5):
+        found = mixing.mix(docs, weights=(1,), share=share).collect()
+        assert len(found) == len(rows) + 2
+        for s in sizes:
+            own = [r for r in found if r["source"] == s]
+            off = sum(r["copies"] * r["size"] for r in own) - own[0]["target"]
+            whole = int(own[0]["target"] / own[0]["source_size"])
+            more = [r["size"] for r in own if r["copies"] == whole]
+            assert all(abs(off) <= abs(off + n) + 1e-6 for n in more), (share, s, off)
+
+
+def test_strata_without_room_draw_nothing(spark):
+    docs = spark.createDataFrame([("a", 5, 0.1, 1, 300), ("a", 5, 0.2, 2, 400)], "source string, size long, rank double, tie long, cell int")
+    room = spark.createDataFrame([("a", -20.0)], "source string, words double")
+    assert [r["drawn"] for r in mixing.lowest_ranks(docs, room).collect()] == [False, False]
+
+
 def test_quality(spark, documents, no_documents):
     good = [(i, f"Well said, {w}. And so on.") for i, w in enumerate("abcdefghijklmnopqrstuvwxyz" * 3)]
     bad = [(100 + i, f"{w}!! " * 20) for i, w in enumerate("abcdefghijklmnopqrstuvwxyz" * 3)]

@@ -11,8 +11,8 @@ documents of the one cell where the target falls are ordered.
 
 Long documents are drawn before short ones (strata by share of the words to draw), and each
 stratum makes up for what the ones before it missed, so that a source ends within a short
-document of its target where it has short ones. A document longer than the words to draw is
-not drawn.
+document of its target where it has short ones. A document longer than the words to draw
+comes last: the shortest such one is drawn if the source ends nearer to its target with it.
 
 Nulls: a null text has size 0; null sources are one source, ordered last; a null id draws
 like any other. Repeated rows are drawn as rows of their own. An empty table, and sources
@@ -80,7 +80,11 @@ def lowest_ranks(docs: DataFrame, room: DataFrame) -> DataFrame:
     cut = (
         cells.withColumn("upto", upto)
         .join(room, same)
-        .filter((F.col("upto") > F.col("words")) & (F.col("upto") - F.col("words_in") <= F.col("words")))
+        .filter(
+            (F.col("upto") > F.col("words"))
+            # The first cell is the cut also where earlier strata have left less than no room.
+            & ((F.col("upto") - F.col("words_in") <= F.col("words")) | (F.col("upto") == F.col("words_in")))
+        )
         .select(
             cells["source"].alias("of"), F.col("cell").alias("cut"), "words", (F.col("upto") - F.col("words_in")).alias("before")
         )
@@ -97,6 +101,26 @@ def lowest_ranks(docs: DataFrame, room: DataFrame) -> DataFrame:
     return clear.unionByName(across).select(*docs.columns, "drawn")
 
 
+def longest_last(undrawn: DataFrame, drawn: DataFrame) -> DataFrame:
+    """``undrawn`` documents, longer than their source's room, with ``drawn``: at most one per source.
+
+    Each ends beyond the target, so the shortest ends nearest; it must end nearer than none.
+    """
+    taken = drawn.filter("drawn").groupBy(F.col("source").alias("of")).agg(F.sum("size").alias("so_far"))
+    able = undrawn.filter((F.col("size") > F.col("room")) & (F.col("size") < 2 * F.col("room")))
+    best = able.groupBy("source").agg(F.min(F.struct("size", "u", "tie")).alias("best"), F.first("room").alias("words"))
+    best = best.join(taken, best["source"].eqNullSafe(taken["of"]), "left").drop("of")
+    gap = F.col("words") - F.coalesce("so_far", F.lit(0))
+    best = best.filter(F.col("best.size") < 2 * gap).select(F.col("source").alias("of"), "best")
+    rows = undrawn.join(best, undrawn["source"].eqNullSafe(best["of"]), "left").drop("of")
+    same = F.coalesce(F.struct("size", "u", "tie") == F.col("best"), F.lit(False))
+    rows = rows.withColumn("same", same)
+    # Repeated rows are alike; one of them is taken.
+    one = F.row_number().over(W.partitionBy("source").orderBy("size")) == 1
+    picked = rows.filter("same").withColumn("drawn", one)
+    return rows.filter("not same").withColumn("drawn", F.lit(False)).unionByName(picked).drop("same", "best")
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -126,21 +150,21 @@ def mix(
     rank = (u / (1 - u)) / (p / (1 - p))
     stratum = sum(((F.col("size") <= F.col("room") * top).cast("int") for top in STRATA), F.lit(0))
     rows = rows.withColumns(
-        {"drawable": drawable, "rank": F.when(drawable, rank), "tie": F.xxhash64(id_col), "stratum": stratum}
+        {"drawable": drawable, "u": u, "rank": F.when(drawable, rank), "tie": F.xxhash64(id_col), "stratum": stratum}
     ).withColumn("cell", F.floor(F.col("rank") / (1 + F.col("rank")) * CELLS))
     rows = written(rows.withColumn("expected", p * F.col("size")), "ranked")
-    every = rows.filter("not drawable").withColumn("drawn", F.lit(False))
-    missed = None
+    every, missed = None, None
     for at in range(len(STRATA) + 1):
         part = rows.filter("drawable").filter(F.col("stratum") == at)
         room = part.select("source", F.col("expected").alias("words"))
         room = room if missed is None else room.unionByName(missed)
         drawn = written(lowest_ranks(part, room.groupBy("source").agg(F.sum("words").alias("words"))), f"stratum{at}")
-        every = every.unionByName(drawn)
+        every = drawn if every is None else every.unionByName(drawn)
         miss = F.col("expected") - F.when(F.col("drawn"), F.col("size")).otherwise(0)
         left = drawn.select("source", miss.alias("words"))
         left = left if missed is None else left.unionByName(missed)
         missed = written(left.groupBy("source").agg(F.sum("words").alias("words")), "missed")
+    every = every.unionByName(longest_last(rows.filter("not drawable"), every))
     return every.select(
         id_col, "source", "size", "source_size", "target", (F.col("whole") + F.col("drawn").cast("int")).alias("copies")
     )
