@@ -278,6 +278,20 @@ def test_language(spark, documents, no_documents):
     assert language.identify(no_documents, model).count() == 0
 
 
+def test_language_knows_rare_words_and_grams(spark):
+    """Words and n-grams below any share of their language count as often as they were met."""
+    common = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600))
+    rows = [(common + " ") * 200 + "alpha beta beta", (common + " ") * 200 + "beta gamma gamma zzqj"]
+    learnt = spark.createDataFrame(list(zip(rows, ("aa", "bb"), strict=True)), "text string, lang string")
+    model = language.learn(learnt)
+    texts = ["alpha", "beta", "gamma", "zqj", "beta beta alpha", None, "beta"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(docs, model).collect()}
+    assert [found[i][0] for i in range(6)] == ["aa", "aa", "bb", "bb", "aa", "und"]
+    share = {"aa": 2 / 120_003, "bb": 1 / 120_004}
+    assert found[1][1] == pytest.approx(share["aa"] / (share["aa"] + share["bb"]), abs=1e-5) and found[6] == found[1]
+
+
 def test_language_model(spark, documents, no_documents):
     use = F.least(quality.fold("doc_id", 10), F.lit(2))
     rows = interpolation.model_scores(documents.withColumn("use", use)).collect()

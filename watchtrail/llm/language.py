@@ -7,9 +7,11 @@ where the language lacks it. A word no language knows is scored by its longest n
 that are known, averaged. A text's cost per language is the mean over its words; the
 cheapest language is predicted.
 
-All texts with a language are counted, on the executors. The model keeps what makes up at
-least a stated share of a language, so its size is bounded by the shares (at most
-1 / share entries per language and length) and does not grow with the corpus.
+All texts with a language are counted, on the executors, and every counted word and n-gram
+stays in the model, as a written table. Words that make up a stated share of some language
+are sent to the workers with their costs in all languages (at most 1 / share words per
+language); a text's other words are joined to the table, once per distinct word and text.
+The penalty is above the cost of a single occurrence, however large a language is.
 
 A null text, and a text without a letter, is ``und`` with score 0; so is every text when
 nothing was learnt. Null languages teach nothing. Ties go to the first language by code
@@ -18,23 +20,27 @@ point. Ids may repeat; further columns are kept.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchtrail.llm.shared import written
 
+#: Words from this share of some language are sent to the workers; the others are joined.
 WORD_SHARE = 1e-5
-GRAM_SHARE = 4e-6
 LONGEST = 4
-#: Cost of a word or n-gram in a language that lacks it, in powers of ten.
+#: Least cost of a word or n-gram in a language that lacks it, in powers of ten.
 PENALTY = 7.0
+#: Powers of ten by which a word or n-gram that a language lacks costs more than one met once.
+ABSENT = 0.3
 #: Entries a worker gathers or remembers before it hands them on or starts anew.
 MEMORY = 300_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -97,100 +103,132 @@ def count_grams(words: DataFrame, longest: int = LONGEST) -> DataFrame:
     return found.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def frequent(counts: DataFrame, share: float) -> DataFrame:
-    """The entries that make up at least ``share`` of their language (and length), with that ``share``."""
-    totals = counts.groupBy("lang", "length").agg(F.sum("n").alias("total"))
-    part = F.col("n") / F.col("total")
-    return (
-        counts.join(F.broadcast(totals), ["lang", "length"])  # one row per language and length
-        .withColumn("share", part)
-        .filter(F.col("share") >= share)
-        .select("lang", "length", "word", "share")
-    )
+@dataclass(frozen=True)
+class Model:
+    """What was learnt. ``words`` and ``grams`` have (word, gains), an entry of ``gains`` per language.
 
+    A gain is by how much less than the penalty of its language (and length) a word costs.
+    """
 
-class Model:
-    def __init__(self, entries: list[tuple[str, int, str, float]]) -> None:
-        """Entries are (lang, length, key, share); the length of whole words is 0."""
-        self.langs = sorted({lang for lang, *_ in entries})
-        column = {lang: i for i, lang in enumerate(self.langs)}
-        self.costs: list[np.ndarray] = []
-        self.words: dict[str, int] = {}
-        self.grams: dict[str, int] = {}
-        for lang, length, key, share in entries:
-            index = self.grams if length else self.words
-            if key not in index:
-                index[key] = len(self.costs)
-                self.costs.append(np.full(len(self.langs), PENALTY, dtype=np.float32))
-            self.costs[index[key]][column[lang]] = -np.log10(share)
-
-    def unseen(self, word: str) -> np.ndarray:
-        """The mean cost of the word's longest known n-grams."""
-        for n in range(LONGEST, 0, -1):
-            found = [self.costs[i] for g in grams(word, n) if (i := self.grams.get(g)) is not None]
-            if found:
-                return np.mean(found, axis=0)
-        return np.full(len(self.langs), PENALTY, dtype=np.float32)
-
-
-class Scorer:
-    """The model in one worker, with the costs of unseen words remembered."""
-
-    def __init__(self, model: Model) -> None:
-        self.model = model
-        self._forget()
-
-    def _forget(self) -> None:
-        self.index = dict(self.model.words)
-        self.table = np.empty((len(self.model.costs) + MEMORY, len(self.model.langs)), dtype=np.float32)
-        self.size = len(self.model.costs)
-        if self.size:
-            self.table[: self.size] = self.model.costs
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = letters(text)
-        if not self.model.langs or not has_letter(words):
-            return "und", 0.0
-        total, index = np.zeros(len(self.model.langs)), self.index
-        for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
-            new = set(part).difference(index)
-            if self.size + len(new) > len(self.table):
-                self._forget()
-                index, new = self.index, set(part).difference(self.index)
-            for word in new:
-                index[word] = self.size
-                self.table[self.size] = self.model.unseen(word)
-                self.size += 1
-            total += self.table[list(map(index.__getitem__, part))].sum(axis=0, dtype=np.float64)
-        cost = total / len(words)
-        best = int(cost.argmin())
-        return self.model.langs[best], float(1 / np.power(10.0, cost[best] - cost).sum())
+    langs: list[str]
+    penalties: dict[int, list[float]]
+    words: DataFrame | None = None
+    grams: DataFrame | None = None
+    frequent: tuple[dict[str, int], np.ndarray] | None = None
+
+
+def _gains(counts: DataFrame, totals: dict[tuple[str, int], int], langs: list[str], penalties: dict[int, list[float]]) -> DataFrame:
+    """(word, gains, share): one row per word or n-gram of ``counts`` (lang, word, n), and its largest share."""
+    spark = counts.sparkSession
+    rows = [(lang, length, langs.index(lang), float(total), penalties[length][langs.index(lang)]) for (lang, length), total in totals.items()]
+    known = spark.createDataFrame(rows, "lang string, length int, at int, total double, penalty double")
+    each = counts.join(F.broadcast(known), ["lang", "length"])  # one row per language and length
+    share = F.col("n") / F.col("total")
+    own = F.col("penalty") + F.log10(share)
+    sums = [F.coalesce(F.max(F.when(F.col("at") == i, own)), F.lit(0.0)) for i in range(len(langs))]
+    return each.groupBy("word").agg(F.array(*sums).alias("gains"), F.max(share).alias("share"))
 
 
 def learn(docs: DataFrame) -> Model:
     """The model of ``docs`` (text, lang)."""
-    words = written(count_words(docs), "words")
-    gram_counts = count_grams(words).withColumn("length", F.length("word"))
-    known = frequent(words.withColumn("length", F.lit(0)), WORD_SHARE).union(
-        frequent(written(gram_counts, "grams"), GRAM_SHARE)
+    words = written(count_words(docs).withColumn("length", F.lit(0)), "words")
+    grams = written(count_grams(words).withColumn("length", F.length("word")), "grams")
+    sizes = words.groupBy("lang", "length").agg(F.sum("n").alias("total"))
+    sizes = sizes.union(grams.groupBy("lang", "length").agg(F.sum("n").alias("total")))
+    # One row per language and length.
+    totals = {(r["lang"], r["length"]): r["total"] for r in sizes.collect()}
+    langs = sorted({lang for lang, _ in totals})
+    if not langs:
+        return Model([], {})
+    penalties = {
+        length: [max(PENALTY, math.log10(totals.get((lang, length), 1)) + ABSENT) for lang in langs] for length in range(LONGEST + 1)
+    }
+    word_gains = written(_gains(words, totals, langs, penalties), "word_gains")
+    gram_gains = written(_gains(grams, totals, langs, penalties), "gram_gains")
+    # Bounded by the share: at most 1 / share words per language.
+    often = word_gains.filter(F.col("share") >= WORD_SHARE).orderBy("word").toArrow()
+    table = np.array(often.column("gains").to_pylist(), dtype=np.float64).reshape(-1, len(langs))
+    return Model(langs, penalties, word_gains, gram_gains, ({w: i for i, w in enumerate(often.column("word").to_pylist())}, table))
+
+
+def _parts(docs: DataFrame, model: Model) -> DataFrame:
+    """(key, n, sums, rare): per text its words, the sums of its frequent words' gains, and its other words."""
+    shared = docs.sparkSession.sparkContext.broadcast(model.frequent)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, table = shared.value
+        for batch in batches:
+            keys, numbers, sums, rare = [], [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = letters(text)
+                if not has_letter(words):
+                    continue
+                counts = Counter(words)
+                own = [(index[w], n) for w, n in counts.items() if w in index]
+                at = np.array(own, dtype=np.int64).reshape(-1, 2)
+                keys.append(key)
+                numbers.append(len(words))
+                sums.append((at[:, 1] @ table[at[:, 0]]).tolist())
+                rare.append([{"word": w, "n": n} for w, n in counts.items() if w not in index])
+            kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+            columns = [pa.array(keys, pa.binary()), pa.array(numbers, pa.int64()), pa.array(sums, pa.list_(pa.float64())), pa.array(rare, kind)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "sums", "rare"])
+
+    return docs.mapInArrow(parts, "key binary, n long, sums array<double>, rare array<struct<word:string,n:long>>")
+
+
+def _unseen(words: DataFrame, model: Model) -> DataFrame:
+    """(word, gains) of words that no language knows: by the mean cost of their longest known n-grams."""
+    lengths = F.sequence(F.lit(1), F.lit(LONGEST))
+    marked = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
+
+    def cut(n: Column) -> Column:
+        last = F.length(marked) - n + 1
+        starts = F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(n.alias("length"), F.substring(marked, i, n).alias("gram")))
+
+    pieces = words.select(F.col("word").alias("of"), F.explode(F.flatten(F.transform(lengths, cut))).alias("piece"))
+    pieces = pieces.select("of", "piece.length", F.col("piece.gram").alias("word"))
+    means = [F.avg(F.col("gains")[i]).alias(f"g{i}") for i in range(len(model.langs))]
+    found = pieces.join(model.grams.select("word", "gains"), "word").groupBy("of", "length").agg(*means)
+    best = found.groupBy(F.col("of").alias("word")).agg(
+        F.max_by(F.struct("length", *[f"g{i}" for i in range(len(means))]), "length").alias("best")
     )
-    order = ["lang", "length", "word"]
-    # Bounded by the shares: at most 1 / share entries per language and length.
-    return Model([tuple(r) for r in known.orderBy(*order).toArrow().to_pandas().itertuples(index=False)])
+    # Penalties of n-grams and of words may differ; a gain is against that of words.
+    gains = []
+    for i in range(len(means)):
+        more = F.element_at(F.array(*[F.lit(model.penalties[0][i] - model.penalties[n][i]) for n in range(1, LONGEST + 1)]), F.col("best.length"))
+        gains.append(F.col(f"best.g{i}") + more)
+    return best.select("word", F.array(*gains).alias("gains"))
 
 
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, the share of the best language in 10 ** -cost."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for batch in batches:
-            found = [scorer.predict(t) for t in batch.column(text_col).to_pylist()]
-            langs, scores = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
-            yield batch.append_column("lang_pred", langs).append_column("score", scores)
-
     docs = docs.drop("lang_pred", "score")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(scored, f"{fields}, lang_pred string, score double")
+    if not model.langs:
+        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+    every = range(len(model.langs))
+    key = F.unhex(F.md5(text_col))
+    parts = written(_parts(docs.select(key.alias("key"), F.col(text_col).alias("text")), model), "parts")
+    rare = parts.select("key", F.explode("rare").alias("r")).select("key", "r.word", "r.n")
+    asked = rare.select("word").distinct().join(model.words.select("word", "gains"), "word", "left")
+    asked = written(asked, "asked")
+    gains = asked.filter("gains is not null").unionByName(_unseen(asked.filter("gains is null").select("word"), model))
+    gains = written(gains, "gains")
+    # A text that occurs more than once is summed as often: its mean is the same.
+    sums = parts.select("key", "n", *[F.col("sums")[i].alias(f"s{i}") for i in every])
+    more = rare.join(gains, "word").select("key", F.lit(0).cast("long").alias("n0"), *[(F.col("n") * F.col("gains")[i]).alias(f"s{i}") for i in every])
+    total = sums.union(more).groupBy("key").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in every])
+    # Rounded, so that the order of summing does not decide ties.
+    costs = F.array(*[F.round(F.lit(model.penalties[0][i]) - F.col(f"s{i}") / F.col("n"), 9) for i in every])
+    total = total.select(F.col("key").alias("lang_key"), costs.alias("costs")).withColumn("least", F.array_min("costs"))
+    place = F.array_position("costs", F.col("least")).cast("int")
+    odds = F.aggregate("costs", F.lit(0.0), lambda acc, c: acc + F.pow(F.lit(10.0), F.col("least") - c))
+    found = total.select("lang_key", F.element_at(F.array(*map(F.lit, model.langs)), place).alias("found_lang"), (1 / odds).alias("found_score"))
+    found = written(found, "found")
+    joined = docs.join(found, key == F.col("lang_key"), "left")
+    return joined.select(
+        *[docs[c] for c in docs.columns],
+        F.coalesce("found_lang", F.lit("und")).alias("lang_pred"),
+        F.coalesce("found_score", F.lit(0.0)).alias("score"),
+    )
