@@ -169,3 +169,63 @@ SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
 FROM embeddings e JOIN reach r ON r.a = e.vec_id GROUP BY e.vec_id
 """,
 }
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_COLLOCATIONS = f"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM w CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS size))),
+c AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM c WHERE size = 1 GROUP BY lang),
+cand AS (SELECT lang, size, phrase, f AS a FROM c WHERE size >= 2 AND f >= 30),
+sub AS (SELECT lang, array_to_string(ws[i:i + s - 1], ' ') AS phrase, a AS outer_a FROM (
+  SELECT lang, a, ws, s, unnest(range(1, size - s + 2)) AS i FROM (
+    SELECT lang, a, size, string_split(phrase, ' ') AS ws, unnest(range(2, size)) AS s FROM cand WHERE size >= 3))),
+kept AS (SELECT * FROM cand x WHERE NOT EXISTS (SELECT 1 FROM sub WHERE sub.lang = x.lang AND sub.phrase = x.phrase AND 100 * sub.outer_a >= 80 * x.a)),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS lp, array_to_string(ws[k + 1:], ' ') AS rp FROM (
+  SELECT lang, phrase, a, string_split(phrase, ' ') AS ws, unnest(range(1, size)) AS k FROM kept)),
+scored AS (SELECT u.lang, u.phrase, u.a, u.k, lc.f AS l, rc.f AS r, (u.a::HUGEINT * 2000000) // (lc.f + rc.f)::HUGEINT AS score
+  FROM cuts u JOIN c lc ON lc.lang = u.lang AND lc.phrase = u.lp JOIN c rc ON rc.lang = u.lang AND rc.phrase = u.rp),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest)
+SELECT r.lang, r.rank::BIGINT AS rank, r.phrase, r.a::BIGINT AS a, r.l::BIGINT AS l, r.r::BIGINT AS r, n.n::BIGINT AS n, r.score::BIGINT AS score
+FROM ranked r JOIN n USING (lang) WHERE r.rank <= 2000"""
+
+_FILL_MIDDLE = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+x AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS toks,
+  ('0x' || substr(h, 1, 8))::UBIGINT AS h1, ('0x' || substr(h, 9, 8))::UBIGINT AS h2,
+  ('0x' || substr(h, 17, 8))::UBIGINT AS h3, ('0x' || substr(h, 25, 8))::UBIGINT AS h4 FROM d),
+y AS (SELECT *, len(toks) AS n FROM x),
+z AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS c1, greatest(h1 % (n + 1), h2 % (n + 1)) AS c2,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+       WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM y),
+o AS (SELECT *, coalesce(list_sum(list_transform(toks[1:c1], lambda v: length(v))), 0)::BIGINT AS p,
+  coalesce(list_sum(list_transform(toks[1:c2], lambda v: length(v))), 0)::BIGINT AS m FROM z),
+q AS (SELECT *, substr(t, 1, p) AS pre, substr(t, p + 1, m - p) AS mid, substr(t, m + 1) AS suf FROM o)
+SELECT doc_id, n::BIGINT AS n, form,
+  CASE WHEN form = 'plain' THEN NULL ELSE p END::BIGINT AS prefix_chars,
+  CASE WHEN form = 'plain' THEN NULL ELSE m - p END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(CASE WHEN form = 'plain' THEN t ELSE pre || mid || suf END) AS restored_sha256
+FROM q"""
+
+_SUBSTRINGS = """WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM d),
+win AS (SELECT rid, i, array_to_string(ws[i:i + 34], ' ') AS s FROM (SELECT rid, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+dup AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY s) >= 2),
+words AS (SELECT rid, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w),
+marked AS (SELECT words.rid, word, j, max(dup.i) OVER (PARTITION BY words.rid ORDER BY j ROWS UNBOUNDED PRECEDING) AS last_dup
+  FROM words LEFT JOIN dup ON dup.rid = words.rid AND dup.i = words.j),
+per AS (SELECT rid, count(*) AS n_words, count(*) FILTER (WHERE last_dup >= j - 34) AS n_removed,
+  string_agg(word, ' ' ORDER BY j) FILTER (WHERE last_dup IS NULL OR last_dup < j - 34) AS kept FROM marked GROUP BY rid)
+SELECT w.doc_id, coalesce(per.n_words, 0)::BIGINT AS n_words, coalesce(per.n_removed, 0)::BIGINT AS n_removed,
+  sha256(coalesce(per.kept, '')) AS kept_sha256
+FROM w LEFT JOIN per USING (rid)"""
+
+ORACLE |= {
+    "op11_collocations": _COLLOCATIONS,
+    "op12_fill_middle": _FILL_MIDDLE,
+    "op13_substring_dedup": _SUBSTRINGS,
+}

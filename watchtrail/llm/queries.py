@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchtrail.llm import interpolation, language, mixing, near_dedup, packing, quality, secret_scan, token_count, top_scores, vector_dedup
+from watchtrail.llm import (
+    fill_middle,
+    interpolation,
+    language,
+    mixing,
+    near_dedup,
+    packing,
+    phrases,
+    quality,
+    secret_scan,
+    substring_dedup,
+    token_count,
+    top_scores,
+    vector_dedup,
+)
 from watchtrail.llm.shared import table
 from watchtrail.session import prepare
 
@@ -88,6 +102,31 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_vectors(table(prepare(spark), sf_dir, "embeddings"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return phrases.collocations(docs, least=30, longest=4, share=80, top=2000)
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    found = fill_middle.fill_middle(docs, plain=10, spm=20)
+    restored = fill_middle.restore(F.col("fim_text"), F.col("fim_form"))
+    return found.select(
+        "doc_id",
+        F.col("fim_n").alias("n"),
+        F.col("fim_form").alias("form"),
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("fim_text", 256).alias("output_sha256"),
+        F.sha2(restored, 256).alias("restored_sha256"),
+    )
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -101,5 +140,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_secret_scan,
         op10_vector_dedup,
+        op11_collocations,
+        op12_fill_middle,
+        op13_substring_dedup,
     )
 }
