@@ -7,7 +7,7 @@ from tests.fixtures import HIGH, NORMAL, features_frame
 from watchtrail.functions.constants import FEATURES
 from watchtrail.operators.incidents import build_incidents
 from watchtrail.operators.score import score
-from watchtrail.sources import sinks
+from watchtrail.sources import incident_store, sinks
 from watchtrail.sources.tables import read_events, read_features
 
 
@@ -44,7 +44,7 @@ def test_insert_never_overwrites_and_replays_safely(spark, tmp_path):
     assert sinks.insert_incidents(twice, store, 1).count() == 2
     assert sinks.insert_incidents(twice, store, 1).count() == 2
     assert sinks.insert_incidents(twice, store, 2).count() == 0
-    stored = spark.read.parquet(store)
+    stored = incident_store.read_store(spark, store)
     assert sorted(r.incident_id for r in stored.collect()) == ["e0", "e1", "e2"]
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from watchtrail.operators.incidents import alert_payload, new_incidents
 from watchtrail.operators.report import filter_risk, incidents_only, summary_document
+from watchtrail.sources import incident_store
 
 
 def write_predictions(predictions: DataFrame, folder: str) -> None:
@@ -41,18 +42,12 @@ def read_store(spark: SparkSession, path: str, schema) -> DataFrame:
 def insert_incidents(incoming: DataFrame, path: str, batch_id: int) -> DataFrame:
     """Append incidents the store lacks; existing ones are never touched.
 
-    Each batch owns one directory. A replay of the batch ignores that directory when it
-    looks for known ids and then rewrites it, so the outcome is the same. One writer per
-    store is assumed. Triage state belongs in a table of its own, keyed by incident id.
+    The store is an indexed one (:mod:`watchtrail.sources.incident_store`): known ids are
+    looked up through a Bloom filter per bucket file, so a batch reads only files that may
+    hold its ids. A replay of a batch gives the same store. One writer per store is assumed.
+    Triage state belongs in a table of its own, keyed by incident id.
     """
-    spark = incoming.sparkSession
-    store = read_store(spark, path, incoming.schema)
-    if "batch_id" in store.columns:
-        store = store.filter(F.col("batch_id") != batch_id)
-    fresh = new_incidents(incoming, store)
-    target = f"{path}/batch_id={batch_id}"
-    fresh.write.mode("overwrite").parquet(target)
-    return spark.read.schema(fresh.schema).parquet(target)
+    return incident_store.insert(incoming, path, batch_id)
 
 
 def quarantine(rejected: DataFrame, path: str, batch_id: int | None = None) -> None:

@@ -11,6 +11,7 @@ from watchtrail.operators.incidents import build_incidents
 from watchtrail.operators.ranking import first_per_key
 from watchtrail.operators.score import judge_envelopes, score_accepted
 from watchtrail.operators.validate import split_errors
+from watchtrail.sources import incident_store
 from watchtrail.sources.sinks import insert_incidents, quarantine, write_alerts
 
 
@@ -66,7 +67,7 @@ def dedupe_stream(events: DataFrame, within: str = "1 hour", time: str = "timest
 
 
 def read_incidents(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/incidents").drop("batch_id")
+    return incident_store.read_store(spark, f"{folder}/incidents")
 
 
 def read_quarantine(spark: SparkSession, folder: str) -> DataFrame:
