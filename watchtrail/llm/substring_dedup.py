@@ -4,30 +4,36 @@ A window is ``WIDTH`` consecutive words of one text. Its minimiser is the smalle
 runs of ``RUN`` words inside it, so a window's content decides its minimiser and equal windows
 meet in the same bucket. Consecutive windows sharing a minimiser travel together as one packed
 string of words (a super-k-mer), so a text is sent about three times instead of ``WIDTH``
-times. Identical super-k-mers are counted before the shuffle. In its bucket each super-k-mer is
-cut back into windows, which are sorted by hash and, where hashes are equal, compared byte by
-byte, so counts are exact. A bucket holding more than ``LIMIT`` windows is split by window
-hash; a super-k-mer then goes to each part one of its windows belongs to.
+times. Identical super-k-mers of a block are sent once with their number of copies, and a
+bucket collapses copies again as they arrive. In its bucket each super-k-mer is cut back into
+windows, which are sorted by hash and, where hashes are equal, compared byte by byte, so
+counts are exact. A bucket holding more than ``LIMIT`` windows is split by window hash; a
+super-k-mer then goes to each part one of its windows belongs to.
 
-Runs of repeated windows go back to the texts by a join on (minimiser, packed hash), and each
-text drops the words they cover. Nothing is collected; per-text work is NumPy in Arrow batches.
+A first pass writes only where each super-k-mer lies (key, start, minimiser, windows and a
+64-bit hash of its packed string); bucket sizes come from it. Runs of repeated windows go back
+to the texts by a join on (minimiser, packed hash), and each text drops the words they cover.
+Packed strings are shuffled once and never written. The hot-bucket list sent to tasks is
+checked against ``HOT_MAX``; nothing else is collected. Per-text work is NumPy in Arrow batches.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from watchtrail.llm.shared import written
-from watchtrail.llm.text import SPACE, scramble, word_hashes
+from watchtrail.session import checkpoint_dir
+from watchtrail.llm.text import SPACE, blocks, scramble, word_hashes
 
 #: Words per window (the contract), words per minimiser run, most windows a super-k-mer packs.
 WIDTH, RUN, PACK = 35, 8, 64
@@ -36,8 +42,11 @@ LIMIT = 200_000
 GAPS = re.compile(rb"[\x20\x09-\x0D]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
-PACKED = "k1 long, k2 long, start long, n_win int, minimiser long, packed binary, hashes array<long>"
-RUNS = "minimiser long, p1 long, p2 long, first long, last long"
+OCCURRENCES = "k1 long, k2 long, start long, minimiser long, n_win long, p long"
+PACKED = "minimiser long, part long, parts long, p long, packed binary, copies long"
+RUNS = "minimiser long, p long, first long, last long"
+#: Most hot minimisers whose part counts are sent to every task; beyond it ``LIMIT`` doubles.
+HOT_MAX = 1_000_000
 KEPT = StructType([StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())])
 
 
@@ -67,41 +76,109 @@ def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
     return scramble(total)
 
 
-def super_kmers(key1: int, key2: int, packed: bytes, hashes: np.ndarray) -> Iterator[tuple]:
-    """(k1, k2, start, n_win, minimiser, packed, window hashes) of one normalised text."""
-    windows = len(hashes) - WIDTH + 1
-    if windows <= 0:
-        return
+def block_super_kmers(texts: list[bytes]) -> dict[str, np.ndarray | list]:
+    """Super-k-mers of normalised texts hashed together (a block of about 1 MB).
+
+    Returns arrays ``text`` (index in ``texts``), ``start`` (first window's word), ``n_win``,
+    ``minimiser``, the ``packed`` strings and the ``whole`` hash of every window by word.
+    """
+    hashes, firsts_of = word_hashes(texts)
+    joined = b" ".join(texts)
+    begins, ends = spans(joined)
+    count = len(hashes) - WIDTH + 1
+    empty = {"text": np.zeros(0, np.int64), "start": np.zeros(0, np.int64), "n_win": np.zeros(0, np.int64),
+             "minimiser": np.zeros(0, np.int64), "packed": [], "whole": np.zeros(0, np.int64)}
+    if count <= 0:
+        return empty
     runs = rolling(hashes, RUN)
     least = np.lib.stride_tricks.sliding_window_view(runs, WIDTH - RUN + 1).min(axis=1).view(np.int64)
     whole = rolling(hashes, WIDTH).view(np.int64)
-    change = np.flatnonzero(least[1:] != least[:-1]) + 1
-    firsts, lasts = spans(packed)
-    for lo, hi in zip(np.concatenate([[0], change]), np.concatenate([change, [windows]])):
-        for a in range(int(lo), int(hi), PACK):
-            b = min(a + PACK, int(hi))
-            body = packed[firsts[a] : lasts[b - 1 + WIDTH - 1]]
-            yield key1, key2, a, b - a, int(least[a]), body, whole[a:b].tolist()
+    owner = np.searchsorted(firsts_of, np.arange(count), side="right") - 1
+    valid = np.arange(count) + WIDTH <= firsts_of[owner + 1]
+    index = np.flatnonzero(valid)
+    if not len(index):
+        return empty
+    head = np.ones(len(index), dtype=bool)
+    head[1:] = (owner[index[1:]] != owner[index[:-1]]) | (least[index[1:]] != least[index[:-1]])
+    run_first = np.maximum.accumulate(np.where(head, np.arange(len(index)), 0))
+    head |= (np.arange(len(index)) - run_first) % PACK == 0
+    at = np.flatnonzero(head)
+    n_win = np.diff(np.append(at, len(index)))
+    first = index[at]
+    last_word = first + n_win - 1 + WIDTH - 1
+    packed = [joined[a:b] for a, b in zip(begins[first].tolist(), ends[last_word].tolist())]
+    return {"text": owner[first], "start": first - firsts_of[owner[first]], "n_win": n_win,
+            "minimiser": least[first], "packed": packed, "whole": whole, "first": first}
 
 
-def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(k1, k2, start, minimiser, n_win, p) of every super-k-mer; no packed strings."""
     for batch in batches:
         texts = [normal(t) for t in batch["text"]]
-        hashes, starts = word_hashes(texts)
-        rows = []
-        for i, (k1, k2) in enumerate(zip(batch["k1"], batch["k2"])):
-            rows.extend(super_kmers(int(k1), int(k2), texts[i], hashes[starts[i] : starts[i + 1]]))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in PACKED.split(", ")])
+        k1, k2 = batch["k1"].to_numpy(), batch["k2"].to_numpy()
+        for lo, hi in blocks(texts):
+            found = block_super_kmers(texts[lo:hi])
+            rows = lo + found["text"]
+            yield pd.DataFrame({
+                "k1": k1[rows], "k2": k2[rows], "start": found["start"], "minimiser": found["minimiser"],
+                "n_win": found["n_win"], "p": np.array([xxhash.xxh3_64_intdigest(b) for b in found["packed"]], dtype=np.uint64).view(np.int64),
+            })
+
+
+def _packed(hot: dict[int, int]):
+    """Super-k-mers with their bucket part; identical ones of a block are sent once, counted."""
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [normal(t) for t in batch["text"]]
+            for lo, hi in blocks(texts):
+                found = block_super_kmers(texts[lo:hi])
+                parts = np.array([hot.get(int(m), 1) for m in found["minimiser"]], dtype=np.int64)
+                rows = {"minimiser": [], "part": [], "parts": [], "p": [], "packed": []}
+                for i, (m, n, packed) in enumerate(zip(found["minimiser"].tolist(), parts.tolist(), found["packed"])):
+                    p = xxhash.xxh3_64_intdigest(packed)
+                    if n == 1:
+                        chosen = [0]
+                    else:
+                        a = int(found["first"][i])
+                        chosen = np.unique(found["whole"][a : a + int(found["n_win"][i])] % n).tolist()
+                    for part in chosen:
+                        rows["minimiser"].append(m)
+                        rows["part"].append(part)
+                        rows["parts"].append(n)
+                        rows["p"].append(p)
+                        rows["packed"].append(packed)
+                frame = pd.DataFrame(rows)
+                frame["p"] = np.asarray(rows["p"], dtype=np.uint64).view(np.int64)
+                if len(frame):
+                    frame = frame.groupby(["minimiser", "part", "parts", "p", "packed"], sort=False).size().reset_index(name="copies")
+                else:
+                    frame["copies"] = np.zeros(0, np.int64)
+                yield frame
+
+    return emit
+
+
+def window_hashes(packed: list[bytes]) -> list[np.ndarray]:
+    """The hash of every window of each space-joined string, as :func:`block_super_kmers` makes them."""
+    found = []
+    for lo, hi in blocks(packed):
+        hashes, firsts_of = word_hashes(packed[lo:hi])
+        whole = rolling(hashes, WIDTH).view(np.int64)
+        found += [whole[a : b - WIDTH + 1] for a, b in zip(firsts_of[:-1].tolist(), firsts_of[1:].tolist())]
+    return found
 
 
 def repeated_runs(rows: pd.DataFrame) -> list[tuple]:
-    """(minimiser, p1, p2, first, last) runs of windows seen twice or more, counted exactly.
+    """(minimiser, p, first, last) runs of windows seen twice or more, counted exactly.
 
-    ``rows`` holds whole buckets: every super-k-mer sharing a (minimiser, part) is present.
+    ``rows`` holds whole buckets: every super-k-mer sharing a (minimiser, part) is present,
+    each with its number of copies. Equal hashes are confirmed on the bytes of the windows.
     """
+    rows = rows.groupby(["minimiser", "part", "parts", "p", "packed"], sort=False)["copies"].sum().reset_index()
+    packed = rows["packed"].tolist()
     where, hashes, weights = [], [], []
-    for r, (found, parts, part, copies) in enumerate(zip(rows["hashes"], rows["parts"], rows["part"], rows["copies"])):
-        found = np.asarray(found, dtype=np.int64)
+    for r, (found, parts, part, copies) in enumerate(zip(window_hashes(packed), rows["parts"], rows["part"], rows["copies"])):
         index = np.arange(len(found)) if parts == 1 else np.flatnonzero(found % parts == part)
         where.append(np.stack([np.full(len(index), r), index], axis=1))
         hashes.append(found[index])
@@ -109,11 +186,13 @@ def repeated_runs(rows: pd.DataFrame) -> list[tuple]:
     if not where:
         return []
     where, hashes, weights = np.concatenate(where), np.concatenate(hashes), np.concatenate(weights)
+    if not len(hashes):
+        return []
     order = np.argsort(hashes, kind="stable")
     hashes, where, weights = hashes[order], where[order], weights[order]
     breaks = np.flatnonzero(hashes[1:] != hashes[:-1]) + 1
     lo, hi = np.concatenate([[0], breaks]), np.concatenate([breaks, [len(hashes)]])
-    totals = np.add.reduceat(weights, lo) if len(lo) else np.zeros(0, np.int64)
+    totals = np.add.reduceat(weights, lo)
     offsets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     repeated: list[tuple[int, int]] = []
     for a, b, total in zip(lo, hi, totals):
@@ -126,9 +205,9 @@ def repeated_runs(rows: pd.DataFrame) -> list[tuple]:
         counts: dict[bytes, int] = defaultdict(int)
         for (r, j), w in zip(where[a:b], weights[a:b]):
             if r not in offsets:
-                offsets[r] = spans(rows["packed"].iat[r])
+                offsets[r] = spans(packed[r])
             firsts, lasts = offsets[r]
-            body = rows["packed"].iat[r][firsts[j] : lasts[j + WIDTH - 1]]
+            body = packed[r][firsts[j] : lasts[j + WIDTH - 1]]
             by_text[body].append((r, j))
             counts[body] += int(w)
         repeated += [place for body, places in by_text.items() if counts[body] >= 2 for place in places]
@@ -139,13 +218,17 @@ def repeated_runs(rows: pd.DataFrame) -> list[tuple]:
     for r, js in marked.items():
         js = np.unique(js)
         cut = np.flatnonzero(np.diff(js) > 1) + 1
-        head = (int(rows["minimiser"].iat[r]), int(rows["p1"].iat[r]), int(rows["p2"].iat[r]))
+        head = (int(rows["minimiser"].iat[r]), int(rows["p"].iat[r]))
         found += [(*head, int(g[0]), int(g[-1])) for g in np.split(js, cut)]
     return found
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Whole buckets from rows sorted by (minimiser, part): the last bucket of a batch waits."""
+    """Whole buckets from rows sorted by (minimiser, part): the last bucket of a batch waits.
+
+    Waiting rows are collapsed to distinct super-k-mers with summed copies, so copies sent
+    from many tasks take the memory of one.
+    """
     columns = [c.split()[0] for c in RUNS.split(", ")]
     waiting = None
     for batch in batches:
@@ -154,7 +237,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             continue
         last = (rows["minimiser"].iat[-1], rows["part"].iat[-1])
         tail = (rows["minimiser"] == last[0]) & (rows["part"] == last[1])
-        waiting = rows[tail].reset_index(drop=True)
+        waiting = rows[tail].groupby(["minimiser", "part", "parts", "p", "packed"], sort=False)["copies"].sum().reset_index()
         ready = rows[~tail].reset_index(drop=True)
         if len(ready):
             yield pd.DataFrame(repeated_runs(ready), columns=columns)
@@ -190,6 +273,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     their windows repeat. Added columns replace input columns of the same names; the rest stay.
     Rows are told apart by two hashes of (key, text); equal rows get equal results.
     """
+    spark = docs.sparkSession
     names = {"k1": "_k1", "k2": "_k2", "ranges": "_ranges"}
     while set(names.values()) & set(docs.columns):
         names = {k: v + "_" for k, v in names.items()}
@@ -198,33 +282,28 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         names["k2"]: F.xxhash64(F.lit("second"), F.col(key), F.col(text)),
     })
     source = keyed.select(F.col(names["k1"]).alias("k1"), F.col(names["k2"]).alias("k2"), F.col(text).alias("text"))
-    packed = source.mapInPandas(_emit, PACKED).withColumns(
-        {"p1": F.xxhash64("packed"), "p2": F.xxhash64(F.lit("second"), "packed")}
-    )
-    packed = written(packed, "super_kmers")
-    distinct = packed.groupBy("minimiser", "p1", "p2", "packed").agg(
-        F.first("hashes").alias("hashes"), F.first("n_win").alias("n_win"), F.count(F.lit(1)).alias("copies")
-    )
-    sizes = distinct.groupBy("minimiser").agg(F.sum("n_win").alias("windows"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("windows") / LIMIT)).cast("long")
-    buckets = distinct.join(sizes.select("minimiser", parts.alias("parts")), "minimiser")
-    which = F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(
-        F.array_distinct(F.transform("hashes", lambda h: F.pmod(h, F.col("parts"))))
-    )
-    buckets = buckets.withColumn("part", F.explode(which))
+    folder = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}/occurrences"
+    source.mapInPandas(_occurrences, OCCURRENCES).write.option("compression", "zstd").parquet(folder)
+    places = spark.read.schema(OCCURRENCES).parquet(folder)
+    sizes = places.groupBy("minimiser").agg(F.sum("n_win").alias("windows"))
+    limit = LIMIT
+    while True:
+        hot = sizes.filter(F.col("windows") > limit)
+        if hot.count() <= HOT_MAX:
+            break
+        limit *= 2
+    parts = {r.minimiser: int(r.parts) for r in hot.select("minimiser", F.ceil(F.col("windows") / limit).alias("parts")).collect()}
     runs = (
-        buckets.repartition("minimiser", "part")
-        .sortWithinPartitions("minimiser", "part")
-        .select("minimiser", "part", "parts", "p1", "p2", "packed", "hashes", "copies")
+        source.mapInPandas(_packed(parts), PACKED)
+        .repartition("minimiser", "part")
+        .sortWithinPartitions("minimiser", "part", "p")
         .mapInPandas(_count, RUNS)
     )
-    places = packed.select("k1", "k2", "start", "minimiser", "p1", "p2").join(runs, ["minimiser", "p1", "p2"])
-    covered = places.groupBy("k1", "k2").agg(
+    found = places.select("k1", "k2", "start", "minimiser", "p").join(runs, ["minimiser", "p"])
+    covered = found.groupBy("k1", "k2").agg(
         F.collect_list(F.array(F.col("start") + F.col("first"), F.col("start") + F.col("last") + WIDTH)).alias("ranges")
     )
-    joined = keyed.join(
-        covered.withColumnsRenamed(names), [names["k1"], names["k2"]], "left"
-    )
+    joined = keyed.join(covered.withColumnsRenamed(names), [names["k1"], names["k2"]], "left")
     result = F.pandas_udf(_kept, KEPT)(F.col(text), F.col(names["ranges"]))
     out = "_kept"
     while out in docs.columns:
