@@ -30,19 +30,23 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def pieces(docs: DataFrame, text: str = "text", lang: str = "lang", shards: int = 4) -> DataFrame:
-    """(lang, shard, words) per piece; a null lang is ``und``, a null text has no pieces.
+    """(lang, shard, body) per row: the lower-cased text, split into pieces when a shard is read.
 
-    A row's shard is a hash of its language and text, so repeated rows share a shard.
+    A null lang is ``und`` and a null text is empty. A row's shard is a hash of its language
+    and text, so repeated rows share a shard.
     """
     body = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
     key = F.coalesce(F.col(lang), F.lit("und"))
-    split = docs.select(key.alias("lang"), body.alias("body")).select(
-        "lang",
-        F.pmod(F.xxhash64("lang", "body"), F.lit(shards)).cast("int").alias("shard"),
-        F.explode(F.split("body", PIECE_END, -1)).alias("piece"),
+    return docs.select(key.alias("lang"), body.alias("body")).select(
+        "lang", F.pmod(F.xxhash64("lang", "body"), F.lit(shards)).cast("int").alias("shard"), "body"
     )
+
+
+def _words(rows: DataFrame) -> DataFrame:
+    """(lang, words) per piece of every text."""
+    split = rows.select("lang", F.explode(F.split("body", PIECE_END, -1)).alias("piece"))
     words = F.filter(F.split("piece", WORD_GAP, -1), lambda w: w != "")
-    return split.select("lang", "shard", words.alias("words")).filter(F.size("words") > 0)
+    return split.select("lang", words.alias("words")).filter(F.size("words") > 0)
 
 
 def grams(words: Column, size: int | Column) -> Column:
@@ -82,7 +86,7 @@ def count_phrases(pieces_table: DataFrame, shards: int = 4, least: int = 30, lon
     counters = None
     step = 0
     while True:
-        shard = path_rows.filter(F.col("shard") == step % shards)
+        shard = _words(path_rows.filter(F.col("shard") == step % shards))
         sizes = [1] if step < shards else []
         if counters is not None:
             stats = counters.agg(
