@@ -222,6 +222,57 @@ def latency_stats(
     return join_same_keys(averages, high, ["period_start"])
 
 
+#: Normalized rank error of a KLL sketch with Spark's default k = 200, for one quantile, at
+#: 99 % confidence (the bound published for this sketch family).
+KLL_RANK_ERROR = 0.0133
+
+
+def latency_sketches(df: DataFrame, duration: str, period: str = "5 minutes", time: str = "timestamp") -> DataFrame:
+    """One mergeable KLL sketch of a duration per short period, with its count and sum.
+
+    Stored per period, these are merged into any longer period by :func:`merged_latency`
+    without reading the events again; a stream can append them batch by batch.
+    """
+    return df.groupBy(F.window(time, period)["start"].alias("period_start")).agg(
+        F.count(duration).alias("samples"),
+        F.sum(F.col(duration).cast("double")).alias("total"),
+        F.call_function("kll_sketch_agg_double", F.col(duration).cast("double")).alias("sketch"),
+    )
+
+
+def merged_latency(sketches: DataFrame, period: str, share: float = 0.99) -> DataFrame:
+    """Sketches merged into ``period`` (a multiple of theirs): samples, average, the share-quantile.
+
+    The quantile is the merged sketch's; its rank is within ``KLL_RANK_ERROR`` of ``share``.
+    A period without durations has 0 samples and null average and quantile.
+    """
+    rolled = sketches.groupBy(F.window("period_start", period)["start"].alias("period_start")).agg(
+        F.sum("samples").alias("samples"),
+        F.sum("total").alias("total"),
+        F.call_function("kll_merge_agg_double", F.col("sketch")).alias("sketch"),
+    )
+    # A period whose durations are all null has no sketch to ask.
+    estimate = F.when(F.col("samples") > 0, F.call_function("kll_sketch_get_quantile_double", F.col("sketch"), F.lit(share)))
+    return rolled.select(
+        "period_start", "samples", F.try_divide("total", "samples").alias("average"), estimate.alias("estimate"), "sketch"
+    )
+
+
+def rank_within_bound(
+    df: DataFrame, merged: DataFrame, duration: str, period: str, time: str = "timestamp", share: float = 0.99
+) -> DataFrame:
+    """Per merged period, whether the estimate's exact rank in the events is within the bound."""
+    timed = df.select(F.window(time, period)["start"].alias("period_start"), F.col(duration).cast("double").alias("_d"))
+    placed = timed.join(merged.select("period_start", "estimate", "samples"), "period_start")
+    ranks = placed.groupBy("period_start", "samples").agg(
+        F.count_if(F.col("_d") < F.col("estimate")).alias("below"),
+        F.count_if(F.col("_d") <= F.col("estimate")).alias("at_most"),
+    )
+    low = F.try_divide("below", "samples") - KLL_RANK_ERROR
+    high = F.try_divide("at_most", "samples") + KLL_RANK_ERROR
+    return ranks.select("period_start", ((low <= share) & (F.lit(share) <= high)).alias("within_bound"))
+
+
 def approximate_latency(
     df: DataFrame, duration: str, period: str = PERIOD, time: str = "timestamp", share: float = 0.99
 ) -> DataFrame:

@@ -708,6 +708,15 @@ def latency_stats(spark, sf_dir):
     return _rounded(df.select(_micros("period_start", "period_us"), "samples", "average", "p99"))
 
 
+@query
+def latency_rollup(spark, sf_dir):
+    """Five-minute sketches merged into six hours, checked against the exact events."""
+    events = activity(spark, sf_dir)
+    merged = P.merged_latency(P.latency_sketches(events, "value", "5 minutes"), "6 hours")
+    checked = merged.join(P.rank_within_bound(events, merged, "value", "6 hours"), "period_start")
+    return _rounded(checked.select(_micros("period_start", "period_us"), "samples", "average", "within_bound"))
+
+
 # --- incidents ---------------------------------------------------------------------
 
 

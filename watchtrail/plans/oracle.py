@@ -362,6 +362,8 @@ ORACLE["alarms"] = f"WITH {ACTIVITY}, {RISK}, {FEATURED}, {RAW}, {SCORED}, {METR
   UNION ALL SELECT period_us, 'queue-age', oldest_age_seconds, oldest_age_seconds >= 300 FROM metrics"""
 ORACLE["latency_stats"] = WITH_A + """SELECT epoch_us(time_bucket(INTERVAL 6 HOUR, "timestamp", TIMESTAMP '1970-01-01')) AS period_us,
   count(value) AS samples, round(avg(value), 6) AS average, round(quantile_cont(value, 0.99), 6) AS p99 FROM activity GROUP BY 1"""
+ORACLE["latency_rollup"] = WITH_A + """SELECT epoch_us(time_bucket(INTERVAL 6 HOUR, "timestamp", TIMESTAMP '1970-01-01')) AS period_us,
+  count(value) AS samples, round(avg(value), 6) AS average, TRUE AS within_bound FROM activity GROUP BY 1"""
 
 # --- incidents ---------------------------------------------------------------------
 ORACLE["build_incidents"] = WITH_I + f"""SELECT incident_id, {US} AS at_us, risk_level, final_risk_score, anomaly_score, rule_score,
