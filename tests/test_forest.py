@@ -1,3 +1,4 @@
+import json
 import numpy as np
 import pandas as pd
 import pytest
@@ -97,3 +98,23 @@ def test_latest_model_and_report(spark):
     metrics = spark.sql("SELECT 0.1 anomaly_threshold, 0.8 precision, 0.9 recall, 0.85 f1_score, 0.97 roc_auc, 0.8 pr_auc")
     text = evaluation_document(metrics).first().value
     assert '"recall":{"value":0.9}' in text and '"classification_metrics"' in text
+
+
+def test_model_versions_hide_a_half_finished_save(spark, tmp_path):
+    from watchtrail.plans.catalog import fixed_forest
+    from watchtrail.sources.models import current_version, model_folder
+
+    path = str(tmp_path / "store")
+    first = fixed_forest().with_manifest(anomaly_threshold=-0.25)
+    assert save_model(spark, first, path) == 1
+    second = fixed_forest().with_manifest(anomaly_threshold=-0.3)
+    assert save_model(spark, second, path) == 2
+    assert load_model(spark, path).manifest["anomaly_threshold"] == -0.3
+    # A save that stopped after its trees: no pointer, so readers keep version 2.
+    second.trees(spark).write.parquet(f"{path}/versions/{3:012d}/trees")
+    assert current_version(spark, path) == 2 and model_folder(spark, path).endswith("000000000002")
+    assert load_model(spark, path).manifest["anomaly_threshold"] == -0.3
+    older = str(tmp_path / "flat")
+    first.trees(spark).coalesce(1).write.parquet(f"{older}/trees")
+    spark.range(1).select(F.lit(json.dumps(first.manifest)).alias("value")).write.text(f"{older}/manifest")
+    assert load_model(spark, older).manifest["anomaly_threshold"] == -0.25

@@ -18,17 +18,54 @@ METRIC_NAMES = {
 }
 
 
-def save_model(spark: SparkSession, model: ForestModel, path: str, metrics: DataFrame | None = None) -> None:
-    """Write nodes, manifest (with provenance counts) and metrics under ``path``."""
-    model.trees(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
+def _files(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def current_version(spark: SparkSession, path: str) -> int | None:
+    """The newest published version under ``path``; None when none was published."""
+    fs, folder = _files(spark, f"{path}/published")
+    if not fs.exists(folder):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    found = [int(n.split(".")[0]) for n in names if n.endswith(".json")]
+    return max(found) if found else None
+
+
+def save_model(spark: SparkSession, model: ForestModel, path: str, metrics: DataFrame | None = None) -> int:
+    """Write nodes, manifest (with provenance counts) and metrics as a new version under ``path``.
+
+    The parts go to a directory of their own; a pointer file is created after them and never
+    overwritten, so a reader sees the previous version until the new one is whole, and two
+    writers cannot publish the same version. Returns the version published.
+    """
+    version = (current_version(spark, path) or 0) + 1
+    target = f"{path}/versions/{version:012d}"
+    model.trees(spark).coalesce(1).write.mode("overwrite").parquet(f"{target}/trees")
     manifest = spark.range(1).select(F.lit(json.dumps(model.manifest)).alias("value"))
-    manifest.coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    manifest.coalesce(1).write.mode("overwrite").text(f"{target}/manifest")
     if metrics is not None:
-        metrics.coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
+        metrics.coalesce(1).write.mode("overwrite").json(f"{target}/metrics")
+    fs, pointer = _files(spark, f"{path}/published/{version:012d}.json")
+    stream = fs.create(pointer, False)
+    try:
+        stream.write(bytearray(json.dumps({"version": version}).encode()))
+    finally:
+        stream.close()
+    return version
+
+
+def model_folder(spark: SparkSession, path: str) -> str:
+    """Where the newest published version lives; a store saved before versions is read as is."""
+    version = current_version(spark, path)
+    return path if version is None else f"{path}/versions/{version:012d}"
 
 
 def load_model(spark: SparkSession, path: str) -> ForestModel:
-    """Read a model back; its parts are type-checked and the node count is bounded."""
+    """Read the newest published model; its parts are type-checked and the node count is bounded."""
+    path = model_folder(spark, path)
     text = spark.read.text(f"{path}/manifest", wholetext=True).first()
     manifest = json.loads(text["value"]) if text else None
     if not isinstance(manifest, dict) or not isinstance(manifest.get("feature_columns"), list):
