@@ -133,3 +133,32 @@ def test_bounded_deduplication(spark, tmp_path):
     drop_files(tmp_path / "in", lines(rows), lines(rows))
     stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     assert run(spark, dedupe_stream(stream, "6 hours"), tmp_path).count() == 20
+
+
+def test_stream_reports_its_late_rows(spark, tmp_path):
+    from watchtrail.streaming.metrics import LateRowReport, read_late_rows
+
+    rows = some_events(50)
+    late = ("a", "late", START - timedelta(hours=5), True, "s3")
+    last = ("a", "last", START + timedelta(hours=4), True, "s3")
+    drop_files(tmp_path / "in", lines(rows), lines([last]), lines([late]), lines([END]))
+    level = F.when(F.col("success"), "HIGH").otherwise("LOW")
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    report = LateRowReport(spark, str(tmp_path / "late"), "metrics_with_late_rows")
+    spark.streams.addListener(report)
+    try:
+        query = (
+            stream_metrics(stream.withColumn("risk_level", level)).writeStream.queryName("metrics_with_late_rows")
+            .format("memory").outputMode("append").option("checkpointLocation", str(tmp_path / "ck"))
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        for _ in range(50):
+            found = {r.batch_id: r for r in read_late_rows(spark, str(tmp_path / "late")).collect()} if (tmp_path / "late").exists() else {}
+            if len(found) >= 4:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(report)
+    assert found[2].input_rows == 1 and found[2].dropped_rows == 1
+    assert sum(r.dropped_rows for r in found.values()) == 1
