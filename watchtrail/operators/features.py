@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchtrail.functions import constants as K
-from watchtrail.functions.network import is_internal_ip
+from watchtrail.functions.network import address_number, cidr_ranges, in_ranges, is_internal_ip
 from watchtrail.operators.ranking import percentile_by_group
 
 MICROS = 1_000_000
@@ -37,7 +37,17 @@ def event_flags(df: DataFrame, home_region: str = K.HOME_REGION) -> DataFrame:
     )
 
 
-def external_ip(df: DataFrame, prefixes: tuple[str, ...] = K.INTERNAL_PREFIXES) -> DataFrame:
+def external_ip(df: DataFrame, prefixes: tuple[str, ...] = K.INTERNAL_PREFIXES, cidrs: Sequence[str] | None = None) -> DataFrame:
+    """1 unless the source address is internal. With ``cidrs`` (IPv4 and IPv6 blocks), internal
+    means inside one of them, and text that is no address counts as external; otherwise the
+    fixed prefixes decide."""
+    if cidrs is not None:
+        name = "_address"
+        while name in df.columns:
+            name += "_"
+        placed = df.withColumn(name, address_number(F.col("source_ip")))
+        inside = in_ranges(F.col(name), cidr_ranges(cidrs))
+        return placed.withColumn("external_ip", F.when(inside, 0).otherwise(1)).drop(name)
     return df.withColumn("external_ip", (~is_internal_ip(F.col("source_ip"), prefixes)).cast("int"))
 
 

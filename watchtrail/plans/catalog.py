@@ -86,6 +86,30 @@ def external_ip(spark, sf_dir):
     return X.external_ip(activity(spark, sf_dir)).select("event_id", "external_ip")
 
 
+#: Private, loopback and link-local blocks of both families.
+INTERNAL_BLOCKS = (
+    "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "fc00::/7", "::1/128", "fe80::/10",
+)
+
+
+@query
+def external_ip_ranges(spark, sf_dir):
+    """Addresses of six forms made from each event (its own, 172.x edges, IPv6 unique-local,
+    documentation, zoned link-local and v4-mapped), judged against CIDR blocks."""
+    seq = F.col("seq")
+    group = F.lower(F.hex(seq % 65536))
+    address = (
+        F.when(seq % 6 == 0, F.col("source_ip"))
+        .when(seq % 6 == 1, F.concat(F.lit("172."), seq % 40, F.lit("."), seq % 256, F.lit(".1")))
+        .when(seq % 6 == 2, F.concat(F.lit("fd"), F.lpad(F.lower(F.hex(seq % 256)), 2, "0"), F.lit("::"), group))
+        .when(seq % 6 == 3, F.concat(F.lit("2001:db8::"), group))
+        .when(seq % 6 == 4, F.concat(F.lit("fe80::"), group, F.lit("%eth0")))
+        .otherwise(F.concat(F.lit("::ffff:192.168."), seq % 256, F.lit("."), seq % 200))
+    )
+    events = activity(spark, sf_dir).withColumn("source_ip", address)
+    return X.external_ip(events, cidrs=INTERNAL_BLOCKS).select("event_id", "source_ip", "external_ip")
+
+
 def _windows(spark, sf_dir, make, spans):
     counters = [make(seconds, name) for name, seconds in spans.items()]
     df = X.rolling_counters(activity(spark, sf_dir), counters)

@@ -115,6 +115,14 @@ ORACLE["event_flags"] = WITH_A + """SELECT event_id, CAST(event_type = 'error' A
   CAST(sensitive AS INT) AS sensitive_operation, CAST(region <> 'us-east-1' AS INT) AS outside_home_region
   FROM activity"""
 ORACLE["external_ip"] = WITH_A + "SELECT event_id, CAST(k % 4 = 0 AS INT) AS external_ip FROM activity"
+ORACLE["external_ip_ranges"] = WITH_A + """SELECT event_id, address AS source_ip, CAST(NOT internal AS INT) AS external_ip FROM (
+  SELECT event_id, CASE seq % 6 WHEN 0 THEN source_ip WHEN 1 THEN '172.' || (seq % 40) || '.' || (seq % 256) || '.1'
+    WHEN 2 THEN 'fd' || lpad(lower(hex(seq % 256)), 2, '0') || '::' || lower(hex(seq % 65536))
+    WHEN 3 THEN '2001:db8::' || lower(hex(seq % 65536)) WHEN 4 THEN 'fe80::' || lower(hex(seq % 65536)) || '%eth0'
+    ELSE '::ffff:192.168.' || (seq % 256) || '.' || (seq % 200) END AS address,
+  CASE seq % 6 WHEN 0 THEN coalesce(source_ip LIKE '10.%' AND k + 1 BETWEEN 0 AND 255, false)
+    WHEN 1 THEN seq % 40 BETWEEN 16 AND 31 WHEN 2 THEN true WHEN 4 THEN true ELSE false END AS internal
+  FROM activity)"""
 for _name, _measure, _spans in (
     ("calls_last", CALLS, {"n_5m": "5 MINUTE", "n_6h": "6 HOUR", "n_24h": "24 HOUR"}),
     ("failed_calls_last", FAILED, {"n_5m": "5 MINUTE", "n_6h": "6 HOUR", "n_24h": "24 HOUR"}),
