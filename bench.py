@@ -22,6 +22,8 @@ HEADLINE = (
     "hourly_risk_counts",
     "scoring_metrics",
     "latency_stats",
+    "latency_rollup",
+    "external_ip_ranges",
     "stratified_split",
     "calibrate_threshold_lineitem",
     "roc_auc_lineitem",
