@@ -26,11 +26,22 @@ def quantile_buckets(df: DataFrame, column: str, out: str, buckets: int | None =
     The cut points are literals in the plan, so the numbering never depends on how the
     data happens to be partitioned or on a task being retried.
     """
+    # One pass gives the row count and a KLL sketch of the column; the cuts are read off it.
+    seen = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count(column).alias("values"),
+        F.call_function("kll_sketch_agg_double", F.col(column).cast("double")).alias("sketch"),
+    ).first()
     if buckets is None:
         shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-        buckets = max(2, shuffle, -(-df.count() // BUCKET_ROWS))
+        buckets = max(2, shuffle, -(-seen["rows"] // BUCKET_ROWS))
     shares = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(df.approxQuantile(column, shares, 1.0 / (buckets * 4))))
+    cuts = []
+    if seen["values"]:
+        sketch = df.sparkSession.createDataFrame([(bytearray(seen["sketch"]),)], "sketch binary")
+        ranks = F.array(*[F.lit(share) for share in shares])
+        found = sketch.select(F.call_function("kll_sketch_get_quantile_double", F.col("sketch"), ranks).alias("q")).first()["q"]
+        cuts = sorted(set(found))
     if not cuts:
         return df.withColumn(out, F.lit(0))
     splits = [float("-inf"), *cuts, float("inf")]
