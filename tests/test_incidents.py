@@ -1,5 +1,6 @@
 import json
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -159,3 +160,9 @@ def test_classification_rules(spark):
     ]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, attack_category string, event_name string, service string, want string")
     assert df.withColumn("got", I.classify()).filter(~F.col("got").eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_candidates_are_compared_once(spark):
+    lists = R.related_lists(I.normalize_incidents(seed(spark)))
+    plan = lists._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"profile#\d+\[0\] = values#\d+\[0\]", plan)) == 1

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchtrail.functions import constants as K
-from watchtrail.functions.values import compact_texts, text_or_null
+from watchtrail.functions.values import compact_texts, once, text_or_null
 from watchtrail.operators.incidents import VIEW_COLUMNS, get_incident, normalize_incidents, report_columns
 from watchtrail.operators.ranking import top_per_key
 
@@ -152,7 +152,8 @@ def related_lists(
     ).unionByName(
         owners.filter("large").select(*owner, "weak").join(merged, ["group", "weak"]).select(*owner, *candidate)
     )
-    agreed = consulted.withColumn("mask", _agreement(range(len(DIMENSIONS))))
+    # Six comparisons of texts per candidate, not copied into each of the filters and scores below.
+    agreed = once(consulted, {"mask": _agreement(range(len(DIMENSIONS)))}).drop("profile", "values")
     strong_bits = sum(1 << place for place in STRONG)
     score = sum(
         (F.when(F.col("mask").bitwiseAND(F.lit(1 << place)) > 0, w).otherwise(0) for place, w in enumerate(K.CORRELATION_WEIGHTS.values())),
