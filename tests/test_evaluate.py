@@ -94,3 +94,11 @@ def test_gates(spark):
         "pr_auc     0.0000 (required >= 0.65) FAIL",
     ]
     assert not any(r.all_passed for r in rows)
+
+
+def test_split_sends_the_strata_instead_of_shuffling_rows_by_label(spark):
+    df = spark.range(200).select(F.col("id").alias("event_id"), (F.col("id") % 10 == 0).cast("int").alias("label_binary"))
+    fitting, held = E.stratified_split(df)
+    assert {r.label_binary: r["count"] for r in held.groupBy("label_binary").count().collect()} == {0: 36, 1: 4}
+    assert fitting.count() == 160
+    assert "strategy=broadcast" in held._jdf.queryExecution().optimizedPlan().toString()

@@ -12,6 +12,8 @@ from watchtrail.session import checkpoint_dir
 
 HASH_BITS = 16
 HASH_LEVELS = 2
+#: Strata whose last rows are sent to all tasks; with more, the rows are shuffled to them.
+MAX_SENT_STRATA = 10_000
 
 
 # --- hold-out split ----------------------------------------------------------------
@@ -34,6 +36,9 @@ def stratified_split(
     stratified = sizes["labels"] > 1 and sizes["least"] >= 2
     placed = df.withColumns({"_stratum": F.col(label) if stratified else F.lit(0), "_order": order})
     last = _last_held_out(placed.select("_stratum", "_order", F.col(key).alias("_key")), share)
+    if sizes["labels"] <= MAX_SENT_STRATA:
+        # Shuffled by a few labels, the whole table would pass through as many tasks.
+        last = F.broadcast(last)
     joined = join_same_keys(placed, last, ["_stratum"])
     before = F.col("_order") < F.col("_last")
     held = before | ((F.col("_order") == F.col("_last")) & (F.col(key) <= F.col("_last_key")))

@@ -26,7 +26,7 @@ TREE_SCHEMA = (
 )
 ALGORITHM = "IsolationForest"
 MAX_MODEL_NODES = 2_000_000
-SCORING_ROWS = 2_048
+SCORING_ROWS = 128
 
 
 def average_path(n) -> np.ndarray:
@@ -121,15 +121,21 @@ def _pack(nodes: pd.DataFrame) -> dict[str, np.ndarray]:
 
 
 def _mean_depth(forest: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """Mean leaf value of each row over all trees; blocks are small enough to stay in the cache."""
     depth = np.empty(len(rows))
+    width, trees = rows.shape[1], len(forest["roots"])
+    feature, threshold, roots = forest["feature"].astype(np.int32), forest["threshold"], forest["roots"].astype(np.int32)
+    # Children side by side: a step to the left is the odd place.
+    child = np.column_stack([forest["right"], forest["left"]]).ravel().astype(np.int32)
     for start in range(0, len(rows), SCORING_ROWS):
         part = rows[start : start + SCORING_ROWS]
-        line = np.arange(len(part))[:, None]
-        node = np.broadcast_to(forest["roots"], (len(part), len(forest["roots"])))
+        values = part.ravel()
+        line = (np.arange(len(part), dtype=np.int32) * width)[:, None]
+        node = np.broadcast_to(roots, (len(part), trees))
         for _ in range(int(forest["levels"][0])):
-            goes_left = part[line, forest["feature"][node]] <= forest["threshold"][node]
-            node = np.where(goes_left, forest["left"][node], forest["right"][node])
-        depth[start : start + SCORING_ROWS] = forest["value"][node].mean(axis=1)
+            goes_left = values.take(line + feature.take(node)) <= threshold.take(node)
+            node = child.take(2 * node + goes_left)
+        depth[start : start + SCORING_ROWS] = forest["value"].take(node).mean(axis=1)
     return depth
 
 
