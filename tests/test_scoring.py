@@ -84,3 +84,21 @@ def test_nodes_are_sent_once_per_model(spark):
     model = fixed_forest()
     first = model.packed(spark)
     assert model.packed(spark) is first and model.with_manifest(model_version="2").packed(spark) is first
+
+
+def activity_table(spark, folder):
+    rows = spark.range(300, numPartitions=1).selectExpr(
+        "id AS event_id", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS ts", "id % 7 AS user_id",
+        "element_at(array('signup', 'purchase', 'click', 'error', 'view'), CAST(id % 5 + 1 AS INT)) AS event_type",
+        "CAST(id % 100 AS DOUBLE) AS value", "concat('{\"k\": ', id % 100, '}') AS props",
+    )
+    rows.write.parquet(f"{folder}/events.parquet")
+
+
+def test_messages_are_dealt_over_the_cluster(spark, tmp_path):
+    from watchtrail.plans.activity import messages
+
+    activity_table(spark, tmp_path)
+    built = messages(spark, str(tmp_path))
+    assert built.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert built.count() == built.distinct().count() == 300

@@ -88,9 +88,18 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over the cluster, for costly work on each of them.
+
+    A scan has no more tasks than the file has row groups, and adaptive reads merge by bytes.
+    """
+    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks, "event_id", "timestamp")
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queue records over the activity; some are damaged in a way their number tells."""
-    built = build_envelopes(numeric_matrix(featured(spark, sf_dir)))
+    built = build_envelopes(numeric_matrix(spread(featured(spark, sf_dir))))
     seq, body = F.col("seq"), F.col("body")
     extra_key = F.concat(F.lit('{"featurez":1,'), F.substring(body, F.lit(2), F.length(body)))
     bad_ip = F.regexp_replace(body, '"source_ip":"[^"]*"', '"source_ip":"not-an-ip"')
