@@ -102,3 +102,15 @@ def test_messages_are_dealt_over_the_cluster(spark, tmp_path):
     built = messages(spark, str(tmp_path))
     assert built.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert built.count() == built.distinct().count() == 300
+
+
+def test_messages_are_judged_once_for_both_outputs(spark, tmp_path):
+    from watchtrail.operators.score import score_envelopes
+    from watchtrail.plans.activity import messages
+    from watchtrail.plans.catalog import fixed_forest
+
+    activity_table(spark, tmp_path)
+    good, bad = score_envelopes(messages(spark, str(tmp_path)), fixed_forest())
+    for df in (good, bad):
+        assert "from_json" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert bad.count() > 0 and good.count() + bad.count() == 300
