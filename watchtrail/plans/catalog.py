@@ -26,6 +26,7 @@ from watchtrail.plans.activity import (
     messages,
     risk_table,
     scored,
+    spread,
     stored,
 )
 from watchtrail.session import checkpoint_dir, prepare
@@ -276,8 +277,9 @@ def score_dataset(spark, sf_dir):
 @query
 def train_and_score(spark, sf_dir):
     """A trained model over its own table: every event scored once, within bounds, levels in line."""
-    table = stored(featured(spark, sf_dir))
-    df = C.score_dataset(table, E.train(table))
+    table = stored(spread(featured(spark, sf_dir)))
+    # Read three times below, scored once.
+    df = stored(C.score_dataset(table, E.train(table)))
     level = S.risk_level(F.col("final_risk_score"))
     near = F.least(*[F.abs(F.col("final_risk_score") - cut) for cut in (K.MEDIUM_RISK, K.HIGH_RISK)]) < 1e-4
     bad = V.check_predictions(df).select("event_id").unionByName(
