@@ -176,3 +176,21 @@ def test_super_kmers_cover_every_window_once():
         assert packed == b" ".join(words[s : s + n + 34]) and n <= substring_dedup.PACK
     again = substring_dedup.window_hashes(found["packed"])
     assert all((h == found["whole"][a : a + n]).all() for h, a, n in zip(again, found["first"], found["n_win"]))
+
+
+def test_only_super_kmers_that_may_repeat_are_sent():
+    loop = substring_dedup.normal(" ".join(["one two three"] * 40))
+    found = substring_dedup.block_super_kmers([prose(91, 300).encode(), loop, prose(92, 300).encode()])
+    none = np.zeros(1, np.uint64)
+    sent = substring_dedup.may_repeat(found, none)
+    assert len(sent) and set(found["text"][sent].tolist()) == {1}
+    bits = none.copy()
+    bits[0] |= np.uint64(1) << (found["minimiser"][:1].view(np.uint64)[0] & np.uint64(63))
+    assert 0 in substring_dedup.may_repeat(found, bits)
+
+
+def test_window_repeated_inside_one_super_kmer_is_removed(spark):
+    rows = [(1, " ".join(["a b c d e f g h i j k"] * 6), None, None, 0, None, None), (2, prose(93, 80), None, None, 0, None, None)]
+    found = substring_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = {r[0]: b for r, b in zip(rows, brute_repeats([r[1] for r in rows]))}
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in found} == want and want[1][1]

@@ -1,9 +1,10 @@
-"""Helpers the corpus operators share: written intermediate tables and connected components."""
+"""Helpers the corpus operators share: written tables, bitmaps of hashes, connected components."""
 
 from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts lineage and is computed once.
 
     The table survives the loss of executors. It stays until the folder is cleaned. The
@@ -32,12 +33,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bitmap(rows: DataFrame, key: str, bits: int) -> np.ndarray:
+    """A bitmap of ``bits`` (a power of two from 64 up) that has the bit of every ``key`` (a hash, long).
+
+    It is of that size whatever the number of rows; :func:`marked` may let others through.
+    """
+    place = F.col(key).bitwiseAND(F.lit(bits - 1))
+    bit = F.expr(f"shiftleft(1L, cast({key} & 63 as int))")
+    words = rows.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    found = np.zeros(bits // 64, np.int64)
+    found[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return found.view(np.uint64)
+
+
+def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """For each of ``keys`` (unsigned 64-bit) whether its bit is set in a :func:`bitmap`."""
+    words = bits[(keys & np.uint64(len(bits) * 64 - 1)) >> np.uint64(6)]
+    return (words >> (keys & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, component_id) for every node of the links; the id is the smallest node reachable.
 

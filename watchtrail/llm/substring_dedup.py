@@ -11,10 +11,12 @@ counts are exact. A bucket holding more than ``LIMIT`` windows is split by windo
 super-k-mer then goes to each part one of its windows belongs to.
 
 A first pass writes only where each super-k-mer lies (key, start, minimiser, windows and a
-64-bit hash of its packed string); bucket sizes come from it. Runs of repeated windows go back
+64-bit hash of its packed string); bucket sizes come from it. A window that occurs twice has a
+minimiser met in two super-k-mers, or lies twice in one, so only such super-k-mers are packed
+and sent: a bitmap of bounded size tells tasks the minimisers met more than once. Runs of repeated windows go back
 to the texts by a join on (minimiser, packed hash), and each text drops the words they cover.
 Packed strings are shuffled once and never written. The hot-bucket list sent to tasks is
-checked against ``HOT_MAX``; nothing else is collected. Per-text work is NumPy in Arrow batches.
+checked against ``HOT_MAX``; nothing but it and the bitmap is collected. Per-text work is NumPy in Arrow batches.
 """
 
 from __future__ import annotations
@@ -28,11 +30,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from watchtrail.session import checkpoint_dir
+from watchtrail.llm.shared import bitmap, marked, written
 from watchtrail.llm.text import SPACE, blocks, scramble, word_hashes
 
 #: Words per window (the contract), words per minimiser run, most windows a super-k-mer packs.
@@ -47,6 +51,8 @@ PACKED = "minimiser long, part long, parts long, p long, packed binary, copies l
 RUNS = "minimiser long, p long, first long, last long"
 #: Most hot minimisers whose part counts are sent to every task; beyond it ``LIMIT`` doubles.
 HOT_MAX = 1_000_000
+#: Most bits of the bitmap of minimisers met more than once, and bits it has per minimiser up to there.
+BITS, EACH = 1 << 28, 16
 KEPT = StructType([StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())])
 
 
@@ -125,17 +131,39 @@ def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             })
 
 
-def _packed(hot: dict[int, int]):
-    """Super-k-mers with their bucket part; identical ones of a block are sent once, counted."""
+def twice(hashes: np.ndarray) -> np.ndarray:
+    """For each of ``hashes`` whether it is among them more than once."""
+    order = np.argsort(hashes)
+    equal = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+    found = np.zeros(len(hashes), dtype=bool)
+    found[order[equal]] = found[order[equal + 1]] = True
+    return found
+
+
+def may_repeat(found: dict[str, np.ndarray | list], met: np.ndarray) -> np.ndarray:
+    """Places of a block's super-k-mers that may hold a repeated window.
+
+    ``met`` is the bitmap of minimisers that more than one super-k-mer has.
+    """
+    if not len(found["text"]):
+        return np.zeros(0, np.int64)
+    upto = np.concatenate([[0], np.cumsum(twice(found["whole"]))])
+    inside = upto[found["first"] + found["n_win"]] > upto[found["first"]]
+    return np.flatnonzero(inside | marked(met, found["minimiser"].view(np.uint64)))
+
+
+def _packed(hot: dict[int, int], met: Broadcast):
+    """Super-k-mers that may repeat, with their bucket part; identical ones of a block are sent once, counted."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [normal(t) for t in batch["text"]]
             for lo, hi in blocks(texts):
                 found = block_super_kmers(texts[lo:hi])
-                parts = np.array([hot.get(int(m), 1) for m in found["minimiser"]], dtype=np.int64)
                 rows = {"minimiser": [], "part": [], "parts": [], "p": [], "packed": []}
-                for i, (m, n, packed) in enumerate(zip(found["minimiser"].tolist(), parts.tolist(), found["packed"])):
+                for i in may_repeat(found, met.value).tolist():
+                    m, packed = int(found["minimiser"][i]), found["packed"][i]
+                    n = hot.get(m, 1)
                     p = xxhash.xxh3_64_intdigest(packed)
                     if n == 1:
                         chosen = [0]
@@ -285,16 +313,18 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     folder = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}/occurrences"
     source.mapInPandas(_occurrences, OCCURRENCES).write.option("compression", "zstd").parquet(folder)
     places = spark.read.schema(OCCURRENCES).parquet(folder)
-    sizes = places.groupBy("minimiser").agg(F.sum("n_win").alias("windows"))
+    sizes = places.groupBy("minimiser").agg(F.sum("n_win").alias("windows"), F.count(F.lit(1)).alias("n"))
+    repeated = written(sizes.filter("n > 1").select("minimiser", "windows"), "minimisers")
+    met = spark.sparkContext.broadcast(bitmap(repeated, "minimiser", min(BITS, 1 << max(6, (EACH * repeated.count()).bit_length()))))
     limit = LIMIT
     while True:
-        hot = sizes.filter(F.col("windows") > limit)
+        hot = repeated.filter(F.col("windows") > limit)
         if hot.count() <= HOT_MAX:
             break
         limit *= 2
     parts = {r.minimiser: int(r.parts) for r in hot.select("minimiser", F.ceil(F.col("windows") / limit).alias("parts")).collect()}
     runs = (
-        source.mapInPandas(_packed(parts), PACKED)
+        source.mapInPandas(_packed(parts, met), PACKED)
         .repartition("minimiser", "part")
         .sortWithinPartitions("minimiser", "part", "p")
         .mapInPandas(_count, RUNS)
@@ -303,6 +333,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     covered = found.groupBy("k1", "k2").agg(
         F.collect_list(F.array(F.col("start") + F.col("first"), F.col("start") + F.col("last") + WIDTH)).alias("ranges")
     )
+    covered = written(covered, "covered")
+    met.destroy()
     joined = keyed.join(covered.withColumnsRenamed(names), [names["k1"], names["k2"]], "left")
     result = F.pandas_udf(_kept, KEPT)(F.col(text), F.col(names["ranges"]))
     out = "_kept"
