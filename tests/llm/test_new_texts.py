@@ -194,3 +194,29 @@ def test_window_repeated_inside_one_super_kmer_is_removed(spark):
     found = substring_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()
     want = {r[0]: b for r, b in zip(rows, brute_repeats([r[1] for r in rows]))}
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in found} == want and want[1][1]
+
+
+def test_phrases_are_exact_when_hashes_meet(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "BITS", 64)
+    rows = [(i, f"{prose(i % 5, 12, 'abc')}, {prose(i, 30, 'ab')}", "en" if i % 3 else "fr", None, 0, None, None) for i in range(40)]
+    found = phrases.collocations(spark.createDataFrame(rows, SCHEMA), least=4, top=50, shards=3)
+    assert set(map(tuple, found.collect())) == brute_collocations([(r[1], r[2]) for r in rows], least=4, top=50)
+
+
+def test_counters_open_for_phrases_of_frequent_parts_only(spark):
+    rows = [(i, f"the cat sat {prose(i, 30)}", "en", None, 0, None, None) for i in range(20)]
+    table = phrases.write_blocks(phrases.pieces(spark.createDataFrame(rows, SCHEMA), shards=1))
+    batch = table.select("lang", "words", "ids").toArrow().combine_chunks().to_batches()[0]
+    hashes = np.array([phrases.xxhash.xxh64_intdigest(w) for w in (b"the", b"cat", b"sat")], np.uint64)
+    marks = np.zeros(1 << 14, np.uint64)
+    for key in phrases.gram_hashes(hashes, 1, "en"):
+        key &= np.uint64((1 << 20) - 1)
+        marks[key >> np.uint64(6)] |= np.uint64(1) << (key & np.uint64(63))
+
+    class Shared:
+        value = {1: [(1, marks)]}
+
+    counted = [r for b in phrases._counter([2], 1, 1, Shared)(iter([batch])) for r in b.to_pylist()]
+    keys = phrases.gram_hashes(hashes, 2, "en").view(np.int64).tolist()
+    assert {r["key"]: r["count"] for r in counted if r["key"] in keys} == dict.fromkeys(keys, 20)
+    assert len(counted) < 4

@@ -1,54 +1,67 @@
 """Collocated phrases by dynamic itemset counting over cyclic scans of shards.
 
-The pieces of the corpus are written once, partitioned into ``shards``. Step t reads shard
-t mod shards only (partition pruning) and adds its phrase counts to the open counters. Words
-are counted from step 0. A phrase one word longer is opened at the first step at which its
-prefix and its suffix (each one word shorter) have both reached ``least`` so far; it is found
-in the data of the shard being read and counted from that step. A counter closes once it has
-seen every shard once, so its count is exact, and the scans stop when no counter is open and
-no phrase can still be opened. A phrase occurring ``least`` times has both sub-phrases at
-least as frequent, so none is missed.
-
-Counts are grouped per (lang, length, phrase) with partial aggregation before the shuffle;
-the counters are a written table per step, joined by shuffle, never collected.
+The corpus is written once, partitioned into ``shards``, as blocks of texts of one language:
+the block's distinct words and its text as numbers of those. Step t reads shard t mod shards
+only (partition pruning) and adds its phrase counts to the open counters. Words are counted
+from step 0. A phrase one word longer is opened at the first step at which its prefix and its
+suffix (each one word shorter) have both reached ``least`` so far; it is found in the data of
+the shard being read and counted from that step. A counter closes once it has seen every shard
+once, and the scans stop when no counter is open. A phrase occurring ``least`` times has both
+sub-phrases at least as frequent, so none is missed.
+
+Tasks count in NumPy. Counters are keyed by a 64-bit hash of the phrase, and tasks are told by
+a bitmap per step and length, of a bounded size, which hashes became frequent before it. So a counter
+holds no fewer than its phrase's occurrences: a bit or hash that two phrases share may open a
+counter early, for a whole cycle all the same, or add counts. Phrases whose counter reached
+``least`` are then counted once more by their own words, which makes the counts exact. Nothing
+but the bitmaps and the numbers of frequent phrases by length is collected.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from watchtrail.llm.shared import written
+from watchtrail.llm.shared import bitmap, marked, written
+from watchtrail.llm.text import blocks, scramble
 from watchtrail.session import checkpoint_dir
 
-#: Fixed values of the contract: pieces end at these characters, words at space and tab.
-PIECE_END = r"[.,;:!?\x0A-\x0D]"
-WORD_GAP = r"[\x20\x09]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Fixed values of the contract: A-Z is lower-cased, pieces end at ``.,;:!?`` and line ends (here
+#: all a full stop), words at space and tab.
+UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
+PIECES = bytes.maketrans(UPPER + b".,;:!?\x0a\x0b\x0c\x0d\t", LOWER + b"." * 10 + b" ")
+#: Most bits of a bitmap of frequent phrases, bits it has per phrase up to there, bytes of text in a block.
+BITS, EACH = 1 << 26, 32
+BLOCK = 1 << 23
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+NUMBERED = pa.schema([("lang", pa.string()), ("shard", pa.int32()), ("n", pa.int64()), ("words", pa.binary()), ("ids", pa.binary())])
+#: A counter's state is (start * SIZES + size) * 2, and 1 more once its phrase is frequent.
+SIZES = 64
+COUNTED = "key long, count long, state int"
+NAMED = "lang string, size int, phrase string, count long"
 
 
 def pieces(docs: DataFrame, text: str = "text", lang: str = "lang", shards: int = 4) -> DataFrame:
-    """(lang, shard, body) per row: the lower-cased text, split into pieces when a shard is read.
+    """(lang, shard, body) per row: the text, lower-cased and split into pieces when blocks are made.
 
     A null lang is ``und`` and a null text is empty. A row's shard is a hash of its language
     and text, so repeated rows share a shard.
     """
-    body = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
+    body = F.coalesce(F.col(text), F.lit(""))
     key = F.coalesce(F.col(lang), F.lit("und"))
     return docs.select(key.alias("lang"), body.alias("body")).select(
         "lang", F.pmod(F.xxhash64("lang", "body"), F.lit(shards)).cast("int").alias("shard"), "body"
     )
 
 
-def _words(rows: DataFrame) -> DataFrame:
-    """(lang, words) per piece of every text."""
-    split = rows.select("lang", F.explode(F.split("body", PIECE_END, -1)).alias("piece"))
-    words = F.filter(F.split("piece", WORD_GAP, -1), lambda w: w != "")
-    return split.select("lang", words.alias("words")).filter(F.size("words") > 0)
-
-
 def grams(words: Column, size: int | Column) -> Column:
     """Every run of ``size`` consecutive words, space-joined."""
     size = F.lit(size) if isinstance(size, int) else size
@@ -57,82 +70,204 @@ def grams(words: Column, size: int | Column) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, size), " "))
 
 
-def _shard_counts(shard: DataFrame, sizes: list[int]) -> DataFrame:
-    """(lang, size, phrase, c) for the given lengths in one shard, partially aggregated."""
-    found = None
-    for size in sizes:
-        part = shard.select("lang", F.lit(size).alias("size"), F.explode(grams(F.col("words"), size)).alias("phrase"))
-        found = part if found is None else found.unionByName(part)
-    return found.groupBy("lang", "size", "phrase").agg(F.count(F.lit(1)).alias("c"))
+def gram_hashes(words: np.ndarray, size: int, lang: str) -> np.ndarray:
+    """A hash of every run of ``size`` words, given the words' hashes, in a language."""
+    total = np.full(max(len(words) - size + 1, 0), xxhash.xxh64_intdigest(lang, size), np.uint64)
+    for k in range(size):
+        total = (total + words[k : k + len(total)]) * FACTOR
+    return scramble(total)
 
 
-def _edge(phrase: Column, first: bool) -> Column:
-    """The phrase without its last word (``first``) or without its first word."""
-    words = F.split(phrase, " ")
-    size = F.size(words) - 1
-    return F.array_join(F.slice(words, 1, size) if first else F.slice(words, 2, size), " ")
+class Numbers(dict):
+    """A number for every word met; 0 is the end of a piece."""
 
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
 
-def count_phrases(pieces_table: DataFrame, shards: int = 4, least: int = 30, longest: int = 4) -> DataFrame:
-    """Exact counts (lang, size, phrase, count) of every word and of every phrase of 2 to
-    ``longest`` words whose prefix and suffix occur ``least`` times or more.
 
-    ``pieces_table`` is the output of :func:`pieces` with the same ``shards``.
-    """
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks (lang, shard, n, words, ids) of texts (lang, shard, body); ``n`` words in all."""
+    for batch in batches:
+        texts: dict[tuple[int, str], list[bytes]] = {}
+        for lang, shard, body in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
+            texts.setdefault((shard, lang), []).append(body)
+        for (shard, lang), bodies in texts.items():
+            for lo, hi in blocks(bodies, BLOCK):
+                numbers = Numbers({b".": 0})
+                words = b" . ".join(bodies[lo:hi]).translate(PIECES).replace(b".", b" . ").split()
+                ids = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
+                row = {"lang": lang, "shard": shard, "n": np.count_nonzero(ids), "words": b" ".join(numbers), "ids": ids.tobytes()}
+                yield pa.RecordBatch.from_pylist([row], NUMBERED)
+
+
+
+
+def write_blocks(pieces_table: DataFrame) -> DataFrame:
+    """The texts of :func:`pieces` as written blocks, partitioned by shard."""
     spark = pieces_table.sparkSession
-    folder = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}/pieces"
-    pieces_table.write.partitionBy("shard").parquet(folder)
-    path_rows = spark.read.schema(pieces_table.schema).parquet(folder)
-    counters = None
+    folder = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}/blocks"
+    numbered = pieces_table.select("lang", "shard", "body").mapInArrow(_numbered, "lang string, shard int, n long, words binary, ids binary")
+    numbered.write.option("compression", "zstd").partitionBy("shard").parquet(folder)
+    return spark.read.schema(numbered.schema).parquet(folder)
+
+
+def _read(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
+    """(lang, distinct words, their hashes, number of every word) per block (lang, words, ids)."""
+    for i in range(batch.num_rows):
+        words = batch.column(1)[i].as_py().split(b" ")
+        ids = np.frombuffer(batch.column(2)[i].as_buffer(), np.int32).astype(np.int64)
+        yield batch.column(0)[i].as_py(), words, np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64), ids
+
+
+def _inside(ids: np.ndarray, size: int) -> np.ndarray:
+    """For every run of ``size`` words whether it lies inside a piece."""
+    single = whole = ids != 0
+    for k in range(1, size):
+        whole = whole[:-1] & single[k:]
+    return whole
+
+
+def frequent_since(hashes: np.ndarray, inside: np.ndarray, marks: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """The step from which each phrase is frequent by the bitmaps of the steps, else 0."""
+    found = np.zeros(len(hashes), np.int32)
+    rest = np.flatnonzero(inside)
+    for step, bits in marks:
+        hit = marked(bits, hashes[rest])
+        found[rest[hit]] = step
+        rest = rest[~hit]
+    return found
+
+
+def _summed(keys: np.ndarray, numbers: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys with their sums; a key has one start."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    sums = np.add.reduceat(numbers[order], first) if len(keys) else numbers
+    return keys[first], sums, starts[order[first]]
+
+
+def _counter(sizes: list[int], step: int, shards: int, shared: Broadcast):
+    """(key, count, state) of the phrases of blocks (lang, words, ids) whose counter is open at ``step``."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {size: [] for size in sizes}
+            for lang, words, distinct, ids in _read(batch):
+                hashes = distinct[ids]
+                for size in sizes:
+                    if size == 1:
+                        keys, numbers = gram_hashes(distinct, 1, lang)[1:], np.bincount(ids, minlength=len(words))[1:]
+                        starts = np.zeros(len(keys), np.int32)
+                    else:
+                        since = frequent_since(gram_hashes(hashes, size - 1, lang), _inside(ids, size - 1), shared.value[size - 1])
+                        start = np.maximum(since[:-1], since[1:])
+                        at = np.flatnonzero((since[:-1] > 0) & (since[1:] > 0) & (start > step - shards))
+                        keys, numbers, starts = _summed(gram_hashes(hashes, size, lang)[at], np.ones(len(at), np.int64), start[at])
+                    found[size].append((keys, numbers, starts))
+            for size, parts in found.items():
+                keys, numbers, starts = _summed(*map(np.concatenate, zip(*parts))) if len(parts) > 1 else parts[0]
+                columns = [pa.array(keys.view(np.int64)), pa.array(numbers), pa.array((starts * SIZES + size) * 2, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "count", "state"])
+
+    return counted
+
+
+def _distinct(columns: list[np.ndarray], bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, number) of every distinct row of ``columns``, whose values are below ``bound``."""
+    key, most = columns[0], bound
+    for column in columns[1:]:
+        if most * bound >= 2**63:
+            found, key = np.unique(key, return_inverse=True)
+            most = max(len(found), 1)
+        key, most = key * bound + column, most * bound
+    return np.unique(key, return_index=True, return_counts=True)[1:]
+
+
+def _namer(longest: int, shared: Broadcast):
+    """(lang, size, phrase, count) of the phrases of blocks that, like all their parts, are in a bitmap."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for lang, words, distinct, ids in _read(batch):
+                hashes = distinct[ids]
+                names = pa.array(words, pa.binary())
+                for size in range(1, longest + 1):
+                    inside = _inside(ids, size) if size == 1 else frequent[:-1] & frequent[1:]
+                    frequent = np.zeros(len(inside), bool)
+                    at = np.flatnonzero(inside)
+                    at = at[marked(shared.value, gram_hashes(hashes, size, lang)[at])]
+                    frequent[at] = True
+                    if not len(at):
+                        break
+                    columns = [ids[at + k] for k in range(size)]
+                    first, numbers = _distinct(columns, len(words))
+                    parts = [names.take(pa.array(c[first])) for c in columns]
+                    phrase = pc.binary_join_element_wise(*parts, b" ") if size > 1 else parts[0]
+                    constant = [pa.repeat(pa.scalar(lang), len(first)), pa.repeat(pa.scalar(size, pa.int32()), len(first))]
+                    found.append(pa.Table.from_arrays([*constant, phrase, pa.array(numbers, pa.int64())], ["lang", "size", "phrase", "count"]))
+            if found:
+                once = pa.concat_tables(found).group_by(["lang", "size", "phrase"]).aggregate([("count", "sum")]).combine_chunks()
+                for rows in once.to_batches():
+                    lang, size, phrase, count = (rows.column(c) for c in ("lang", "size", "phrase", "count_sum"))
+                    yield pa.RecordBatch.from_arrays([lang, size, phrase.view(pa.string()), count], ["lang", "size", "phrase", "count"])
+
+    return named
+
+
+def _bits(number: int) -> int:
+    return min(BITS, 1 << max(6, (EACH * number).bit_length()))
+
+
+def _counts(written_blocks: DataFrame, shards: int, least: int, longest: int) -> DataFrame:
+    """(lang, size, phrase, count) of the phrases of written blocks that occur ``least`` times or more."""
+    spark = written_blocks.sparkSession
+    start, size = (F.floor(F.col("state") / n).cast("int") for n in (2 * SIZES, 2))
+    size = (size % SIZES).alias("size")
+    counters = frequent = None
+    # By size and step: a bitmap of the phrases frequent from that step on, and how many there are.
+    marks: dict[int, list[tuple[int, np.ndarray]]] = {size: [] for size in range(1, longest)}
+    numbers: dict[int, dict[int, int]] = {}
     step = 0
     while True:
-        shard = _words(path_rows.filter(F.col("shard") == step % shards))
+        window = range(max(step - shards, 0) + 1, step + 1)
         sizes = [1] if step < shards else []
-        if counters is not None:
-            stats = counters.agg(
-                *[F.max(F.when((F.col("size") == s) & (F.col("start") + shards > step), 1)).alias(f"open{s}") for s in range(2, longest + 1)],
-                *[F.max(F.when((F.col("size") == s - 1) & (F.col("frequent_at") <= step), 1)).alias(f"can{s}") for s in range(2, longest + 1)],
-            ).first()
-            sizes += [s for s in range(2, longest + 1) if stats[f"open{s}"] or stats[f"can{s}"]]
+        sizes += [s for s in range(2, longest + 1) if any(s - 1 in numbers[at] for at in window)]
         if not sizes:
             break
-        seen = _shard_counts(shard, sizes)
-        if counters is None:
-            counters = seen.select("lang", "size", "phrase", F.col("c").alias("count"), F.lit(0).alias("start"), F.lit(None).cast("int").alias("frequent_at"))
-        else:
-            counters = _advance(counters, seen, step, shards)
-        counters = counters.withColumn(
-            "frequent_at", F.when(F.col("frequent_at").isNull() & (F.col("count") >= least), F.lit(step + 1)).otherwise(F.col("frequent_at"))
-        )
-        counters = written(counters, "counters")
+        shared = spark.sparkContext.broadcast(marks)
+        shard = written_blocks.filter(F.col("shard") == step % shards).select("lang", "words", "ids")
+        rows = shard.mapInArrow(_counter(sizes, step, shards, shared), COUNTED)
+        rows = rows if counters is None else rows.unionByName(counters)
+        merged = rows.groupBy("key").agg(F.sum("count").alias("count"), F.max("state").alias("state"))
+        fresh = (F.col("count") >= least) & (F.col("state") % 2 == 0)
+        still_open = start + shards - 1 > step
+        counters = written(merged.withColumn("fresh", fresh).filter(still_open | F.col("fresh")), "counters")
+        shared.destroy()
+        new = written(counters.filter("fresh").select("key", size), "frequent")
+        counters = counters.filter(still_open).select("key", "count", (F.col("state") + F.col("fresh").cast("int")).alias("state"))
         step += 1
-        last = counters.agg(
-            F.max(F.col("start") + shards - 1).alias("open"),
-            F.max(F.when(F.col("size") < longest, F.col("frequent_at") + shards - 1)).alias("opening"),
-        ).first()
-        if step > max(last["open"] or -1, last["opening"] or -1):
-            break
-    if counters is None:
-        return pieces_table.sparkSession.createDataFrame([], "lang string, size int, phrase string, count long")
-    return counters.select("lang", "size", "phrase", "count")
+        numbers[step] = {r["size"]: r["count"] for r in new.groupBy("size").count().collect()}
+        for n in sorted(set(numbers[step]) & set(marks)):
+            marks[n].append((step, bitmap(new.filter(F.col("size") == n), "key", _bits(numbers[step][n]))))
+        frequent = new if frequent is None else frequent.unionByName(new)
+    shared = spark.sparkContext.broadcast(bitmap(frequent, "key", _bits(sum(n for each in numbers.values() for n in each.values()))))
+    found = written_blocks.select("lang", "words", "ids").mapInArrow(_namer(longest, shared), NAMED)
+    found = found.groupBy("lang", "size", "phrase").agg(F.sum("count").alias("count")).filter(F.col("count") >= least)
+    found = written(found, "phrases")
+    shared.destroy()
+    return found
 
 
-def _advance(counters: DataFrame, seen: DataFrame, step: int, shards: int) -> DataFrame:
-    """Counters after adding one shard: open ones grow, newly possible phrases open."""
-    keys = ["lang", "size", "phrase"]
-    open_now = (F.col("start") <= step) & (F.col("start") + shards > step)
-    known = counters.join(seen, keys, "left").select(
-        *keys, (F.col("count") + F.when(open_now, F.coalesce("c", F.lit(0))).otherwise(0)).alias("count"), "start", "frequent_at"
-    )
-    words = seen.filter("size = 1").join(counters.filter("size = 1"), keys, "left_anti")
-    fresh_words = words.select(*keys, F.col("c").alias("count"), F.lit(0).alias("start"), F.lit(None).cast("int").alias("frequent_at"))
-    frequent = counters.filter(F.col("frequent_at") <= step).select("lang", (F.col("size") + 1).alias("size"), "phrase", "frequent_at")
-    longer = seen.filter("size > 1").join(counters, keys, "left_anti")
-    for name, first in (("head", True), ("tail", False)):
-        side = frequent.select("lang", "size", F.col("phrase").alias(name), F.col("frequent_at").alias(f"{name}_at"))
-        longer = longer.withColumn(name, _edge(F.col("phrase"), first)).join(side, ["lang", "size", name])
-    fresh = longer.select(*keys, F.col("c").alias("count"), F.greatest("head_at", "tail_at").alias("start"), F.lit(None).cast("int").alias("frequent_at"))
-    return known.unionByName(fresh_words).unionByName(fresh)
+def count_phrases(pieces_table: DataFrame, shards: int = 4, least: int = 30, longest: int = 4) -> DataFrame:
+    """Exact counts (lang, size, phrase, count) of every phrase of 1 to ``longest`` words that
+    occurs ``least`` times or more.
+
+    ``pieces_table`` is the output of :func:`pieces` with the same ``shards``.
+    """
+    return _counts(write_blocks(pieces_table), shards, least, longest)
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, longest: int = 4,
@@ -148,9 +283,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     so other columns, whatever their names, play no part. Columns: lang, rank, phrase, a, l,
     r, n, score (numbers long). Arithmetic is exact in 38-digit decimals.
     """
-    counts = count_phrases(pieces(docs, text, lang, shards), shards, least, longest)
-    totals = counts.filter("size = 1").groupBy("lang").agg(F.sum("count").cast("long").alias("n"))
-    candidates = counts.filter((F.col("size") >= 2) & (F.col("count") >= least)).select("lang", "size", "phrase", F.col("count").alias("a"))
+    numbered = write_blocks(pieces(docs, text, lang, shards))
+    totals = numbered.groupBy("lang").agg(F.sum("n").cast("long").alias("n"))
+    # A part of a candidate occurs as often as the candidate, so the frequent phrases have all parts.
+    single = _counts(numbered, shards, least, longest)
+    candidates = single.filter("size >= 2").select("lang", "size", "phrase", F.col("count").alias("a"))
     shorter = candidates.filter("size >= 3").select("lang", "a", "phrase", F.explode(F.sequence(F.lit(2), F.col("size") - 1)).alias("s"))
     inside = shorter.select("lang", "a", F.explode(grams(F.split("phrase", " "), F.col("s"))).alias("phrase"))
     covering = inside.groupBy("lang", "phrase").agg(F.max("a").alias("outer"))
@@ -158,7 +295,6 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     cuts = kept.select("lang", "phrase", "a", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     words = F.split("phrase", " ")
     cuts = cuts.withColumns({"left": F.array_join(F.slice(words, 1, F.col("k")), " "), "right": F.array_join(F.slice(words, F.col("k") + 1, longest), " ")})
-    single = counts.select("lang", "phrase", "count")
     for side, name in (("left", "l"), ("right", "r")):
         cuts = cuts.join(single.select("lang", F.col("phrase").alias(side), F.col("count").alias(name)), ["lang", side])
     wide = "decimal(38,0)"
