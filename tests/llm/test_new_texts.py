@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import SCHEMA, document_rows, prose
-from watchtrail.llm import fill_middle, phrases, substring_dedup
+from watchtrail.llm import fill_middle, language, phrases, substring_dedup
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -220,3 +220,18 @@ def test_counters_open_for_phrases_of_frequent_parts_only(spark):
     keys = phrases.gram_hashes(hashes, 2, "en").view(np.int64).tolist()
     assert {r["key"]: r["count"] for r in counted if r["key"] in keys} == dict.fromkeys(keys, 20)
     assert len(counted) < 4
+
+
+# Language
+
+
+def test_rare_words_joined_in_rounds_give_the_same_languages(spark, documents, monkeypatch):
+    monkeypatch.setattr(language, "WORD_SHARE", 0.02)
+    docs = documents.select("doc_id", "text", "lang")
+    model = language.learn(docs.filter("doc_id % 3 > 0").select("text", "lang"))
+    results = []
+    for rounds in (1, 3):
+        monkeypatch.setattr(language, "ROUNDS", rounds)
+        found = language.identify(docs.select("doc_id", "text"), model).collect()
+        results.append(Counter((r.doc_id, r.lang_pred, round(r.score, 6)) for r in found))
+    assert results[0] == results[1] and sum(results[0].values()) == docs.count()

@@ -10,7 +10,8 @@ cheapest language is predicted.
 All texts with a language are counted, on the executors, and every counted word and n-gram
 stays in the model, as a written table. Words that make up a stated share of some language
 are sent to the workers with their costs in all languages (at most 1 / share words per
-language); a text's other words are joined to the table, once per distinct word and text.
+language); a text's other words are joined to the table, once per distinct word and text, in rounds
+by a hash of the word.
 The penalty is above the cost of a single occurrence, however large a language is.
 
 A null text, and a text without a letter, is ``und`` with score 0; so is every text when
@@ -25,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -43,6 +45,8 @@ PENALTY = 7.0
 ABSENT = 0.3
 #: Entries a worker gathers or remembers before it hands them on or starts anew.
 MEMORY = 300_000
+#: Rounds in which the texts' rare words are joined to the table.
+ROUNDS = 2
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -91,9 +95,10 @@ def count_grams(words: DataFrame, longest: int = LONGEST) -> DataFrame:
         for batch in batches:
             for lang, word, number in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 own = counts.setdefault(lang, Counter())
+                known = own.get
                 for n in range(1, longest + 1):
                     for gram in grams(word, n):
-                        own[gram] += number
+                        own[gram] = known(gram, 0) + number
             if sum(map(len, counts.values())) > MEMORY:
                 yield _rows(counts, ["lang", "word", "n"])
                 counts = {}
@@ -157,21 +162,29 @@ def _parts(docs: DataFrame, model: Model) -> DataFrame:
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, table = shared.value
+        place = index.get
         for batch in batches:
-            keys, numbers, sums, rare = [], [], [], []
+            keys, numbers, sums, words_of, counts_of, ends = [], [], [], [], [], [0]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = letters(text)
                 if not has_letter(words):
                     continue
-                counts = Counter(words)
-                own = [(index[w], n) for w, n in counts.items() if w in index]
-                at = np.array(own, dtype=np.int64).reshape(-1, 2)
+                at, often = [], []
+                for word, n in Counter(words).items():
+                    i = place(word)
+                    if i is None:
+                        words_of.append(word)
+                        counts_of.append(n)
+                    else:
+                        at.append(i)
+                        often.append(n)
                 keys.append(key)
                 numbers.append(len(words))
-                sums.append((at[:, 1] @ table[at[:, 0]]).tolist())
-                rare.append([{"word": w, "n": n} for w, n in counts.items() if w not in index])
-            kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
-            columns = [pa.array(keys, pa.binary()), pa.array(numbers, pa.int64()), pa.array(sums, pa.list_(pa.float64())), pa.array(rare, kind)]
+                sums.append(np.array(often, dtype=np.float64) @ table[np.array(at, dtype=np.int64)])
+                ends.append(len(words_of))
+            rare = pa.StructArray.from_arrays([pa.array(words_of, pa.string()), pa.array(counts_of, pa.int64())], ["word", "n"])
+            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare)
+            columns = [pa.array(keys, pa.binary()), pa.array(numbers, pa.int64()), pa.array(sums, pa.list_(pa.float64())), rare]
             yield pa.RecordBatch.from_arrays(columns, ["key", "n", "sums", "rare"])
 
     return docs.mapInArrow(parts, "key binary, n long, sums array<double>, rare array<struct<word:string,n:long>>")
@@ -209,19 +222,27 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
     every = range(len(model.langs))
     key = F.unhex(F.md5(text_col))
-    parts = written(_parts(docs.select(key.alias("key"), F.col(text_col).alias("text")), model), "parts")
-    rare = parts.select("key", F.explode("rare").alias("r")).select("key", "r.word", "r.n")
-    asked = rare.select("word").distinct().join(model.words.select("word", "gains"), "word", "left")
-    asked = written(asked, "asked")
-    gains = asked.filter("gains is not null").unionByName(_unseen(asked.filter("gains is null").select("word"), model))
-    gains = written(gains, "gains")
-    # A text that occurs more than once is summed as often: its mean is the same.
-    sums = parts.select("key", "n", *[F.col("sums")[i].alias(f"s{i}") for i in every])
-    more = rare.join(gains, "word").select("key", F.lit(0).cast("long").alias("n0"), *[(F.col("n") * F.col("gains")[i]).alias(f"s{i}") for i in every])
-    total = sums.union(more).groupBy("key").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in every])
+    parts = _parts(docs.select(key.alias("key"), F.col(text_col).alias("text")), model)
+    # Rows are told apart by a number, which takes less room than a key in what is sent for every rare word.
+    parts = written(parts.withColumn("id", F.monotonically_increasing_id()), "parts", "zstd")
+    sums = [parts.select("id", *[F.col("sums")[i].alias(f"s{i}") for i in every])]
+    add = [F.sum(f"s{i}").alias(f"s{i}") for i in every]
+    # The rare words are joined in rounds, each with a share of the words, so that one round's shuffles are held at a time.
+    for place in range(ROUNDS):
+        mine = F.pmod(F.xxhash64("word"), F.lit(ROUNDS)) == place
+        rare = parts.select("id", F.explode("rare").alias("r")).select("id", "r.word", "r.n").filter(mine)
+        asked = rare.select("word").distinct().join(model.words.select("word", "gains").filter(mine), "word", "left")
+        asked = written(asked, "asked", "zstd")
+        gains = asked.filter("gains is not null").unionByName(_unseen(asked.filter("gains is null").select("word"), model))
+        gains = written(gains, "gains", "zstd")
+        more = rare.join(gains, "word").select("id", *[(F.col("n") * F.col("gains")[i]).alias(f"s{i}") for i in every])
+        sums.append(written(more.groupBy("id").agg(*add), "sums"))
+    total = reduce(DataFrame.union, sums).groupBy("id").agg(*add)
+    total = written(total, "total").join(parts.select("id", "key", "n"), "id")
     # Rounded, so that the order of summing does not decide ties.
     costs = F.array(*[F.round(F.lit(model.penalties[0][i]) - F.col(f"s{i}") / F.col("n"), 9) for i in every])
-    total = total.select(F.col("key").alias("lang_key"), costs.alias("costs")).withColumn("least", F.array_min("costs"))
+    # A text that occurs more than once has the same sums, but for the order of summing.
+    total = total.groupBy(F.col("key").alias("lang_key")).agg(F.min(costs).alias("costs")).withColumn("least", F.array_min("costs"))
     place = F.array_position("costs", F.col("least")).cast("int")
     odds = F.aggregate("costs", F.lit(0.0), lambda acc, c: acc + F.pow(F.lit(10.0), F.col("least") - c))
     found = total.select("lang_key", F.element_at(F.array(*map(F.lit, model.langs)), place).alias("found_lang"), (1 / odds).alias("found_score"))
