@@ -5,6 +5,9 @@ writes each stage's rows as Parquet in the shared folder and reads them back, so
 executor costs the current stage at most. All stages but the last return the columns they
 were given.
 
+Stages run one after the other in one session, whose Python workers and Arrow buffers are
+kept from stage to stage; so each stage sends small Arrow batches.
+
 An empty table passes through every stage. Rows with a null id are never taken for copies.
 """
 
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchtrail.llm import mixing, near_dedup, packing, quality, secret_scan
-from watchtrail.llm.shared import table, written
+from watchtrail.llm.shared import small_batches, table, written
 from watchtrail.session import prepare
 
 #: The probability of good quality from which a document stays.
@@ -27,6 +30,7 @@ GOOD = 0.3
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from the labels outside fold 0."""
     labels = table(prepare(spark), sf_dir, "labels")
+    small_batches(spark)
     columns = docs.columns
     wrapped = docs.select("doc_id", "text", F.struct(*columns).alias("row"))
     scored = quality.score(wrapped, labels, quality.fold("doc_id", 5) != 0)
@@ -35,6 +39,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id."""
+    small_batches(spark)
     found = written(near_dedup.near_duplicates(docs).select("doc_id", "kept"), "copies")
     copies = found.filter("not kept").select("doc_id").distinct()
     left = docs.join(copies.hint("shuffle_hash"), "doc_id", "left_anti")
@@ -68,6 +73,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document with their places in sequences of 2048 tokens."""
+    small_batches(spark)
     return packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -223,3 +223,12 @@ def test_pipeline_stages(spark, documents, no_documents, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, no_documents, str(tmp_path)).count() == 0, name
     assert public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_pipeline_stages_send_small_batches(spark, no_documents, tmp_path):
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("quality", "near_dedup", "pack"):
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 25))
+            stage(spark, no_documents, str(tmp_path))
+            assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 1 << 22, name

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -12,8 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tests.llm.conftest import document_rows
-from watchtrail.llm import interpolation, language, mixing, packing, quality, secret_scan, token_count
+from tests.llm.conftest import document_rows, prose
+from watchtrail.llm import interpolation, language, mixing, near_dedup, packing, quality, secret_scan, text, token_count
 from watchtrail.llm.text import word_hashes
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -343,3 +344,17 @@ def test_language_model_equals_brute_force(spark):
         assert found[i] == pytest.approx(score)
 
 
+
+
+# Memory of the workers
+
+
+def test_hashing_many_texts_takes_little_memory():
+    texts = [prose(i, 400).encode() for i in range(1500)]
+    for work in (near_dedup.shingle_sets, quality.indicators):
+        text._powers.cache_clear()
+        tracemalloc.start()
+        found = work(texts)
+        held, peak = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert len(found) == 1500 and peak - sum(x.nbytes for x in found) < 20_000_000, work

@@ -13,6 +13,8 @@ from watchtrail.session import checkpoint_dir
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of an Arrow batch, so that a batch of very long texts fits a worker's memory.
 BATCH_BYTES = {"spark.sql.execution.arrow.maxBytesPerBatch": "33554432"}
+#: The same where several operators' workers share an executor's memory.
+SMALL_BATCH_BYTES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Make the session's Arrow batches small, until a table is read by :func:`table`."""
+    for key, value in SMALL_BATCH_BYTES.items():
+        spark.conf.set(key, value)
+
+
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts lineage and is computed once.
 
