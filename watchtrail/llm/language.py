@@ -247,9 +247,14 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
     odds = F.aggregate("costs", F.lit(0.0), lambda acc, c: acc + F.pow(F.lit(10.0), F.col("least") - c))
     found = total.select("lang_key", F.element_at(F.array(*map(F.lit, model.langs)), place).alias("found_lang"), (1 / odds).alias("found_score"))
     found = written(found, "found")
-    joined = docs.join(found, key == F.col("lang_key"), "left")
+    # The key is a column of its own, or the join would send whole texts to compare them.
+    name = "text_key"
+    while name in docs.columns:
+        name += "_"
+    keyed = docs.withColumn(name, key)
+    joined = keyed.join(found, keyed[name] == found["lang_key"], "left")
     return joined.select(
-        *[docs[c] for c in docs.columns],
+        *[keyed[c] for c in docs.columns],
         F.coalesce("found_lang", F.lit("und")).alias("lang_pred"),
         F.coalesce("found_score", F.lit(0.0)).alias("score"),
     )
