@@ -235,3 +235,42 @@ def test_rare_words_joined_in_rounds_give_the_same_languages(spark, documents, m
         found = language.identify(docs.select("doc_id", "text"), model).collect()
         results.append(Counter((r.doc_id, r.lang_pred, round(r.score, 6)) for r in found))
     assert results[0] == results[1] and sum(results[0].values()) == docs.count()
+
+
+def test_a_language_is_joined_by_key_without_the_text(spark, documents):
+    model = language.learn(documents.select("text", "lang"))
+    found = language.identify(documents.select("doc_id", "text", F.lit(1).alias("text_key")), model)
+    plan = found.select("doc_id", "lang_pred")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert joins and not any("md5" in line for line in joins)
+    assert found.columns == ["doc_id", "text", "text_key", "lang_pred", "score"]
+    assert {r.text_key for r in found.collect()} == {1}
+
+
+# Collocations are named once
+
+
+def test_a_frequent_phrase_is_named_by_one_block(spark, monkeypatch):
+    made, plain = spark.sparkContext.accumulator(0), phrases._namer
+
+    def spied(*given):
+        def counted(batches):
+            for batch in plain(*given)(batches):
+                made.add(batch.num_rows)
+                yield batch
+
+        return counted
+
+    monkeypatch.setattr(phrases, "_namer", spied)
+    rows = [(i, f"the cat sat on {prose(i, 6)}", "en", None, 0, None, None) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    counted = phrases.count_phrases(phrases.pieces(docs, shards=2), shards=2, least=30, longest=3)
+    found = {(r.phrase, r["count"]) for r in counted.collect()}
+    assert {("the cat sat", 60), ("cat sat on", 60), ("on", 60)} <= found
+    assert made.value == len(found)
+
+
+def test_phrases_of_one_key_are_counted_apart():
+    keys, checks = np.array([9, 4, 9, 9], np.uint64), np.array([1, 7, 2, 1], np.int32)
+    got = phrases._summed(keys, checks, np.array([5, 1, 3, 2]), np.array([0, 1, 2, 0]))
+    assert [tuple(map(int, row)) for row in zip(*got)] == [(4, 7, 1, 1), (9, 1, 7, 0), (9, 2, 3, 2)]

@@ -9,22 +9,23 @@ the shard being read and counted from that step. A counter closes once it has se
 once, and the scans stop when no counter is open. A phrase occurring ``least`` times has both
 sub-phrases at least as frequent, so none is missed.
 
-Tasks count in NumPy. Counters are keyed by a 64-bit hash of the phrase, and tasks are told by
-a bitmap per step and length, of a bounded size, which hashes became frequent before it. So a counter
-holds no fewer than its phrase's occurrences: a bit or hash that two phrases share may open a
-counter early, for a whole cycle all the same, or add counts. Phrases whose counter reached
-``least`` are then counted once more by their own words, which makes the counts exact. Nothing
-but the bitmaps and the numbers of frequent phrases by length is collected.
+Tasks count in NumPy. Counters are keyed by a 64-bit hash of the phrase and a check of 31 bits
+made from other hashes of its words, and tasks are told by a bitmap per step and length, of a
+bounded size, which hashes became frequent before it. A bit that two phrases share may open a
+counter early, for a whole cycle all the same. A counter also keeps one block in which its
+phrase occurs, its home. A phrase that occurs ``least`` times is named in its home only, so
+that each is sent once, however many tasks meet it. Nothing but the bitmaps and the numbers of
+frequent phrases by length is collected.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -43,9 +44,12 @@ BITS, EACH = 1 << 26, 32
 BLOCK = 1 << 23
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 NUMBERED = pa.schema([("lang", pa.string()), ("shard", pa.int32()), ("n", pa.int64()), ("words", pa.binary()), ("ids", pa.binary())])
-#: A counter's state is (start * SIZES + size) * 2, and 1 more once its phrase is frequent.
+#: A counter's state is (start * SIZES + size) * 2, and 1 more once its phrase is frequent; below
+#: it, 32 bits tell its home. Of the blocks that a phrase is in the home is the greatest number,
+#: in an order that its key chooses out of SPREAD, so that no block is home to most phrases.
 SIZES = 64
-COUNTED = "key long, count long, state int"
+SPREAD = np.uint64(16)
+COUNTED = "key long, check int, count long, state long"
 NAMED = "lang string, size int, phrase string, count long"
 
 
@@ -112,12 +116,32 @@ def write_blocks(pieces_table: DataFrame) -> DataFrame:
     return spark.read.schema(numbered.schema).parquet(folder)
 
 
-def _read(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
-    """(lang, distinct words, their hashes, number of every word) per block (lang, words, ids)."""
+def _read(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(lang, distinct words, their hashes, other hashes, number of every word, number of the block) per block (lang, words, ids)."""
     for i in range(batch.num_rows):
-        words = batch.column(1)[i].as_py().split(b" ")
-        ids = np.frombuffer(batch.column(2)[i].as_buffer(), np.int32).astype(np.int64)
-        yield batch.column(0)[i].as_py(), words, np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64), ids
+        joined, ids = batch.column(1)[i].as_py(), batch.column(2)[i].as_buffer()
+        words, home = joined.split(b" "), zlib.crc32(ids, zlib.crc32(joined))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        others = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+        yield batch.column(0)[i].as_py(), words, hashes, others, np.frombuffer(ids, np.int32).astype(np.int64), home
+
+
+def home_number() -> Column:
+    """The number of a block (words, ids), as :func:`_read` gives it."""
+    return F.crc32(F.concat("words", "ids"))
+
+
+def gram_checks(others: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A check (31 bits) of the ``size`` words from each of the places ``at``, given the words' other hashes."""
+    total = np.full(len(at), size, np.uint64)
+    for k in range(size):
+        total = (total + others[at + k]) * FACTOR
+    return (scramble(total) >> np.uint64(33)).astype(np.int32)
+
+
+def _homes(keys: np.ndarray, home: int) -> np.ndarray:
+    """The bits that tell the home of the phrases ``keys``; the same again turns them into ``home``."""
+    return (np.uint64(home) ^ ((keys % SPREAD) << np.uint64(28))).view(np.int64)
 
 
 def _inside(ids: np.ndarray, size: int) -> np.ndarray:
@@ -139,80 +163,74 @@ def frequent_since(hashes: np.ndarray, inside: np.ndarray, marks: list[tuple[int
     return found
 
 
-def _summed(keys: np.ndarray, numbers: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with their sums; a key has one start."""
+def _summed(keys: np.ndarray, checks: np.ndarray, numbers: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct pairs of key and check with their sums and one of their states."""
     order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    apart = keys[order[1:]] != keys[order[:-1]]
+    if (checks[order[1:]] != checks[order[:-1]])[~apart].any():  # two phrases have one key
+        order = np.lexsort((checks, keys))
+        apart = (keys[order[1:]] != keys[order[:-1]]) | (checks[order[1:]] != checks[order[:-1]])
+    first = np.flatnonzero(np.concatenate([[True], apart])) if len(keys) else np.zeros(0, np.int64)
     sums = np.add.reduceat(numbers[order], first) if len(keys) else numbers
-    return keys[first], sums, starts[order[first]]
+    order = order[first]
+    return keys[order], checks[order], sums, states[order]
 
 
 def _counter(sizes: list[int], step: int, shards: int, shared: Broadcast):
-    """(key, count, state) of the phrases of blocks (lang, words, ids) whose counter is open at ``step``."""
+    """(key, check, count, state) of the phrases of blocks (lang, words, ids) whose counter is open at ``step``."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = {size: [] for size in sizes}
-            for lang, words, distinct, ids in _read(batch):
-                hashes = distinct[ids]
+            for lang, words, distinct, others, ids, home in _read(batch):
+                hashes, other = distinct[ids], others[ids]
                 for size in sizes:
                     if size == 1:
                         keys, numbers = gram_hashes(distinct, 1, lang)[1:], np.bincount(ids, minlength=len(words))[1:]
-                        starts = np.zeros(len(keys), np.int32)
+                        checks, starts = gram_checks(others, np.arange(1, len(words)), 1), np.zeros(len(keys), np.int64)
                     else:
                         since = frequent_since(gram_hashes(hashes, size - 1, lang), _inside(ids, size - 1), shared.value[size - 1])
                         start = np.maximum(since[:-1], since[1:])
                         at = np.flatnonzero((since[:-1] > 0) & (since[1:] > 0) & (start > step - shards))
-                        keys, numbers, starts = _summed(gram_hashes(hashes, size, lang)[at], np.ones(len(at), np.int64), start[at])
-                    found[size].append((keys, numbers, starts))
-            for size, parts in found.items():
-                keys, numbers, starts = _summed(*map(np.concatenate, zip(*parts))) if len(parts) > 1 else parts[0]
-                columns = [pa.array(keys.view(np.int64)), pa.array(numbers), pa.array((starts * SIZES + size) * 2, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "count", "state"])
+                        keys, checks, numbers, starts = _summed(
+                            gram_hashes(hashes, size, lang)[at], gram_checks(other, at, size), np.ones(len(at), np.int64), start[at].astype(np.int64)
+                        )
+                    states = ((starts * SIZES + size) << 33) | _homes(keys, home)
+                    found[size].append((keys, checks, numbers, states))
+            for parts in found.values():
+                keys, checks, numbers, states = _summed(*map(np.concatenate, zip(*parts))) if len(parts) > 1 else parts[0]
+                columns = [pa.array(keys.view(np.int64)), pa.array(checks), pa.array(numbers), pa.array(states)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "check", "count", "state"])
 
     return counted
 
 
-def _distinct(columns: list[np.ndarray], bound: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first place, number) of every distinct row of ``columns``, whose values are below ``bound``."""
-    key, most = columns[0], bound
-    for column in columns[1:]:
-        if most * bound >= 2**63:
-            found, key = np.unique(key, return_inverse=True)
-            most = max(len(found), 1)
-        key, most = key * bound + column, most * bound
-    return np.unique(key, return_index=True, return_counts=True)[1:]
-
-
-def _namer(longest: int, shared: Broadcast):
-    """(lang, size, phrase, count) of the phrases of blocks that, like all their parts, are in a bitmap."""
+def _namer(longest: int):
+    """(lang, size, phrase, count) of the phrases (key, check, count) that blocks (lang, words, ids, phrases) are home to."""
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for lang, words, distinct, ids in _read(batch):
-                hashes = distinct[ids]
-                names = pa.array(words, pa.binary())
+            for i, (lang, words, distinct, others, ids, _) in enumerate(_read(batch)):
+                own = batch.column(3)[i].values
+                keys, checks, counts = (own.field(c).to_numpy() for c in ("key", "check", "count"))
+                wanted = dict(zip(zip(keys.tolist(), checks.tolist(), strict=True), counts.tolist(), strict=True))
+                keys = np.sort(keys.view(np.uint64))
+                hashes, other = distinct[ids], others[ids]
+                sizes, phrases, numbers = [], [], []
                 for size in range(1, longest + 1):
-                    inside = _inside(ids, size) if size == 1 else frequent[:-1] & frequent[1:]
-                    frequent = np.zeros(len(inside), bool)
-                    at = np.flatnonzero(inside)
-                    at = at[marked(shared.value, gram_hashes(hashes, size, lang)[at])]
-                    frequent[at] = True
-                    if not len(at):
-                        break
-                    columns = [ids[at + k] for k in range(size)]
-                    first, numbers = _distinct(columns, len(words))
-                    parts = [names.take(pa.array(c[first])) for c in columns]
-                    phrase = pc.binary_join_element_wise(*parts, b" ") if size > 1 else parts[0]
-                    constant = [pa.repeat(pa.scalar(lang), len(first)), pa.repeat(pa.scalar(size, pa.int32()), len(first))]
-                    found.append(pa.Table.from_arrays([*constant, phrase, pa.array(numbers, pa.int64())], ["lang", "size", "phrase", "count"]))
-            if found:
-                once = pa.concat_tables(found).group_by(["lang", "size", "phrase"]).aggregate([("count", "sum")]).combine_chunks()
-                for rows in once.to_batches():
-                    lang, size, phrase, count = (rows.column(c) for c in ("lang", "size", "phrase", "count_sum"))
-                    yield pa.RecordBatch.from_arrays([lang, size, phrase.view(pa.string()), count], ["lang", "size", "phrase", "count"])
+                    at = np.flatnonzero(_inside(ids, size))
+                    found = gram_hashes(hashes, size, lang)[at]
+                    hit = keys[np.minimum(np.searchsorted(keys, found), len(keys) - 1)] == found
+                    at, found = at[hit], found[hit]
+                    found, check, _, at = _summed(found, gram_checks(other, at, size), np.ones(len(at), np.int64), at)
+                    for place, *pair in zip(at.tolist(), found.view(np.int64).tolist(), check.tolist(), strict=True):
+                        if (count := wanted.get(tuple(pair))) is not None:
+                            sizes.append(size)
+                            phrases.append(b" ".join([words[j] for j in ids[place : place + size]]))
+                            numbers.append(count)
+                columns = [pa.repeat(pa.scalar(lang, pa.string()), len(sizes)), pa.array(sizes, pa.int32())]
+                columns += [pa.array(phrases, pa.binary()).view(pa.string()), pa.array(numbers, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "count"])
 
     return named
 
@@ -224,9 +242,11 @@ def _bits(number: int) -> int:
 def _counts(written_blocks: DataFrame, shards: int, least: int, longest: int) -> DataFrame:
     """(lang, size, phrase, count) of the phrases of written blocks that occur ``least`` times or more."""
     spark = written_blocks.sparkSession
-    start, size = (F.floor(F.col("state") / n).cast("int") for n in (2 * SIZES, 2))
-    size = (size % SIZES).alias("size")
-    counters = frequent = None
+    start, size = F.shiftright("state", 33) / SIZES, (F.shiftright("state", 33) % SIZES).cast("int")
+    start = F.floor(start).cast("int")
+    # What _homes does to the bits that tell a home.
+    home = F.col("state").bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseXOR(F.shiftleft(F.col("key").bitwiseAND(F.lit(int(SPREAD) - 1)), 28))
+    counters = finished = None
     # By size and step: a bitmap of the phrases frequent from that step on, and how many there are.
     marks: dict[int, list[tuple[int, np.ndarray]]] = {size: [] for size in range(1, longest)}
     numbers: dict[int, dict[int, int]] = {}
@@ -241,24 +261,26 @@ def _counts(written_blocks: DataFrame, shards: int, least: int, longest: int) ->
         shard = written_blocks.filter(F.col("shard") == step % shards).select("lang", "words", "ids")
         rows = shard.mapInArrow(_counter(sizes, step, shards, shared), COUNTED)
         rows = rows if counters is None else rows.unionByName(counters)
-        merged = rows.groupBy("key").agg(F.sum("count").alias("count"), F.max("state").alias("state"))
-        fresh = (F.col("count") >= least) & (F.col("state") % 2 == 0)
+        merged = rows.groupBy("key", "check").agg(F.sum("count").alias("count"), F.max("state").alias("state"))
+        often, known = F.col("count") >= least, F.shiftright("state", 32) % 2 == 1
         still_open = start + shards - 1 > step
-        counters = written(merged.withColumn("fresh", fresh).filter(still_open | F.col("fresh")), "counters")
+        counters = written(merged.withColumn("fresh", often & ~known).filter(still_open | often), "counters")
         shared.destroy()
-        new = written(counters.filter("fresh").select("key", size), "frequent")
-        counters = counters.filter(still_open).select("key", "count", (F.col("state") + F.col("fresh").cast("int")).alias("state"))
+        new = counters.filter(F.col("fresh") | ~still_open)
+        new = written(new.select("key", "check", "count", size.alias("size"), home.alias("home"), "fresh", (~still_open).alias("done")), "frequent")
+        done = new.filter("done").select("key", "check", "count", "home")
+        finished = done if finished is None else finished.unionByName(done)
+        new = new.filter("fresh")
+        state = F.col("state") + F.shiftleft(F.col("fresh").cast("long"), 32)
+        counters = counters.filter(still_open).select("key", "check", "count", state.alias("state"))
         step += 1
         numbers[step] = {r["size"]: r["count"] for r in new.groupBy("size").count().collect()}
         for n in sorted(set(numbers[step]) & set(marks)):
             marks[n].append((step, bitmap(new.filter(F.col("size") == n), "key", _bits(numbers[step][n]))))
-        frequent = new if frequent is None else frequent.unionByName(new)
-    shared = spark.sparkContext.broadcast(bitmap(frequent, "key", _bits(sum(n for each in numbers.values() for n in each.values()))))
-    found = written_blocks.select("lang", "words", "ids").mapInArrow(_namer(longest, shared), NAMED)
-    found = found.groupBy("lang", "size", "phrase").agg(F.sum("count").alias("count")).filter(F.col("count") >= least)
-    found = written(found, "phrases")
-    shared.destroy()
-    return found
+    homes = finished.groupBy("home").agg(F.collect_list(F.struct("key", "check", "count")).alias("phrases"))
+    found = written_blocks.withColumn("home", home_number()).join(homes.hint("shuffle_hash"), "home")
+    # Blocks that are alike have the same phrases.
+    return written(found.select("lang", "words", "ids", "phrases").mapInArrow(_namer(longest), NAMED).distinct(), "phrases")
 
 
 def count_phrases(pieces_table: DataFrame, shards: int = 4, least: int = 30, longest: int = 4) -> DataFrame:
