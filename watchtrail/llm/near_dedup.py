@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchtrail.llm.shared import components, written
-from watchtrail.llm.text import blocks, scramble, word_hashes
+from watchtrail.llm.text import SMALL_BLOCK, blocks, scramble, word_hashes
 
 WORDS = 5
 SIMILAR = 85  # percent
@@ -47,7 +47,7 @@ SIGNATURE = "doc_id long, n long, h1 long, h2 long, pairs array<long>, marks bin
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each lower-cased text; a short text is one shingle."""
     found = []
-    for first, end in blocks(texts):
+    for first, end in blocks(texts, SMALL_BLOCK):
         hashes, bounds = word_hashes([t.lower() for t in texts[first:end]])
         weights = [pow(0xD6E8FEB86659FD93, i, 2**64) for i in range(1, words + 1)]
         size = max(0, len(hashes) - words + 1)
@@ -119,7 +119,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end in blocks(texts := _encoded(batch)):
+            for first, end in blocks(texts := _encoded(batch), SMALL_BLOCK):
                 sets = pa.array([s.tobytes() for s in shingle_sets(texts[first:end])], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), sets], ["node", "set"])
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchtrail.llm.text import SPACE, blocks, scramble, word_hashes
+from watchtrail.llm.text import SMALL_BLOCK, SPACE, blocks, scramble, word_hashes
 
 FEATURES = 1 << 17
 SAMPLE = 8_000
@@ -61,7 +61,7 @@ def indicators(texts: list[bytes], features: int = FEATURES) -> list[np.ndarray]
     """The sorted feature numbers of each text."""
     shift = np.uint32(32 - features.bit_length() + 1)
     found, mark = [], np.zeros(features, dtype=bool)
-    for first, end in blocks(texts):
+    for first, end in blocks(texts, SMALL_BLOCK):
         group = texts[first:end]
         data = np.frombuffer(b" " + b" ".join(group) + b" ", dtype=np.uint8)
         hashes, bounds = word_hashes(group)

@@ -13,7 +13,9 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
 #: Texts are joined up to about this many bytes; a longer text is a block of its own.
-BLOCK = 1 << 18
+BLOCK = 1 << 20
+#: The same where the work needs many times a block's bytes, and workers share an executor's memory.
+SMALL_BLOCK = 1 << 18
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
