@@ -232,3 +232,9 @@ def test_pipeline_stages_send_small_batches(spark, no_documents, tmp_path):
             spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 25))
             stage(spark, no_documents, str(tmp_path))
             assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 1 << 22, name
+
+
+def test_near_duplicates_sends_small_batches(spark, no_documents):
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 25))
+    assert near_dedup.near_duplicates(no_documents).count() == 0
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 1 << 22

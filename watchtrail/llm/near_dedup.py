@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchtrail.llm.shared import components, written
+from watchtrail.llm.shared import components, small_batches, written
 from watchtrail.llm.text import SMALL_BLOCK, blocks, scramble, word_hashes
 
 WORDS = 5
@@ -88,13 +88,14 @@ def signatures(docs: DataFrame) -> DataFrame:
         for batch in batches:
             n, h1, h2, pairs, marks = [], [], [], [], []
             with np.errstate(over="ignore"):
-                for own in shingle_sets(_encoded(batch)):
-                    least = signature(own)
-                    n.append(len(own))
-                    h1.append(int(own.sum(dtype=np.uint64).view(np.int64)))
-                    h2.append(int(scramble(own ^ np.uint64(BITS)).sum(dtype=np.uint64).view(np.int64)))
-                    pairs.append(place + least.astype(np.int64) if len(own) else ())
-                    marks.append(least.astype(np.uint8).tobytes())
+                for first, end in blocks(texts := _encoded(batch), SMALL_BLOCK):
+                    for own in shingle_sets(texts[first:end]):
+                        least = signature(own)
+                        n.append(len(own))
+                        h1.append(int(own.sum(dtype=np.uint64).view(np.int64)))
+                        h2.append(int(scramble(own ^ np.uint64(BITS)).sum(dtype=np.uint64).view(np.int64)))
+                        pairs.append(place + least.astype(np.int64) if len(own) else ())
+                        marks.append(least.astype(np.uint8).tobytes())
             columns = [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, h1, h2))]
             columns += [pa.array(pairs, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "h1", "h2", "pairs", "marks"])
@@ -247,6 +248,7 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     signed = written(signatures(docs), "signatures")
     key = ["h1", "h2", "n"]
