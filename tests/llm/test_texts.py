@@ -358,3 +358,35 @@ def test_hashing_many_texts_takes_little_memory():
         held, peak = tracemalloc.get_traced_memory()
         tracemalloc.stop()
         assert len(found) == 1500 and peak - sum(x.nbytes for x in found) < 20_000_000, work
+
+
+def test_language_model_weighs_and_hashes_in_little_memory():
+    texts = [prose(i, 400) for i in range(1500)]
+    text._powers.cache_clear()
+    tracemalloc.start()
+    tokens = interpolation.tokenized(texts, 56)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(tokens.words) == 1500 * 401
+    # The texts' bytes, and hashes in parts, joined and with the ends, beside one short block.
+    assert peak < 3_000_000 + 4 * tokens.words.nbytes + 12_000_000
+
+
+def test_chances_are_those_of_all_tokens_at_once():
+    draw = np.random.default_rng(5)
+    one = draw.integers(0, 1000, 400_000)
+    context, two = draw.integers(0, 1000, len(one)), draw.integers(0, 50, len(one))
+    weights = draw.dirichlet((1, 1, 1), interpolation.BUCKETS)
+    tracemalloc.start()
+    found = interpolation.chances(two, context, one, 12345, weights, 1e-4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    mix = weights[interpolation.bucket(context)]
+    assert (found == mix[:, 0] * two / np.maximum(context, 1) + mix[:, 1] * one / 12345 + mix[:, 2] * 1e-4).all()
+    assert peak - found.nbytes < 8_000_000
+
+
+def test_model_scores_sends_small_batches(spark, no_documents):
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 25))
+    interpolation.model_scores(no_documents.withColumn("use", F.lit(2)))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 1 << 22

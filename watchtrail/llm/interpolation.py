@@ -33,8 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchtrail.llm.shared import written
-from watchtrail.llm.text import blocks, scramble, word_hashes
+from watchtrail.llm.shared import small_batches, written
+from watchtrail.llm.text import SMALL_BLOCK, blocks, scramble, word_hashes
 
 BLOCK_BYTES = 8_000_000
 RANGE_ENTRIES = 1_000_000
@@ -69,7 +69,7 @@ def tokenized(texts: list[str | None], bits: int) -> Tokens:
     """Hashes of all tokens (words of the lower-cased texts and an end each) and of the tokens before."""
     data = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
     parts, bounds = [np.empty(0, dtype=np.uint64)], [np.zeros(1, dtype=np.int64)]
-    for first, end in blocks(data):
+    for first, end in blocks(data, SMALL_BLOCK):
         own, at = word_hashes(data[first:end])
         parts.append(own)
         bounds.append(at[1:] + bounds[-1][-1])
@@ -107,6 +107,8 @@ def from_planes(data: bytes, width: int) -> np.ndarray:
 
 #: Bytes of a count.
 COUNT = 5
+#: Tokens that are weighed at a time.
+SLICE = 1 << 16
 
 
 def dealt(docs: DataFrame, blocks: int) -> DataFrame:
@@ -181,14 +183,14 @@ class Totals(NamedTuple):
 
 
 def looked_up(grams: np.ndarray, counts: np.ndarray | None, found: pd.DataFrame, bits: int) -> tuple[np.ndarray, ...]:
-    """(distinct n-grams, counts, places of the tokens): own counts of some tokens, or as answered."""
+    """(distinct n-grams, their counts, counts of the tokens): own counts of some tokens, or as answered."""
     distinct, place = np.unique(grams, return_inverse=True)
     total = np.zeros(len(distinct), dtype=np.int64)
     if counts is not None:
         total += np.bincount(place[counts], minlength=len(distinct))
     for hashes, numbers in found[["grams", "counts"]].itertuples(index=False):
         total[np.searchsorted(distinct, from_planes(hashes, bits // 8))] = from_planes(numbers, COUNT).astype(np.int64)
-    return distinct, total, place
+    return distinct, total, total[place]
 
 
 def estimates(tokens: Tokens, own: np.ndarray | None, found: pd.DataFrame) -> tuple[np.ndarray, ...]:
@@ -196,12 +198,12 @@ def estimates(tokens: Tokens, own: np.ndarray | None, found: pd.DataFrame) -> tu
 
     ``own`` marks the tokens that count in this block; None if all counts are answered.
     """
-    words, one, place = looked_up(tokens.words, own, found[found["n"] == 1], tokens.bits)
-    _, two, place2 = looked_up(bigrams(tokens), own, found[found["n"] == 2], tokens.bits)
+    two = looked_up(bigrams(tokens), own, found[found["n"] == 2], tokens.bits)[-1]
+    words, counts, one = looked_up(tokens.words, own, found[found["n"] == 1], tokens.bits)
     before = tokens.before.copy()
     before[tokens.bounds[:-1]] = END >> np.uint64(64 - tokens.bits)  # a start for every end
-    context = one[np.searchsorted(words, before)]
-    return two[place2], context, one[place]
+    context = counts[np.searchsorted(words, before)]
+    return two, context, one
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -209,6 +211,18 @@ def bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(np.log2(context + 1.0)).astype(np.int64), BUCKETS - 1)
 
 
+def chances(
+    two: np.ndarray, context: np.ndarray, one: np.ndarray, total: int, weights: np.ndarray, uniform: float
+) -> np.ndarray:
+    """The mixed probability of each token from its counts, a slice of tokens at a time."""
+    chance = np.empty(len(one))
+    for at in range(0, len(one), SLICE):
+        part = slice(at, at + SLICE)
+        mix = weights[bucket(context[part])]
+        chance[part] = mix[:, 0] * two[part] / np.maximum(context[part], 1) + mix[:, 1] * one[part] / max(1, total) + mix[:, 2] * uniform
+    return chance
+
+
 def binned(part: np.ndarray, whole: np.ndarray | int) -> np.ndarray:
     with np.errstate(divide="ignore", invalid="ignore"):
         return np.where(part > 0, 1 + np.round(-BINS * np.log10(part / whole)), 0).astype(np.int64)
@@ -268,8 +282,7 @@ def scored(docs: DataFrame, found: DataFrame, sums: Totals, weights: np.ndarray,
         tokens = tokenized(rows["text"].tolist(), bits)
         taught = np.repeat(rows["use"].to_numpy() != EVALUATED, np.diff(tokens.bounds))
         two, context, one = estimates(tokens, taught, found)
-        mix = shared.value[bucket(context)]
-        chance = mix[:, 0] * two / np.maximum(context, 1) + mix[:, 1] * one / max(1, total) + mix[:, 2] * uniform
+        chance = chances(two, context, one, total, shared.value, uniform)
         add = lambda x: np.add.reduceat(x, tokens.bounds[:-1])
         return pd.DataFrame(
             {
@@ -292,6 +305,7 @@ def model_scores(docs: DataFrame) -> DataFrame:
     ``use`` is EVALUATED for documents that teach nothing, DELETED for training documents
     that teach the weights, KEPT for the others.
     """
+    small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     total = (size[0] or 0) + size[1]
     blocks = max(LEAST_BLOCKS, math.ceil(total / BLOCK_BYTES))
