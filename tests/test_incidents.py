@@ -166,3 +166,69 @@ def test_candidates_are_compared_once(spark):
     lists = R.related_lists(I.normalize_incidents(seed(spark)))
     plan = lists._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"profile#\d+\[0\] = values#\d+\[0\]", plan)) == 1
+
+
+def crowd(n=120):
+    """Incidents of few principals, some without one, at few addresses; values in two spellings."""
+    rng = random.Random(n)
+    pick = lambda prefix, k: None if rng.random() < 0.15 else rng.choice([f"{prefix}{rng.randrange(k)}", f"{prefix.upper()}{rng.randrange(k)}"])
+    columns = ("principal_id", "source_ip", "attack_category", "event_name", "service", "region")
+    found = []
+    for i in range(n):
+        values = ["busy" if rng.random() < 0.2 else pick("p", 12), pick("ip", 5), pick("c", 2), pick("n", 3), pick("s", 3), pick("r", 2)]
+        found.append({"incident_id": f"i{i:03d}", "timestamp": NOON + timedelta(minutes=rng.randrange(40)), **dict(zip(columns, values, strict=True))})
+    return found
+
+
+CROWD = "incident_id string, timestamp timestamp, principal_id string, source_ip string, attack_category string, event_name string, service string, region string"
+
+
+def related_by_hand(rows, row, limit=25):
+    def score(other):
+        return sum(w for n, w in K.CORRELATION_WEIGHTS.items() if row[n] and other[n] and row[n].lower() == other[n].lower())
+
+    found = [(-score(o), -(o["timestamp"] - NOON).total_seconds(), o["incident_id"]) for o in rows if o["incident_id"] != row["incident_id"]]
+    return [(name, -points) for points, _, name in sorted(found) if points <= -2][:limit]
+
+
+@pytest.mark.parametrize(("own_rows", "group_rows", "in_memory"), [(256, 1024, True), (12, 20, True), (12, 20, False), (1, 1, False)])
+def test_every_way_of_ranking_agrees_with_brute_force(spark, monkeypatch, own_rows, group_rows, in_memory):
+    monkeypatch.setattr(R, "OWN_ROWS", own_rows)
+    monkeypatch.setattr(R, "GROUP_ROWS", group_rows)
+    monkeypatch.setattr(R, "BROADCAST_BYTES", 256 << 20 if in_memory else 0)
+    rows = crowd()
+    reports = R.investigate_all(spark.createDataFrame([tuple(r.values()) for r in rows], CROWD)).collect()
+    got = {r.incident_id: r.related_incidents for r in reports}
+    stored = {r["incident_id"]: r for r in rows}
+    for row in rows:
+        related = got[row["incident_id"]]
+        assert [(r.incident_id, r.correlation_score) for r in related] == related_by_hand(rows, row)
+        for r in related:
+            assert {n: r[n] for n in ("timestamp", *K.CORRELATION_WEIGHTS)} == {n: stored[r.incident_id][n] for n in ("timestamp", *K.CORRELATION_WEIGHTS)}
+
+
+def test_reports_of_repeated_ids_hold_every_stored_row(spark):
+    rows = [
+        ("a", "p", "one"), ("b", "p", "two"), ("b", "P", "three"), ("c", "q", "four"), ("d", "q", "five"),
+    ]
+    df = spark.createDataFrame([(i, NOON, p, n) for i, p, n in rows], "incident_id string, timestamp timestamp, principal_id string, event_name string")
+    reports = R.investigate_all(df).collect()
+    got = sorted((r.incident_id, sorted((x.incident_id, x.event_name) for x in r.related_incidents)) for r in reports)
+    # "a" is listed twice with either row of "b"; both reports of "b" list "a" once each.
+    both = sorted([("b", "two"), ("b", "three")] * 2)
+    assert got == [("a", both), ("b", [("a", "one")] * 2), ("b", [("a", "one")] * 2), ("c", [("d", "five")]), ("d", [("c", "four")])]
+
+
+def test_lists_are_not_sent_to_each_incident(spark):
+    df = spark.createDataFrame([tuple(r.values()) for r in crowd()], CROWD)
+    explained = lambda x: x._jdf.queryExecution().explainString(x._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    for run in (R.find_related_all, R.investigate_all):
+        plan = explained(run(df))
+        # The incidents are dealt out by principal, once.
+        assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_reports_join_no_row_per_match(spark):
+    df = spark.createDataFrame([tuple(r.values()) for r in crowd()], CROWD)
+    plan = R.investigate_all(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "LeftOuter" in plan
