@@ -18,7 +18,7 @@ WEAK = [i for i in range(len(DIMENSIONS)) if i not in STRONG]
 #: Incidents of a principal that are compared side by side, and members of a group ranked in one row.
 OWN_ROWS, GROUP_ROWS = 256, 1024
 #: Lists of up to so many bytes in memory go to every executor; about what an entry takes there.
-BROADCAST_BYTES, ENTRY_BYTES, CARRIED_BYTES = 256 << 20, 120, 1000
+BROADCAST_BYTES, ENTRY_BYTES, CARRIED_BYTES = 192 << 20, 120, 1000
 #: What a related incident carries besides its id and time.
 STORED = tuple(n for n in VIEW_COLUMNS if n not in ("incident_id", "timestamp"))
 
@@ -401,7 +401,8 @@ def attach_related(
                 *[brought(r, n).alias(n) for n in carried],
             ),
         )
-        return df.select(*view.columns, shaped.alias("related"))
+        # A later explode would otherwise rank twice: once to see whether the list is empty.
+        return once(df, {"related": shaped}).select(*view.columns, "related")
 
     elsewhere = lambda e: ~F.coalesce(e[DIMENSIONS[who]] == F.col("_who"), F.lit(False))
     others = [i for i in range(len(DIMENSIONS)) if i != who]

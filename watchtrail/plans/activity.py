@@ -9,7 +9,7 @@ from watchtrail.operators.features import build_features, numeric_matrix
 from watchtrail.operators.incidents import build_incidents
 from watchtrail.operators.score import score
 from watchtrail.operators.validate import build_envelopes
-from watchtrail.session import checkpoint_dir
+from watchtrail.session import as_table
 
 THRESHOLD = 0.08245799398764486
 
@@ -84,8 +84,7 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """The rows as a table of their own, for operators that read it more than once."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    return as_table(df)
 
 
 def spread(df: DataFrame) -> DataFrame:
