@@ -29,7 +29,7 @@ from watchtrail.plans.activity import (
     spread,
     stored,
 )
-from watchtrail.session import checkpoint_dir, prepare
+from watchtrail.session import as_table, checkpoint_dir, prepare
 from watchtrail.sources.models import evaluation_document, latest_model, load_model, save_model
 from watchtrail.sources.sinks import write_predictions as write_prediction_files
 from watchtrail.sources.tables import read_events, read_features
@@ -909,7 +909,7 @@ def find_related(spark, sf_dir):
 
 @query
 def find_related_all(spark, sf_dir):
-    df = R.find_related_all(stored(incidents(spark, sf_dir)))
+    df = R.find_related_all(as_table(incidents(spark, sf_dir)))
     return df.withColumn("match_reasons", F.array_join("match_reasons", " | "))
 
 
@@ -943,7 +943,7 @@ def _flat_report(df):
 
 @query
 def investigate_all(spark, sf_dir):
-    return _flat_report(R.investigate_all(stored(incidents(spark, sf_dir))))
+    return _flat_report(R.investigate_all(as_table(incidents(spark, sf_dir))))
 
 
 @query
